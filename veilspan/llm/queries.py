@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import mpegts, urls
+from veilspan.llm import mpegts, packing, token_counts, urls
 from veilspan.llm.common import table
 
 
@@ -17,9 +17,19 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op7_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES = {
     "op5_mpeg_transport": op5_mpeg_transport,
     "op6_url_filter": op6_url_filter,
+    "op7_bin_slack_packing": op7_bin_slack_packing,
+    "op9_trie_token_counts": op9_trie_token_counts,
 }
 
 #: DuckDB SQL where SQL can express the operator.

@@ -22,6 +22,8 @@ from veilspan.llm.common import bounded_batches
 
 MOST_RULES = 1_000_000
 BUCKETS, SIZES = 1 << 18, (3, 4, 5)
+#: Urls are blocked from this score on; n-grams that the small table never shows leave a url below it.
+THRESHOLD = 0.75
 #: Rules that hold wherever none are given: verdict, host, path.
 RULES = (
     ("block", "com", "/en/"),
@@ -111,7 +113,7 @@ def winning(index, host: str, path: str) -> tuple[str, str] | None:
 VERDICT = T.StructType().add("host", T.StringType()).add("path", T.StringType()).add("rule", T.StringType()).add("verdict", T.StringType()).add("score", T.DoubleType())
 
 
-def judge(df: DataFrame, url: str = "url", rules=RULES, labelled=LABELLED, threshold: float = 0.5) -> DataFrame:
+def judge(df: DataFrame, url: str = "url", rules=RULES, labelled=LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with host, path, rule (null where none fits), verdict and the model's score; columns of those names are replaced."""
     bounded_batches(df.sparkSession)
     weights, intercept = train(labelled)
