@@ -52,3 +52,30 @@ def crc_mod(column: str, modulus: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def hash_unit(*columns: Column, seed: int = 0) -> Column:
+    """A reproducible pseudorandom number in [0, 1) from the columns' values."""
+    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def labelled_sample(rows: DataFrame, label: str, key: str, per_label: int, most_labels: int = 200) -> DataFrame:
+    """About ``per_label`` rows of each label (all rows of a rarer one), chosen by a hash of ``key``: a bounded, reproducible
+    sample to fit a classifier on. Only the ``most_labels`` most frequent labels are kept; null labels never are."""
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
+    chosen = F.lit(False)
+    for value, count in counts:
+        chosen = chosen | ((F.col(label) == F.lit(value)) & (hash_unit(F.col(key), seed=7) < min(1.0, per_label / count)))
+    return rows.where(chosen)
+
+
+#: A text's share in a sample: as many pieces from its whole length, of so many code points each.
+PIECES, PIECE_CHARS = 6, 1000
+
+
+def spread_pieces(text: Column) -> Column:
+    """At most PIECES * PIECE_CHARS code points of a text, in pieces spread evenly over its whole length."""
+    n = F.length(text)
+    gap = F.greatest(F.lit(PIECE_CHARS), F.floor((n - PIECE_CHARS) / (PIECES - 1))).cast("int")
+    starts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: i * gap), lambda s: s < F.greatest(n, F.lit(1)))
+    return F.when(n > PIECES * PIECE_CHARS, F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(PIECE_CHARS)))).otherwise(F.array(text))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import mpegts, packing, token_counts, urls
+from veilspan.llm import langid, mpegts, packing, quality, token_counts, urls
 from veilspan.llm.common import table
 
 
+def op4_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
 def op5_mpeg_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.media_digests(table(spark, sf_dir, "documents"))
 
@@ -25,11 +29,17 @@ def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op4_byte_cnn_language": op4_byte_cnn_language,
     "op5_mpeg_transport": op5_mpeg_transport,
     "op6_url_filter": op6_url_filter,
     "op7_bin_slack_packing": op7_bin_slack_packing,
     "op9_trie_token_counts": op9_trie_token_counts,
+    "op10_subword_quality": op10_subword_quality,
 }
 
 #: DuckDB SQL where SQL can express the operator.
