@@ -79,3 +79,24 @@ def spread_pieces(text: Column) -> Column:
     gap = F.greatest(F.lit(PIECE_CHARS), F.floor((n - PIECE_CHARS) / (PIECES - 1))).cast("int")
     starts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: i * gap), lambda s: s < F.greatest(n, F.lit(1)))
     return F.when(n > PIECES * PIECE_CHARS, F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(PIECE_CHARS)))).otherwise(F.array(text))
+
+
+def constants(values: list, kind: str = "bigint") -> Column:
+    """A list of driver-side numbers as one folded literal (not one expression per number)."""
+    import json
+
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def interval_of(ends: list[int], x: Column) -> Column:
+    """Index of the first of the ascending exclusive ``ends`` that is over ``x``; looked up in two steps of about the square
+    root of their number."""
+    import json
+    import math
+
+    step = max(1, math.isqrt(len(ends)))
+    parts = [ends[i : i + step] for i in range(0, len(ends), step)]
+    last = constants([p[-1] for p in parts])
+    nested = F.from_json(F.lit(json.dumps(parts)), "array<array<bigint>>")
+    below = lambda array: F.size(F.filter(array, lambda e: e <= x))
+    return let(below(last), lambda i: i * step + below(F.get(nested, i))).cast("int")

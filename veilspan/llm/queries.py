@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import langid, mpegts, packing, quality, token_counts, urls
+from veilspan.llm import langid, mixing, mpegts, packing, quality, token_counts, urls
 from veilspan.llm.common import table
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_source_mixing": op2_source_mixing,
     "op4_byte_cnn_language": op4_byte_cnn_language,
     "op5_mpeg_transport": op5_mpeg_transport,
     "op6_url_filter": op6_url_filter,
