@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import langid, mixing, mpegts, packing, quality, token_counts, urls
+from veilspan.llm import langid, mixing, mpegts, packing, quality, sharding, token_counts, urls
 from veilspan.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op7_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op5_mpeg_transport": op5_mpeg_transport,
     "op6_url_filter": op6_url_filter,
     "op7_bin_slack_packing": op7_bin_slack_packing,
+    "op8_label_propagation_shards": op8_label_propagation_shards,
     "op9_trie_token_counts": op9_trie_token_counts,
     "op10_subword_quality": op10_subword_quality,
 }
