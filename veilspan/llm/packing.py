@@ -15,12 +15,17 @@ go to the piece that came last; repeated rows are packed as often as they occur;
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
 import zlib
+from array import array
 from bisect import insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
+from unicodedata import is_normalized
 
 import numpy as np
 import public_tokenizers
@@ -35,35 +40,83 @@ from veilspan.llm.common import bounded_batches
 CAPACITY, CLOSING_ID, ID_BYTES = 4096, 2, 4
 #: Windows are taken from the pool while it holds more than this.
 POOL_TOKENS = 96 * CAPACITY
+#: A worker keeps the ids of so many words; of more it forgets the older half. Longer words aren't kept.
 MOST_CACHED, LONGEST_CACHED = 400_000, 64
 #: str.split() also splits at these, which the tokenizers do not count as white space.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Marks that, after letters, are a pre-token of their own.
+TAIL = ".,!?;:*$%&#|)\"]"
+
+
+def _byte_symbols() -> dict[int, str]:
+    """How byte-level vocabularies write the bytes that are no visible character: from code point 256 on, in order."""
+    hidden = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+    return {byte: chr(256 + i) for i, byte in enumerate(hidden)}
+
+
+class Words(dict):
+    """Ids of words, as little-endian 32-bit bytes, found when first asked for.
+
+    A word of letters with marks behind is two pre-tokens. The letters, in lower case, go straight to the vocabulary's
+    merge model; whatever is not so simple goes through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.merges = tokenizer, tokenizer.model.tokenize
+        self.symbols, self.letters = _byte_symbols(), {}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word.rstrip(TAIL)
+        if letters.isalpha() and "\u03a3" not in letters and "\u0130" not in letters:
+            low = letters.lower()
+            ids = self.letters.get(low)
+            if ids is None:
+                if not low.isalpha() or not is_normalized("NFC", low):
+                    ids = self.encode(letters)
+                else:
+                    symbols = low if low.isascii() else low.encode().decode("latin-1").translate(self.symbols)
+                    ids = array("I", [t.id for t in self.merges(symbols)]).tobytes()
+                if len(low) <= LONGEST_CACHED:
+                    self.letters[low] = ids
+            if len(letters) < len(word):
+                ids += self[word[len(letters) :]]
+        else:
+            ids = self.encode(word)
+        if len(word) <= LONGEST_CACHED:
+            self[word] = ids
+        return ids
+
+    def forget(self) -> None:
+        for kept in (self, self.letters):
+            if len(kept) > MOST_CACHED:
+                newer = list(islice(kept.items(), len(kept) // 2, None))
+                kept.clear()
+                kept.update(newer)
 
 
 class Tokenizer:
-    """Ids as little-endian 32-bit bytes. For a vocabulary that drops white space, each word's ids are found once."""
+    """Ids as little-endian 32-bit bytes. For a vocabulary of words without white space, each word's ids are found once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Loaded
 
         self.tokenizer = Loaded.from_file(path)
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        parts = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", ())]
+        by_word = steps == ["NFC", "Replace", "Lowercase"] and parts["model"].get("end_of_word_suffix") == "</w>" and sys.byteorder == "little"
+        self.words = Words(self.tokenizer) if by_word else None
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and SEPARATORS.search(t) else (t or "").split() for t in texts]
-        if len(self.words) > MOST_CACHED:
-            self.words.clear()
-        missing = list(set().union(*[s for s in split if s]).difference(self.words))
-        self.words.update(zip(missing, self._encode(missing), strict=True))
-        out = [self._encode([t])[0] if s is None else b"".join([self.words[w] for w in s]) for t, s in zip(texts, split, strict=True)]
-        for word in missing:
-            if len(word) > LONGEST_CACHED:
-                del self.words[word]
-        return out
+        if self.words is None:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        self.words.forget()
+        find = self.words.__getitem__
+        return [self.words.encode(t) if t and SEPARATORS.search(t) else b"".join(map(find, (t or "").split())) for t in texts]
 
 
 @lru_cache(maxsize=2)
