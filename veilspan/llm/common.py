@@ -89,8 +89,8 @@ def constants(values: list, kind: str = "bigint") -> Column:
 
 
 def interval_of(ends: list[int], x: Column) -> Column:
-    """Index of the first of the ascending exclusive ``ends`` that is over ``x``; looked up in two steps of about the square
-    root of their number."""
+    """Index of the first of the ascending exclusive ``ends`` that is over ``x``, their number if none is; looked up in two
+    steps of about the square root of their number."""
     import json
     import math
 
@@ -99,4 +99,4 @@ def interval_of(ends: list[int], x: Column) -> Column:
     last = constants([p[-1] for p in parts])
     nested = F.from_json(F.lit(json.dumps(parts)), "array<array<bigint>>")
     below = lambda array: F.size(F.filter(array, lambda e: e <= x))
-    return let(below(last), lambda i: i * step + below(F.get(nested, i))).cast("int")
+    return F.least(let(below(last), lambda i: i * step + F.coalesce(below(F.get(nested, i)), F.lit(0))), F.lit(len(ends))).cast("int")

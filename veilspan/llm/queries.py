@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import langid, mixing, mpegts, packing, quality, sharding, token_counts, urls
+from veilspan.llm import langid, mixing, mpegts, packing, quality, sharding, syncmers, token_counts, urls
 from veilspan.llm.common import table
 
 
+def op1_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_closed_syncmers": op1_closed_syncmers,
     "op2_source_mixing": op2_source_mixing,
     "op4_byte_cnn_language": op4_byte_cnn_language,
     "op5_mpeg_transport": op5_mpeg_transport,
