@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import langid, mixing, mpegts, packing, quality, sharding, syncmers, token_counts, urls
+from veilspan.llm import langid, mixing, mpegts, near_dups, packing, quality, sharding, syncmers, token_counts, urls
 from veilspan.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_closed_syncmers": op1_closed_syncmers,
     "op2_source_mixing": op2_source_mixing,
+    "op3_dart_minhash": op3_dart_minhash,
     "op4_byte_cnn_language": op4_byte_cnn_language,
     "op5_mpeg_transport": op5_mpeg_transport,
     "op6_url_filter": op6_url_filter,
