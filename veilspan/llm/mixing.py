@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import constants, cut, hash_unit, interval_of, let
+from veilspan.llm.common import constants, cut, hash_unit, interval_of, let, partitions
 
 WEIGHTS, MOST_REPEATS = (5, 2, 1), 3
-BLOCK, SHARD_SLOTS, MOST_SHARDS, BUCKET_ROWS = 64, 1024, 65_536, 50_000
+BLOCK, SHARD_SLOTS, MOST_SHARDS, BUCKET_ROWS = 64, 1024, 65_536, 10_000
 #: Rounds of the permutation, and the seeds of the draws and of the permutations.
 ROUNDS, DRAW_SEED, ORDER_SEED = 18, 101, 202
 WORD = r"[^\x20\x09-\x0D]+"
@@ -111,7 +111,9 @@ class Mix:
         got = [got.get(i, 0) for i in range(len(self.slots))]
         over, short = [max(0, g - s) for g, s in zip(got, self.slots, strict=True)], [max(0, s - g) for g, s in zip(got, self.slots, strict=True)]
         over_from, short_ends = [sum(over[:i]) for i in range(len(over))], [sum(short[: i + 1]) for i in range(len(short))]
-        slots = counts.withColumn("before", before).select("shard", "number", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("drawn") - 1)).alias("r"))
+        # the window's output is small enough to end in a single task; its slots are not
+        spread = counts.withColumn("before", before).repartition(partitions(self.spark), "shard", "number")
+        slots = spread.select("shard", "number", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("drawn") - 1)).alias("r"))
 
         at = lambda values, i: F.get(constants(values), i)
         surplus = at(over_from, F.col("number")) + F.col("r") - at(self.slots, F.col("number"))
