@@ -41,7 +41,7 @@ CAPACITY, CLOSING_ID, ID_BYTES = 4096, 2, 4
 #: Windows are taken from the pool while it holds more than this.
 POOL_TOKENS = 96 * CAPACITY
 #: A worker keeps the ids of so many words; of more it forgets the older half. Longer words aren't kept.
-MOST_CACHED, LONGEST_CACHED = 400_000, 64
+MOST_CACHED, LONGEST_CACHED = 800_000, 64
 #: str.split() also splits at these, which the tokenizers do not count as white space.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Marks that, after letters, are a pre-token of their own.
