@@ -27,7 +27,7 @@ from veilspan.llm.common import bounded_batches
 
 MARK, BYTE_SCORE = "▁", -14.0
 #: A worker's trie starts anew beyond so many nodes; longer words are counted without entering it.
-MOST_NODES, LONGEST_STORED = 400_000, 48
+MOST_NODES, LONGEST_STORED = 1_200_000, 48
 _SHIFT = 21  # code points fit in 21 bits
 
 
