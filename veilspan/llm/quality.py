@@ -32,7 +32,7 @@ REPEATED = "\0same"
 PER_LABEL, WORDS_PER_DRAW, EPOCHS, BATCH, RATE = 2000, 160, 6, 32, 8.0
 HELD_OUT_MODULUS, HELD_OUT_REST = 4, 2
 THRESHOLD = 0.7
-MOST_CACHED, LONGEST_CACHED = 300_000, 64
+MOST_CACHED, LONGEST_CACHED = 900_000, 64
 
 
 def word_features(word: str) -> list[int]:
