@@ -7,9 +7,9 @@ darts, fixed by hashing, with a uniform rank in the cell and a coordinate. A tex
 coordinates; two texts agree in a coordinate with the probability of their weighted Jaccard likeness. A text that leaves
 a coordinate empty throws again up to twice the rank.
 
-Bands of ``ROWS`` coordinates are joined. Within a bucket every text is paired with two of its members, those with the
-least and the greatest hash of text and bucket, which differ from bucket to bucket: pairs grow with the texts, not with
-the square of a bucket. Candidate pairs whose signatures agree in fewer than ``LIKELY`` of the coordinates are put aside
+Bands of ``ROWS`` coordinates are joined. Within a bucket every text is paired with two of its members, the first in an
+order of all texts and the last in one of ``HEAD_ORDERS`` other orders: pairs grow with the texts, not with the square of
+a bucket, and texts of a large class share their few heads in all buckets. Candidate pairs whose signatures agree in fewer than ``LIKELY`` of the coordinates are put aside
 (at a true 0.8 this has a chance of about 1e-8), all others are checked exactly on their whole shingle multisets: first
 each text with its likeliest partner; then, once those links are joined to components, the pairs that still lie between
 different components. A link holds at a likeness of ``LIKENESS`` or more, as sets or as multisets.
@@ -37,6 +37,7 @@ from veilspan.llm.syncmers import UNSPACED
 
 SHINGLE, LIKENESS, LIKELY = 5, 0.8, 0.6
 BANDS, ROWS = 25, 5
+HEAD_ORDERS = 5
 COORDINATES = BANDS * ROWS
 #: Expected darts of a text: coordinates * (ln(coordinates) + 6).
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 6))
@@ -206,9 +207,10 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def candidates(texts: DataFrame) -> DataFrame:
     """Pairs a < b of nodes with the agreement of their signatures. ``texts``: node, bands, sketch."""
-    banded = texts.select("node", F.explode("bands").alias("band"))
-    order = F.xxhash64("node", "band")
-    heads = banded.groupBy("band").agg(F.min_by("node", order).alias("low"), F.max_by("node", order).alias("high")).where("low <> high")
+    banded = texts.select("node", F.posexplode("bands").alias("number", "band")).select("node", "band", (F.col("number") % HEAD_ORDERS).alias("turn"))
+    # one order of all nodes and a few others: the members of a large class meet the same few heads in all its buckets
+    low, high = F.min_by("node", F.xxhash64("node")), F.max_by("node", F.xxhash64("node", "turn"))
+    heads = banded.groupBy("band").agg(low.alias("low"), high.alias("high")).where("low <> high")
     pairs = banded.join(heads, "band").select("node", F.explode(F.array("low", "high")).alias("head")).where("node <> head")
     pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     sketches = texts.select("node", "sketch")
