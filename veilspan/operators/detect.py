@@ -83,7 +83,8 @@ def _name_token(text: Column, hit: Callable[[Column, Column, Column], Column]) -
     """Spans of the name tokens that no ``@`` follows."""
 
     def make(match: Column, start: Column, end: Column) -> Column:
-        return F.when(F.substring(text, end + 1, F.lit(1)) != "@", hit(match, start, end))
+        # the dictionary first: looking at the next character walks the text
+        return let(hit(match, start, end), lambda s: F.when(s.isNotNull() & (F.substring(text, end + 1, F.lit(1)) != "@"), s))
 
     return F.coalesce(find_all(text, P.UNICODE + P.NAME_TOKEN, make), no_spans())
 
@@ -98,9 +99,11 @@ def scan_flattened_names(text: Column, first: tuple[str, ...] = P.FIRST_NAMES, l
     separated, joined = name_patterns(first, last)
 
     def hit(match: Column, start: Column, end: Column) -> Column:
-        core = _core(match)
-        fits = let(F.lower(core), lambda c: c.rlike(separated) | ((F.length(c) >= P.MIN_NAME_TOKEN) & c.rlike(joined)))
-        return F.when(fits, span("PERSON", start, start + F.length(core), "flattened_name_dict"))
+        def of_core(core: Column) -> Column:
+            fits = F.when(core.rlike("[._-]"), core.rlike(separated)).otherwise((F.length(core) >= P.MIN_NAME_TOKEN) & core.rlike(joined))
+            return F.when(fits, span("PERSON", start, start + F.length(core), "flattened_name_dict"))
+
+        return let(F.lower(_core(match)), of_core)  # tokens are ASCII, so lower case has their length
 
     return _name_token(text, hit)
 

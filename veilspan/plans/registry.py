@@ -369,8 +369,8 @@ def anonymized_logs(spark, sf_dir):
 
 
 def anonymized_documents(spark, sf_dir):
-    text = F.col("text")
-    return _documents(spark, sf_dir).select("doc_id", anonymize.anonymize_by_policy(text, _detected(text), KEYS).alias("anonymized"), F.size(dedup_by_start(_detected(text))).alias("spans"))
+    found = _documents(spark, sf_dir).withColumn("found", dedup_by_start(_detected(F.col("text"))))
+    return found.select("doc_id", anonymize.anonymize_by_policy(F.col("text"), F.col("found"), KEYS).alias("anonymized"), F.size("found").alias("spans"))
 
 
 query()(anonymized_documents)
