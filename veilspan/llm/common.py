@@ -40,6 +40,19 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+_kept: tuple[object, object] = (None, None)
+
+
+def kept_by_worker(name: object = None, make=lambda: None):
+    """What ``make`` made for this name, kept in the Python worker from batch to batch and task to task. A worker keeps one
+    such thing: when it comes to work for another operator, the earlier one's memory is given back first."""
+    global _kept
+    if _kept[0] != name:
+        _kept = (None, None)
+        _kept = (name, make())
+    return _kept[1]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

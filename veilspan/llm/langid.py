@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspan.llm.common import bounded_batches, crc_mod, labelled_sample, spread_pieces
+from veilspan.llm.common import bounded_batches, crc_mod, kept_by_worker, labelled_sample, spread_pieces
 
 WINDOW, EMBEDDED, WIDTHS, FILTERS = 160, 8, (2, 3, 4, 5), 8
 WIDEST = max(WIDTHS)
@@ -171,6 +171,7 @@ def with_language(docs: DataFrame, network: Network, text: str = "text", out: st
     bounded_batches(docs.sparkSession)
 
     def predicted(texts: pd.Series) -> pd.DataFrame:
+        kept_by_worker()
         return pd.DataFrame(network.predict(texts), columns=PREDICTION.names)
 
     return docs.withColumn(out, F.pandas_udf(predicted, PREDICTION)(F.col(text)))

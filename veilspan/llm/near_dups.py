@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspan.llm.common import bounded_batches, cut
+from veilspan.llm.common import bounded_batches, cut, kept_by_worker
 from veilspan.llm.components import components
 from veilspan.llm.syncmers import UNSPACED
 
@@ -145,6 +145,7 @@ def _chunks(lengths: np.ndarray) -> Iterator[slice]:
 
 def _by_chunk(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
     """Each batch with its last column, lists of word hashes, replaced by what ``make`` returns for them."""
+    kept_by_worker()
     for batch in batches:
         lists = batch.columns[-1]
         offsets = lists.offsets.to_numpy()

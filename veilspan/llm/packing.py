@@ -23,7 +23,6 @@ import zlib
 from array import array
 from bisect import insort
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import islice
 from unicodedata import is_normalized
 
@@ -35,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspan.llm.common import bounded_batches
+from veilspan.llm.common import bounded_batches, kept_by_worker
 
 CAPACITY, CLOSING_ID, ID_BYTES = 4096, 2, 4
 #: Windows are taken from the pool while it holds more than this.
 POOL_TOKENS = 96 * CAPACITY
 #: A worker keeps the ids of so many words; of more it forgets the older half. Longer words aren't kept.
-MOST_CACHED, LONGEST_CACHED = 800_000, 64
+MOST_CACHED, LONGEST_CACHED = 700_000, 64
 #: str.split() also splits at these, which the tokenizers do not count as white space.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Marks that, after letters, are a pre-token of their own.
@@ -119,11 +118,6 @@ class Tokenizer:
         return [self.words.encode(t) if t and SEPARATORS.search(t) else b"".join(map(find, (t or "").split())) for t in texts]
 
 
-@lru_cache(maxsize=2)
-def _worker_tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
-
-
 def best_filling(counts: dict[int, int], lengths: list[int], capacity: int) -> dict[int, int]:
     """How many of each length to take for the largest sum up to ``capacity``. ``lengths``: those of ``counts``, ascending;
     longer ones are tried first, and the search ends once the capacity itself is reached."""
@@ -237,7 +231,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer_pa
     closing = np.array([CLOSING_ID], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, id_type = _worker_tokenizer(path), None
+        tokenizer, id_type = kept_by_worker(("packing", path), lambda: Tokenizer(path)), None
 
         def documents():
             nonlocal id_type

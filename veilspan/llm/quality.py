@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspan.llm.common import bounded_batches, crc_mod, labelled_sample, spread_pieces
+from veilspan.llm.common import bounded_batches, crc_mod, kept_by_worker, labelled_sample, spread_pieces
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 10, (3, 4)
 REPEATED = "\0same"
@@ -32,7 +32,7 @@ REPEATED = "\0same"
 PER_LABEL, WORDS_PER_DRAW, EPOCHS, BATCH, RATE = 2000, 160, 6, 32, 8.0
 HELD_OUT_MODULUS, HELD_OUT_REST = 4, 2
 THRESHOLD = 0.7
-MOST_CACHED, LONGEST_CACHED = 900_000, 64
+MOST_CACHED, LONGEST_CACHED = 500_000, 64
 
 
 def word_features(word: str) -> list[int]:
@@ -98,18 +98,10 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> tuple[np.ndarr
 class Scorer:
     """A worker's words for one model: sum of logits and number of vectors of each."""
 
-    kept: Scorer | None = None
-
-    def __init__(self, name: int, weights: np.ndarray, bias: float):
-        self.name, self.weights, self.bias = name, weights, bias
+    def __init__(self, weights: np.ndarray, bias: float):
+        self.weights, self.bias = weights, bias
         self.words: dict[str, tuple[float, int]] = {}
 
-    @classmethod
-    def of(cls, name: int, weights: np.ndarray, bias: float) -> Scorer:
-        if cls.kept is None or cls.kept.name != name:
-            cls.kept = cls(name, weights, bias)
-        return cls.kept
-
     def scores(self, texts) -> list[float]:
         split = [words_of(t) for t in texts]
         if len(self.words) > MOST_CACHED:
@@ -145,10 +137,10 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "te
     """``docs`` with the score of each whole text; a column of that name is replaced."""
     bounded_batches(docs.sparkSession)
     weights, bias = model
-    name = zlib.crc32(weights.tobytes(), zlib.crc32(np.float64(bias).tobytes()))
+    name = ("quality", zlib.crc32(weights.tobytes(), zlib.crc32(np.float64(bias).tobytes())))
 
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(Scorer.of(name, weights, bias).scores(texts), dtype="float64")
+        return pd.Series(kept_by_worker(name, lambda: Scorer(weights, bias)).scores(texts), dtype="float64")
 
     return docs.withColumn(out, F.pandas_udf(scored, T.DoubleType())(F.col(text)))
 

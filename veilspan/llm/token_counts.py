@@ -15,15 +15,13 @@ Defined cases: null and blank texts have 0 words and 0 tokens; whitespace only s
 from __future__ import annotations
 
 import math
-from functools import lru_cache
-
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspan.llm.common import bounded_batches
+from veilspan.llm.common import bounded_batches, kept_by_worker
 
 MARK, BYTE_SCORE = "▁", -14.0
 #: A worker's trie starts anew beyond so many nodes; longer words are counted without entering it.
@@ -112,11 +110,6 @@ class UnigramTrie:
         return out
 
 
-@lru_cache(maxsize=2)
-def _worker_trie(path: str) -> UnigramTrie:
-    return UnigramTrie(vocabulary(path))
-
-
 COUNTS = T.StructType().add("n_words", T.LongType()).add("n_tokens", T.LongType()).add("byte_tokens", T.LongType())
 
 
@@ -127,7 +120,7 @@ def token_counts(df: DataFrame, text: str = "text", vocabulary_path: str | None
     path = vocabulary_path or public_tokenizers.path("piece_bpe_32k.model")
 
     def counted(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_worker_trie(path).counts(texts), columns=COUNTS.names)
+        return pd.DataFrame(kept_by_worker(("token counts", path), lambda: UnigramTrie(vocabulary(path))).counts(texts), columns=COUNTS.names)
 
     others = [F.col(f"`{c}`") for c in df.columns if c not in COUNTS.names]
     return df.select(*others, F.pandas_udf(counted, COUNTS)(F.col(text)).alias("_veil_counts")).select(*others, "_veil_counts.*")
