@@ -133,3 +133,15 @@ def test_queue_reader(spark):
     events, end = queue.read(queue.initialOffset())
     assert list(events) == [("a",), ("b",)] and end == {"taken": 2}
     assert list(queue.readBetweenOffsets({"taken": 0}, end)) == []
+
+
+def test_sql_surface_equals_the_columns(spark):
+    from veilspan.operators import surface
+
+    surface.register(spark)
+    texts = ['{"accountId": "811596193553"}', "a@b.co 10.0.0.1 411111111111", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    df.createOrReplaceTempView("lines_with_pii")
+    got = spark.sql("select i, type, start, end from lines_with_pii, lateral scan_pii(t)").collect()
+    want = df.select("i", F.inline(detect.scan_regex(F.col("t")))).select("i", "type", "start", "end").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 3

@@ -26,6 +26,15 @@ def kafka_events(spark: SparkSession, servers: str, topic: str, per_trigger: int
     return stream.select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("ts"), F.concat_ws("-", "topic", "partition", "offset").alias("doc_id"))
 
 
+def to_kafka(rows: DataFrame, servers: str, topic: str, checkpoint: str | None = None, key: str = "doc_id"):
+    """Rows as JSON to a topic, acknowledged by all replicas; a stream is started, a table is written."""
+    out = rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
+    options = {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": "all"}
+    if rows.isStreaming:
+        return out.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint).start()
+    return out.write.format("kafka").options(**options).save()
+
+
 def file_events(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """value, ts and doc_id (hash of file and line) of JSON lines that land in a folder."""
     stream = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
