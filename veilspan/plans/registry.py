@@ -14,7 +14,7 @@ from veilspan.functions.spans import dedup_by_start, let, shifted, text_of
 from veilspan.operators import anonymize, bloom, detect, drift, evaluate, gate, tokens
 from veilspan.plans import oracles as O
 from veilspan.sources import readers
-from veilspan.sources.logs import SLOT_TYPES, log_lines, log_sql
+from veilspan.sources.logs import log_lines, log_sql
 
 #: Keys of the test queries; deployments bring their own.
 KEYS = anonymize.Keys(pseudonym="test-pseudonym-key", token="test-token-key", audit="test-audit-key", fingerprint="test-fingerprint-key")
