@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import patterns as P
 from veilspan.functions.crypto import hmac_sha256
-from veilspan.functions.spans import dedup_by_start, replace_right_to_left, text_of
+from veilspan.functions.spans import dedup_by_start, let, replace_right_to_left, text_of
 from veilspan.operators.detect import without_entropy
 
 
@@ -93,11 +93,15 @@ def _payload(field_type: Column, method: Column, fingerprint: Column, version: C
 
 def audit_event(field_type: Column, value: Column, keys: Keys, timestamp: Column, policy: Policy = Policy()) -> Column:
     """struct of field_type, method, policy_version, original_value_fingerprint, timestamp, authentication_tag."""
-    method, version, fingerprint = method_of(field_type, policy), F.lit(policy.version), hmac_sha256(keys.fingerprint, value)
-    return F.struct(
-        field_type.alias("field_type"), method.alias("method"), version.alias("policy_version"), fingerprint.alias("original_value_fingerprint"),
-        timestamp.cast("bigint").alias("timestamp"), hmac_sha256(keys.audit, _payload(field_type, method, fingerprint, version, timestamp)).alias("authentication_tag"),
-    )
+    method, version = method_of(field_type, policy), F.lit(policy.version)
+
+    def signed(fingerprint: Column) -> Column:
+        return F.struct(
+            field_type.alias("field_type"), method.alias("method"), version.alias("policy_version"), fingerprint.alias("original_value_fingerprint"),
+            timestamp.cast("bigint").alias("timestamp"), hmac_sha256(keys.audit, _payload(field_type, method, fingerprint, version, timestamp)).alias("authentication_tag"),
+        )
+
+    return let(hmac_sha256(keys.fingerprint, value), signed)
 
 
 def verify_audit_event(event: Column, audit_key: str) -> Column:
@@ -121,5 +125,5 @@ def process_lines(df: DataFrame, spans: Column, keys: Keys, timestamp: Column, p
 
 def audit_rows(processed: DataFrame, line_id: str = "line_id") -> DataFrame:
     """One row per audit event with its own id, the line's id and its number in the line."""
-    rows = processed.select(F.col(line_id).alias("line_id"), "log_type", F.posexplode("audit_events").alias("number", "event"))
+    rows = processed.select(F.col(line_id).alias("line_id"), "log_type", F.posexplode_outer("audit_events").alias("number", "event")).where("event is not null")
     return rows.select(F.concat(F.col("line_id").cast("string"), F.lit("-audit-"), F.col("number").cast("string")).alias("event_id"), "line_id", "log_type", "event.*")
