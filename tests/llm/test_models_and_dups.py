@@ -70,6 +70,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_classes(docs)
 
 
+def test_many_pairs_of_near_copies_are_all_found(spark):
+    random.seed(8)
+    docs = {}
+    for i in range(400):
+        words = [f"w{random.randrange(5000)}" for _ in range(120)]
+        copy = list(words)
+        for _ in range(random.choice((1, 2))):
+            copy[random.randrange(120)] = f"x{i}"
+        docs[2 * i], docs[2 * i + 1] = " ".join(words), " ".join(copy)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(df).collect()}
+    assert got == brute_classes(docs)
+
+
 def test_op3_on_documents(spark, sf_dir):
     docs = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     assert {r["doc_id"]: r["class_id"] for r in QUERIES["op3_dart_minhash"](spark, sf_dir).collect()} == brute_classes(docs)

@@ -9,7 +9,8 @@ a coordinate empty throws again up to twice the rank.
 
 Bands of ``ROWS`` coordinates are joined. Within a bucket every text is paired with two of its members, the first in an
 order of all texts and the last in one of ``HEAD_ORDERS`` other orders: pairs grow with the texts, not with the square of
-a bucket, and texts of a large class share their few heads in all buckets. Candidate pairs whose signatures agree in fewer than ``LIKELY`` of the coordinates are put aside
+a bucket, and texts of a large class share their few heads in all buckets. Buckets of up to ``PAIRED_WHOLE`` texts are
+paired whole. Candidate pairs whose signatures agree in fewer than ``LIKELY`` of the coordinates are put aside
 (at a true 0.8 this has a chance of about 1e-8), all others are checked exactly on their whole shingle multisets: first
 each text with its likeliest partner; then, once those links are joined to components, the pairs that still lie between
 different components. A link holds at a likeness of ``LIKENESS`` or more, as sets or as multisets.
@@ -37,7 +38,7 @@ from veilspan.llm.syncmers import UNSPACED
 
 SHINGLE, LIKENESS, LIKELY = 5, 0.8, 0.6
 BANDS, ROWS = 25, 5
-HEAD_ORDERS = 5
+HEAD_ORDERS, PAIRED_WHOLE = 5, 12
 COORDINATES = BANDS * ROWS
 #: Expected darts of a text: coordinates * (ln(coordinates) + 6).
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 6))
@@ -210,10 +211,16 @@ def candidates(texts: DataFrame) -> DataFrame:
     """Pairs a < b of nodes with the agreement of their signatures. ``texts``: node, bands, sketch."""
     banded = texts.select("node", F.posexplode("bands").alias("number", "band")).select("node", "band", (F.col("number") % HEAD_ORDERS).alias("turn"))
     # one order of all nodes and a few others: the members of a large class meet the same few heads in all its buckets
-    low, high = F.min_by("node", F.xxhash64("node")), F.max_by("node", F.xxhash64("node", "turn"))
-    heads = banded.groupBy("band").agg(low.alias("low"), high.alias("high")).where("low <> high")
-    pairs = banded.join(heads, "band").select("node", F.explode(F.array("low", "high")).alias("head")).where("node <> head")
-    pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    turned = F.xxhash64("node", "turn")
+    heads = banded.groupBy("band").agg(F.min_by("node", F.xxhash64("node")).alias("low"), F.max_by("node", turned).alias("last"), F.min_by("node", turned).alias("first"), F.count("*").alias("members"))
+    # the second head is another text than the first: where one is last in its turn's order, the first in it
+    heads = heads.where("members > 1").select("band", "low", F.when(F.col("last") != F.col("low"), F.col("last")).otherwise(F.col("first")).alias("high"), "members")
+    met = banded.select("node", "band").join(heads, "band")
+    pairs = met.select("node", F.explode(F.array("low", "high")).alias("head")).where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+    # of up to three members every pair has a head; somewhat larger buckets are paired whole
+    lists = met.where(F.col("members").between(4, PAIRED_WHOLE)).groupBy("band").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    others = F.transform("nodes", lambda x, i: F.transform(F.slice("nodes", i + 2, F.size("nodes")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    pairs = pairs.union(lists.select(F.inline(F.flatten(others)))).distinct()
     sketches = texts.select("node", "sketch")
     for end in ("a", "b"):
         pairs = pairs.join(sketches.withColumnsRenamed({"node": end, "sketch": f"sketch_{end}"}), end)
