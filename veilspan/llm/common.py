@@ -53,6 +53,39 @@ def kept_by_worker(name: object = None, make=lambda: None):
     return _kept[1]
 
 
+def give_back() -> None:
+    """Returns memory that a fitted sample leaves behind in this process to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+class Recent(dict):
+    """A bounded mapping that ``make`` fills when a key is first asked for. Keys live in two generations: what was asked for
+    since the last turn, and what was before it; what nobody asked for in both is forgotten. Long keys are never kept."""
+
+    def __init__(self, make, most: int, longest: int = 64):
+        super().__init__()
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.most // 2:
+            self.older = dict(self)
+            self.clear()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -23,7 +23,6 @@ import zlib
 from array import array
 from bisect import insort
 from collections.abc import Iterable, Iterator
-from itertools import islice
 from unicodedata import is_normalized
 
 import numpy as np
@@ -34,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspan.llm.common import bounded_batches, kept_by_worker
+from veilspan.llm.common import Recent, bounded_batches, kept_by_worker
 
 CAPACITY, CLOSING_ID, ID_BYTES = 4096, 2, 4
 #: Windows are taken from the pool while it holds more than this.
 POOL_TOKENS = 96 * CAPACITY
-#: A worker keeps the ids of so many words; of more it forgets the older half. Longer words aren't kept.
-MOST_CACHED, LONGEST_CACHED = 700_000, 64
+#: A worker keeps the ids of so many words.
+MOST_CACHED = 500_000
 #: str.split() also splits at these, which the tokenizers do not count as white space.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Marks that, after letters, are a pre-token of their own.
@@ -53,48 +52,31 @@ def _byte_symbols() -> dict[int, str]:
     return {byte: chr(256 + i) for i, byte in enumerate(hidden)}
 
 
-class Words(dict):
+class Words(Recent):
     """Ids of words, as little-endian 32-bit bytes, found when first asked for.
 
-    A word of letters with marks behind is two pre-tokens. The letters, in lower case, go straight to the vocabulary's
-    merge model; whatever is not so simple goes through the whole tokenizer.
+    A word of letters with marks behind is two pre-tokens. Letters in lower case go straight to the vocabulary's merge
+    model; whatever is not so simple goes through the whole tokenizer.
     """
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.merges = tokenizer, tokenizer.model.tokenize
-        self.symbols, self.letters = _byte_symbols(), {}
+        super().__init__(self.ids_of, MOST_CACHED)
+        self.tokenizer, self.merges, self.symbols = tokenizer, tokenizer.model.tokenize, _byte_symbols()
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def ids_of(self, word: str) -> bytes:
         letters = word.rstrip(TAIL)
-        if letters.isalpha() and "\u03a3" not in letters and "\u0130" not in letters:
-            low = letters.lower()
-            ids = self.letters.get(low)
-            if ids is None:
-                if not low.isalpha() or not is_normalized("NFC", low):
-                    ids = self.encode(letters)
-                else:
-                    symbols = low if low.isascii() else low.encode().decode("latin-1").translate(self.symbols)
-                    ids = array("I", [t.id for t in self.merges(symbols)]).tobytes()
-                if len(low) <= LONGEST_CACHED:
-                    self.letters[low] = ids
-            if len(letters) < len(word):
-                ids += self[word[len(letters) :]]
-        else:
-            ids = self.encode(word)
-        if len(word) <= LONGEST_CACHED:
-            self[word] = ids
-        return ids
-
-    def forget(self) -> None:
-        for kept in (self, self.letters):
-            if len(kept) > MOST_CACHED:
-                newer = list(islice(kept.items(), len(kept) // 2, None))
-                kept.clear()
-                kept.update(newer)
+        if not letters.isalpha() or "\u03a3" in letters or "\u0130" in letters:
+            return self.encode(word)
+        low = letters.lower()
+        if low == word and is_normalized("NFC", low):
+            symbols = low if low.isascii() else low.encode().decode("latin-1").translate(self.symbols)
+            return array("I", [t.id for t in self.merges(symbols)]).tobytes()
+        if low == word or not low.isalpha():
+            return self.encode(word)
+        return self[low] + (self[word[len(letters) :]] if len(letters) < len(word) else b"")
 
 
 class Tokenizer:
@@ -113,7 +95,7 @@ class Tokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if self.words is None:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        self.words.forget()
+        self.words.turn()
         find = self.words.__getitem__
         return [self.words.encode(t) if t and SEPARATORS.search(t) else b"".join(map(find, (t or "").split())) for t in texts]
 
