@@ -11,22 +11,19 @@ is ``und`` too; with one language every text with a letter is that language; rep
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspan.llm.common import bounded_batches, crc_mod, kept_by_worker, labelled_sample, spread_pieces
+from veilspan.llm.common import bounded_batches, crc_mod, give_back, kept_by_worker, labelled_sample, spread_pieces
 
 WINDOW, EMBEDDED, WIDTHS, FILTERS = 160, 8, (2, 3, 4, 5), 8
 WIDEST = max(WIDTHS)
-PER_LANGUAGE, WINDOWS_PER_DOCUMENT, EPOCHS, BATCH, RATE = 500, 6, 8, 64, 0.004
+PER_LANGUAGE, WINDOWS_PER_DOCUMENT, EPOCHS, LEAST_STEPS, BATCH, RATE = 500, 6, 8, 400, 64, 0.004
 HELD_OUT_MODULUS, HELD_OUT_REST = 3, 1
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 #: Windows that go through the network at once.
 CHUNK = 128
 
@@ -86,8 +83,10 @@ class Network:
         random = np.random.default_rng(seed)
         parts = {"bytes": self.bytes, "filters": self.filters, "offset": self.offset, "layer": self.layer, "bias": self.bias}
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in parts.items()}
-        step, steps = 0, EPOCHS * -(-len(windows) // BATCH)
-        for _ in range(EPOCHS):
+        in_epoch = -(-len(windows) // BATCH)
+        epochs = max(EPOCHS, -(-LEAST_STEPS // in_epoch))
+        step, steps = 0, epochs * in_epoch
+        for _ in range(epochs):
             order = random.permutation(len(windows))
             for at in range(0, len(windows), BATCH):
                 rows = order[at : at + BATCH]
@@ -124,7 +123,7 @@ class Network:
         return self
 
     def predict(self, texts) -> list[tuple[str, float]]:
-        texts = [t if t and LETTER.search(t) else None for t in texts]
+        texts = [t if t and any(map(str.isalpha, t)) else None for t in texts]
         if not self.languages:
             return [(UNDETERMINED, 0.0)] * len(texts)
         windows, owner, sizes = windows_of([(t or "").encode("utf-8", "surrogatepass") for t in texts])
@@ -160,7 +159,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     sample = labelled_sample(known, "_veil_lang", "_veil_id", PER_LANGUAGE)
     rows = sample.select("_veil_id", "_veil_lang", spread_pieces(F.col("_veil_text")).alias("_veil_pieces")).collect()  # bounded by PER_LANGUAGE
     rows.sort(key=lambda r: (r["_veil_lang"], r["_veil_id"] is None, r["_veil_id"], r["_veil_pieces"]))
-    return fit_network([(r["_veil_lang"], r["_veil_pieces"]) for r in rows])
+    network = fit_network([(r["_veil_lang"], r["_veil_pieces"]) for r in rows])
+    del rows
+    give_back()
+    return network
 
 
 PREDICTION = T.StructType().add("lang_pred", T.StringType()).add("score", T.DoubleType())

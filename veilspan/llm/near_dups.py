@@ -11,9 +11,8 @@ Bands of ``ROWS`` coordinates are joined. Within a bucket every text is paired w
 order of all texts and the last in one of ``HEAD_ORDERS`` other orders: pairs grow with the texts, not with the square of
 a bucket, and texts of a large class share their few heads in all buckets. Buckets of up to ``PAIRED_WHOLE`` texts are
 paired whole. Candidate pairs whose signatures agree in fewer than ``LIKELY`` of the coordinates are put aside
-(at a true 0.8 this has a chance of about 1e-8), all others are checked exactly on their whole shingle multisets: first
-each text with its likeliest partner; then, once those links are joined to components, the pairs that still lie between
-different components. A link holds at a likeness of ``LIKENESS`` or more, as sets or as multisets.
+(at a true 0.8 this has a chance of about 1e-8), all others are checked exactly on their whole shingle multisets. A link
+holds at a likeness of ``LIKENESS`` or more, as sets or as multisets.
 
 Equal texts are one node throughout. No text, signature or link comes to the driver.
 
@@ -250,7 +249,7 @@ class NearDuplicates:
         texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
         self.texts = texts.select("node", "text_key", "first_id", "copies")
 
-        pairs = cut(candidates(texts))
+        pairs = cut(candidates(texts).select("a", "b"))
         involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.texts, "node")
         words = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(
             involved.select("node", F.col("first_id"), "text_key"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (text_key(F.col("text")) == F.col("text_key"))
@@ -259,18 +258,8 @@ class NearDuplicates:
         schema = T.StructType([words.schema["node"], T.StructField("once", LONGS), T.StructField("more", LONGS)])
         elements = cut(words.mapInArrow(lambda batches: _by_chunk(batches, _elements), schema).dropDuplicates(["node"]))
 
-        ends = pairs.select(F.explode(F.array(F.struct("a", F.col("b").alias("other")), F.struct(F.col("b").alias("a"), F.col("a").alias("other")))).alias("end"), "agreement")
-        likeliest = ends.groupBy("end.a").agg(F.max(F.struct("agreement", (-F.col("end.other")).alias("minus"))).alias("best")).select("a", (-F.col("best.minus")).alias("b"))
-        first = likeliest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = cut(likeness_of(first, elements).where(F.col("likeness") >= likeness))
-        self.labels = components(links)
-        label = lambda end: self.labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
-        rest = pairs.join(first, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
-        rest = rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-        more = cut(likeness_of(rest, elements).where(F.col("likeness") >= likeness))
-        self.links = links.union(more)
-        if not more.isEmpty():
-            self.labels = components(self.links)
+        self.links = cut(likeness_of(pairs, elements).where(F.col("likeness") >= likeness))
+        self.labels = components(self.links)
 
     def text_classes(self) -> DataFrame:
         """Distinct texts with class_id (the least doc_id of their class), class_size (rows) and first_id."""
@@ -289,11 +278,12 @@ def near_duplicates(docs: DataFrame, **columns) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that of the least doc_id."""
-    heads = NearDuplicates(docs, doc_id, text).text_classes().where("is_head").select(F.col("text_key").alias("_veil_key"), F.col("first_id").alias("_veil_first"))
+    found = NearDuplicates(docs, doc_id, text)
+    heads = found.text_classes().where("is_head").select(F.col("text_key").alias("_veil_key"), F.col("first_id").alias("_veil_first"))
     kept = docs.withColumn("_veil_own", text_key(F.col(text)))
     kept = kept.join(heads, (F.col("_veil_own") == F.col("_veil_key")) & F.col(doc_id).eqNullSafe(F.col("_veil_first")), "left_semi")
     # a row that is repeated whole stays once: the first of equal ids and texts
-    repeated = docs.groupBy(F.col(doc_id).alias("_veil_first"), text_key(F.col(text)).alias("_veil_key")).agg(F.count("*").alias("_veil_n")).where("_veil_n > 1")
+    repeated = found.rows.groupBy(F.col("doc_id").alias("_veil_first"), F.col("text_key").alias("_veil_key")).agg(F.count("*").alias("_veil_n")).where("_veil_n > 1")
     condition = (F.col("_veil_own") == F.col("_veil_key")) & F.col(doc_id).eqNullSafe(F.col("_veil_first"))
     single = kept.join(repeated, condition, "left_anti")
     several = kept.join(repeated, condition, "left_semi").dropDuplicates([doc_id, "_veil_own"])

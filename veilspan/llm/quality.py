@@ -24,15 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspan.llm.common import bounded_batches, crc_mod, kept_by_worker, labelled_sample, spread_pieces
+from veilspan.llm.common import Recent, bounded_batches, crc_mod, give_back, kept_by_worker, labelled_sample, spread_pieces
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 10, (3, 4)
 REPEATED = "\0same"
-#: The sample's bound, and words drawn from each of its documents in an epoch.
-PER_LABEL, WORDS_PER_DRAW, EPOCHS, BATCH, RATE = 2000, 160, 6, 32, 8.0
+#: The sample's bound, words drawn from each of its documents in an epoch; small samples get more epochs, for LEAST_STEPS.
+PER_LABEL, WORDS_PER_DRAW, EPOCHS, LEAST_STEPS, BATCH, RATE = 1200, 160, 6, 400, 32, 8.0
 HELD_OUT_MODULUS, HELD_OUT_REST = 4, 2
 THRESHOLD = 0.7
-MOST_CACHED, LONGEST_CACHED = 500_000, 64
+MOST_CACHED = 400_000
 
 
 def word_features(word: str) -> list[int]:
@@ -66,8 +66,10 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> tuple[np.ndarr
     random = np.random.default_rng(seed)
     vectors = random.uniform(-0.1, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
-    steps, step = EPOCHS * -(-len(docs) // BATCH), 0
-    for _ in range(EPOCHS):
+    in_epoch = -(-len(docs) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // in_epoch))
+    steps, step = epochs * in_epoch, 0
+    for _ in range(epochs):
         order = random.permutation(len(docs))
         for at in range(0, len(docs), BATCH):
             rows = order[at : at + BATCH]
@@ -96,29 +98,26 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> tuple[np.ndarr
 
 
 class Scorer:
-    """A worker's words for one model: sum of logits and number of vectors of each."""
+    """A worker's words for one model, each with its vectors' sum of logits. A word of n code points has 2n vectors: its own,
+    n 3-grams and n - 1 4-grams, marks included."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
-        self.words: dict[str, tuple[float, int]] = {}
+        self.repeated = self._sum(REPEATED)
+        self.words = Recent(self._sum, MOST_CACHED)
+
+    def _sum(self, word: str) -> float:
+        return float(self.weights[np.array(word_features(word)) % BUCKETS].sum(dtype=np.float64))
 
     def scores(self, texts) -> list[float]:
-        split = [words_of(t) for t in texts]
-        if len(self.words) > MOST_CACHED:
-            self.words.clear()
-        missing = set().union(*split).difference(self.words)
-        for word in missing:
-            ids = word_features(word)
-            self.words[word] = (float(self.weights[np.array(ids) % BUCKETS].sum(dtype=np.float64)), len(ids))
-        out = []
-        for words in split:
-            values = [self.words[w] for w in words]
-            n = sum([v[1] for v in values])
-            logit = self.bias + (sum([v[0] for v in values]) / n if n else 0.0)
+        self.words.turn()
+        out, find = [], self.words.__getitem__
+        for text in texts:
+            words = (text or "").split()
+            repeats = sum(map(eq, words, islice(words, 1, None)))
+            n = 2 * sum(map(len, words)) + repeats
+            logit = self.bias + ((sum(map(find, words)) + repeats * self.repeated) / n if n else 0.0)
             out.append(float(1 / (1 + np.exp(-logit))))
-        for word in missing:
-            if len(word) > LONGEST_CACHED:
-                del self.words[word]
         return out
 
 
@@ -130,7 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     texts = docs.select(F.col(doc_id).alias("_veil_id"), F.concat_ws("\n", spread_pieces(F.col(text))).alias("_veil_text"))
     rows = texts.join(F.broadcast(sample), "_veil_id").collect()  # the sample is bounded by PER_LABEL of each label
     rows.sort(key=lambda r: (r["_veil_id"], r["_veil_text"] or ""))
-    return train([r["_veil_text"] for r in rows], [int(r["_veil_label"] == 1) for r in rows])
+    model = train([r["_veil_text"] for r in rows], [int(r["_veil_label"] == 1) for r in rows])
+    del rows
+    give_back()
+    return model
 
 
 def with_score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:

@@ -15,6 +15,7 @@ Defined cases: null and blank texts have 0 words and 0 tokens; whitespace only s
 from __future__ import annotations
 
 import math
+
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
