@@ -160,7 +160,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sums keep to the targets; a row that is not taken goes, one without words stays once."""
     key = F.xxhash64(F.col(doc_id), F.col(source), F.col(text))
     taken = Mix(docs, doc_id, text, source, key=key).taken()
-    ratios = taken.groupBy("key").agg((F.sum("taken") / F.sum("size")).alias("_veil_ratio")).withColumnRenamed("key", "_veil_key")
+    ratios = taken.groupBy("key").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_veil_ratio")).withColumnRenamed("key", "_veil_key")
     rows = docs.withColumn("_veil_key", key).join(ratios, "_veil_key")
     copies = F.coalesce(F.floor(F.col("_veil_ratio") + hash_unit(F.col("_veil_key"), seed=DRAW_SEED)), F.lit(1)).cast("int")
     rows = rows.withColumn("_veil_copy", F.explode(F.array_repeat(F.lit(0), F.least(copies, F.lit(MOST_REPEATS)))))
