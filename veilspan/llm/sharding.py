@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from veilspan.llm.common import constants, cut, hash_unit, interval_of
 
-SHARDS, ROUNDS, SLACK, BUCKET_ROWS = 24, 6, 0.04, 50_000
+SHARDS, ROUNDS, SLACK, BUCKET_ROWS = 24, 12, 0.04, 50_000
 OVERHEAD = 8
 
 
