@@ -84,6 +84,22 @@ def test_many_pairs_of_near_copies_are_all_found(spark):
     assert got == brute_classes(docs)
 
 
+def test_copies_that_resemble_only_their_original(spark):
+    """Copies at 0.8 or more to their original and below that to one another: one class, through the original."""
+    random.seed(11)
+    base = [f"w{i}" for i in range(150)]
+    docs = {0: " ".join(base)}
+    for i in range(1, 301):
+        copy = list(base)
+        for k, at in enumerate(random.sample(range(150), 3)):
+            copy[at] = f"x{i}y{k}"
+        docs[i] = " ".join(copy)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(df).collect()}
+    want = brute_classes(docs)
+    assert len(set(want.values())) < 20 and got == want
+
+
 def test_op3_on_documents(spark, sf_dir):
     docs = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     assert {r["doc_id"]: r["class_id"] for r in QUERIES["op3_dart_minhash"](spark, sf_dir).collect()} == brute_classes(docs)

@@ -10,7 +10,9 @@ a coordinate empty throws again up to twice the rank.
 Bands of ``ROWS`` coordinates are joined. Within a bucket every text is paired with two of its members, the first in an
 order of all texts and the last in one of ``HEAD_ORDERS`` other orders: pairs grow with the texts, not with the square of
 a bucket, and texts of a large class share their few heads in all buckets. Buckets of up to ``PAIRED_WHOLE`` texts are
-paired whole. Candidate pairs whose signatures agree in fewer than ``LIKELY`` of the coordinates are put aside
+paired whole. Larger ones are then resolved in rounds: a bucket whose members are in several classes so far pairs more and
+more heads with all members of other classes, until its other members are of one class. So each pair of a bucket is compared, unless
+both are in one class already. Candidate pairs whose signatures agree in fewer than ``LIKELY`` of the coordinates are put aside
 (at a true 0.8 this has a chance of about 1e-8), all others are checked exactly on their whole shingle multisets. A link
 holds at a likeness of ``LIKENESS`` or more, as sets or as multisets.
 
@@ -31,13 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspan.llm.common import bounded_batches, cut, kept_by_worker
+from veilspan.llm.common import bounded_batches, cut, hash_unit, kept_by_worker
 from veilspan.llm.components import components
 from veilspan.llm.syncmers import UNSPACED
 
 SHINGLE, LIKENESS, LIKELY = 5, 0.8, 0.6
 BANDS, ROWS = 25, 5
-HEAD_ORDERS, PAIRED_WHOLE = 5, 12
+HEAD_ORDERS, PAIRED_WHOLE, LATER_HEADS = 5, 12, 8
 COORDINATES = BANDS * ROWS
 #: Expected darts of a text: coordinates * (ln(coordinates) + 6).
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 6))
@@ -206,24 +208,60 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((left == right).mean(1))
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Pairs a < b of nodes with the agreement of their signatures. ``texts``: node, bands, sketch."""
+def buckets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, band and turn of every band of a text, and band, low, high (two heads) and members of every bucket of several texts."""
     banded = texts.select("node", F.posexplode("bands").alias("number", "band")).select("node", "band", (F.col("number") % HEAD_ORDERS).alias("turn"))
     # one order of all nodes and a few others: the members of a large class meet the same few heads in all its buckets
     turned = F.xxhash64("node", "turn")
     heads = banded.groupBy("band").agg(F.min_by("node", F.xxhash64("node")).alias("low"), F.max_by("node", turned).alias("last"), F.min_by("node", turned).alias("first"), F.count("*").alias("members"))
     # the second head is another text than the first: where one is last in its turn's order, the first in it
-    heads = heads.where("members > 1").select("band", "low", F.when(F.col("last") != F.col("low"), F.col("last")).otherwise(F.col("first")).alias("high"), "members")
+    return banded, heads.where("members > 1").select("band", "low", F.when(F.col("last") != F.col("low"), F.col("last")).otherwise(F.col("first")).alias("high"), "members")
+
+
+def _ordered(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs whose signatures agree in ``LIKELY`` of the coordinates or more."""
+    sketches = texts.select("node", "sketch")
+    for end in ("a", "b"):
+        pairs = pairs.join(sketches.withColumnsRenamed({"node": end, "sketch": f"sketch_{end}"}), end)
+    return pairs.where(_agreement("sketch_a", "sketch_b") >= LIKELY).select("a", "b")
+
+
+def candidates(banded: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs a < b of every text with its buckets' heads, and of all texts in small buckets."""
     met = banded.select("node", "band").join(heads, "band")
-    pairs = met.select("node", F.explode(F.array("low", "high")).alias("head")).where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+    pairs = met.select("node", F.explode(F.array("low", "high")).alias("head")).where("node <> head").select(*_ordered("node", "head"))
     # of up to three members every pair has a head; somewhat larger buckets are paired whole
     lists = met.where(F.col("members").between(4, PAIRED_WHOLE)).groupBy("band").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     others = F.transform("nodes", lambda x, i: F.transform(F.slice("nodes", i + 2, F.size("nodes")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-    pairs = pairs.union(lists.select(F.inline(F.flatten(others)))).distinct()
-    sketches = texts.select("node", "sketch")
+    return pairs.union(lists.select(F.inline(F.flatten(others)))).distinct()
+
+
+def opened(members: DataFrame, labels: DataFrame, heads: int) -> DataFrame:
+    """node, band, label and is_head of the members (node, band) of buckets that hold several classes. All members outside a
+    bucket's main class are heads if they are ``heads`` at most; else the member of most such buckets (a text amid its copies
+    shares more buckets than they do) and about ``heads`` others by hash."""
+    members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    classes = members.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("main"))
+    members = cut(members.join(classes.where("members > main.n"), "band"))
+    met = members.groupBy("node").agg(F.count("*").alias("met"))
+    central = members.join(met, "node").groupBy("band").agg(F.max_by("node", F.struct("met", F.xxhash64("node", "band"))).alias("central"))
+    some = (F.col("node") == F.col("central")) | (hash_unit(F.col("node"), seed=heads) * F.col("members") < heads)
+    is_head = F.when(F.col("members") - F.col("main.n") <= heads, F.col("label") != F.col("main.label")).otherwise(some)
+    return cut(members.join(central, "band").select("node", "band", "label", is_head.alias("is_head")))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node and label after further links between nodes, of which some have no label yet."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    labels = cut(labels.select("node", "label").union(ends.select("node", F.col("node").alias("label"))))
     for end in ("a", "b"):
-        pairs = pairs.join(sketches.withColumnsRenamed({"node": end, "sketch": f"sketch_{end}"}), end)
-    return pairs.select("a", "b", _agreement("sketch_a", "sketch_b").alias("agreement")).where(F.col("agreement") >= LIKELY)
+        links = links.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end)
+    joined = components(links.select("of_a", "of_b"), "of_a", "of_b").select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return cut(labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
 def likeness_of(pairs: DataFrame, elements: DataFrame) -> DataFrame:
@@ -249,18 +287,42 @@ class NearDuplicates:
         texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
         self.texts = texts.select("node", "text_key", "first_id", "copies")
 
-        pairs = cut(candidates(texts).select("a", "b"))
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.texts, "node")
-        words = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(
-            involved.select("node", F.col("first_id"), "text_key"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (text_key(F.col("text")) == F.col("text_key"))
-        )
-        words = words.select("node", word_hashes(F.col("text")).alias("words"))
-        schema = T.StructType([words.schema["node"], T.StructField("once", LONGS), T.StructField("more", LONGS)])
-        elements = cut(words.mapInArrow(lambda batches: _by_chunk(batches, _elements), schema).dropDuplicates(["node"]))
-
-        self.links = cut(likeness_of(pairs, elements).where(F.col("likeness") >= likeness))
+        self._elements = None
+        banded, heads = buckets(texts)
+        heads = cut(heads)
+        tried = cut(agreeing(candidates(banded, heads), texts))
+        self.links = self._verified(docs, doc_id, text, tried, likeness)
         self.labels = components(self.links)
 
+        members = banded.join(heads.where(F.col("members") > PAIRED_WHOLE).select("band"), "band", "left_semi").select("node", "band")
+        most = LATER_HEADS
+        while not (open_ := opened(members, self.labels, most)).isEmpty():
+            heads = open_.where("is_head").select("band", F.col("node").alias("head"), F.col("label").alias("head_label"))
+            pairs = open_.join(heads, "band").where("label <> head_label").select(*_ordered("node", "head")).distinct()
+            pairs = cut(agreeing(pairs.join(tried, ["a", "b"], "left_anti"), texts))
+            if not pairs.isEmpty():
+                tried = tried.union(pairs)
+                links = self._verified(docs, doc_id, text, pairs, likeness)
+                if not links.isEmpty():
+                    self.links, self.labels = self.links.union(links), merged(self.labels, links)
+            # a head has met all others of its bucket
+            members, most = open_.where("not is_head").select("node", "band"), 2 * most
+
+    def _verified(self, docs: DataFrame, doc_id: str, text: str, pairs: DataFrame, likeness: float) -> DataFrame:
+        """Those of the pairs whose exact likeness is as high. Each text's shingles are made once."""
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.texts, "node")
+        if self._elements is not None:
+            involved = cut(involved.join(self._elements.select("node"), "node", "left_anti"))
+        if self._elements is None or not involved.isEmpty():
+            words = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(
+                involved.select("node", F.col("first_id"), "text_key"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (text_key(F.col("text")) == F.col("text_key"))
+            )
+            words = words.select("node", word_hashes(F.col("text")).alias("words"))
+            schema = T.StructType([words.schema["node"], T.StructField("once", LONGS), T.StructField("more", LONGS)])
+            elements = cut(words.mapInArrow(lambda batches: _by_chunk(batches, _elements), schema).dropDuplicates(["node"]))
+            self._elements = elements if self._elements is None else self._elements.union(elements)
+        return cut(likeness_of(pairs, self._elements).where(F.col("likeness") >= likeness))
+
     def text_classes(self) -> DataFrame:
         """Distinct texts with class_id (the least doc_id of their class), class_size (rows) and first_id."""
         texts = self.texts.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
