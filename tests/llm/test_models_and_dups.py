@@ -100,6 +100,18 @@ def test_copies_that_resemble_only_their_original(spark):
     assert len(set(want.values())) < 20 and got == want
 
 
+def test_sets_alike_are_found_where_multisets_are_not(spark):
+    """Texts of which one repeats a passage: likeness near 1 as sets, 0.5 or less as multisets."""
+    random.seed(12)
+    docs = {}
+    for i in range(60):
+        words = [f"w{random.randrange(5000)}" for _ in range(80)]
+        docs[2 * i], docs[2 * i + 1] = " ".join(words), " ".join(words * (2 + i % 3))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(df).collect()}
+    assert got == brute_classes(docs) and all(got[2 * i + 1] == 2 * i for i in range(60))
+
+
 def test_op3_on_documents(spark, sf_dir):
     docs = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     assert {r["doc_id"]: r["class_id"] for r in QUERIES["op3_dart_minhash"](spark, sf_dir).collect()} == brute_classes(docs)

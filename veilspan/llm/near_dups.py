@@ -5,14 +5,15 @@ words of their own). Every shingle throws darts: each unit cell (weight, rank) o
 darts, fixed by hashing, with a uniform rank in the cell and a coordinate. A text meets the darts of its shingles' weight
 (their count) up to a rank at which about ``DARTS`` darts fall, and keeps the earliest of each of ``BANDS * ROWS``
 coordinates; two texts agree in a coordinate with the probability of their weighted Jaccard likeness. A text that leaves
-a coordinate empty throws again up to twice the rank.
+a coordinate empty throws again up to twice the rank. A text that repeats shingles has a second signature, with all weights 1,
+whose agreement with another text's (its only one, if that repeats none) follows the likeness of the sets; its bands are joined like the others.
 
 Bands of ``ROWS`` coordinates are joined. Within a bucket every text is paired with two of its members, the first in an
 order of all texts and the last in one of ``HEAD_ORDERS`` other orders: pairs grow with the texts, not with the square of
 a bucket, and texts of a large class share their few heads in all buckets. Buckets of up to ``PAIRED_WHOLE`` texts are
 paired whole. Larger ones are then resolved in rounds: a bucket whose members are in several classes so far pairs more and
 more heads with all members of other classes, until its other members are of one class. So each pair of a bucket is compared, unless
-both are in one class already. Candidate pairs whose signatures agree in fewer than ``LIKELY`` of the coordinates are put aside
+both are in one class already. Candidate pairs whose signatures agree in fewer than ``LIKELY`` of the coordinates, as multisets and as sets, are put aside
 (at a true 0.8 this has a chance of about 1e-8), all others are checked exactly on their whole shingle multisets. A link
 holds at a likeness of ``LIKENESS`` or more, as sets or as multisets.
 
@@ -113,9 +114,12 @@ EMPTY = _U(2**64 - 1)
 
 def signatures(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A row of coordinates for each text; a text without words keeps ``EMPTY`` ones."""
-    values, owner, counts = weighed(*shingles(words, lengths))
-    signature = np.full((len(lengths), COORDINATES), EMPTY)
-    total = np.bincount(owner, counts, len(lengths))
+    return _signatures(*weighed(*shingles(words, lengths)), len(lengths))
+
+
+def _signatures(values: np.ndarray, owner: np.ndarray, counts: np.ndarray, texts: int) -> np.ndarray:
+    signature = np.full((texts, COORDINATES), EMPTY)
+    total = np.bincount(owner, counts, texts)
     top = DARTS / np.maximum(total, 1)
     open_ = total > 0
     while open_.any():
@@ -164,13 +168,21 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _signed(words: np.ndarray, lengths: np.ndarray) -> dict[str, pa.Array]:
-    signature = signatures(words, lengths)
-    bands = bands_of(signature)
-    sketch = (signature & _U(0xFF)).astype(np.uint8)
-    some = lengths > 0
+    values, owner, counts = weighed(*shingles(words, lengths))
+    signature = _signatures(values, owner, counts, len(lengths))
+    bands, some = bands_of(signature), lengths > 0
+    repeats = np.zeros(len(lengths), bool)
+    repeats[owner[counts > 1]] = True
+    of_sets, rows = np.cumsum(repeats) - 1, repeats[owner]
+    as_set = _signatures(values[rows], of_sets[owner[rows]], np.ones(rows.sum(), np.int64), repeats.sum())
+    set_bands = bands_of(as_set)
+    lists = [np.unique(np.concatenate([b, set_bands[i]])) if r else b if s else b[:0] for b, s, r, i in zip(bands, some, repeats, of_sets, strict=True)]
+    # a byte of each coordinate
+    sketch, set_sketch = ((x & _U(0xFF)).astype(np.uint8) for x in (signature, as_set))
     return {
-        "bands": _lists([b if s else b[:0] for b, s in zip(bands, some, strict=True)]),
+        "bands": _lists(lists),
         "sketch": pa.array([r.tobytes() for r in sketch], pa.binary()),
+        "set_sketch": pa.array([set_sketch[i].tobytes() if r else None for r, i in zip(repeats, of_sets, strict=True)], pa.binary()),
     }
 
 
@@ -193,10 +205,10 @@ def text_key(text: Column) -> Column:
 
 
 def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_key, bands and sketch (a byte of each coordinate) of every row."""
+    """doc_id, text_key, bands, sketch (a byte of each coordinate) and set_sketch (null where no shingle is repeated) of every row."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_key"), word_hashes(F.col(text)).alias("words"))
-    schema = T.StructType([rows.schema["doc_id"], rows.schema["text_key"], T.StructField("bands", LONGS), T.StructField("sketch", T.BinaryType())])
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["text_key"], T.StructField("bands", LONGS), T.StructField("sketch", T.BinaryType()), T.StructField("set_sketch", T.BinaryType())])
     return rows.mapInArrow(lambda batches: _by_chunk(batches, _signed), schema)
 
 
@@ -209,8 +221,8 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def buckets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """node, band and turn of every band of a text, and band, low, high (two heads) and members of every bucket of several texts."""
-    banded = texts.select("node", F.posexplode("bands").alias("number", "band")).select("node", "band", (F.col("number") % HEAD_ORDERS).alias("turn"))
+    """node, band and turn (of the band) of every band of a text, and band, low, high (two heads) and members of every bucket of several texts."""
+    banded = texts.select("node", F.explode("bands").alias("band")).select("node", "band", F.pmod("band", F.lit(HEAD_ORDERS)).alias("turn"))
     # one order of all nodes and a few others: the members of a large class meet the same few heads in all its buckets
     turned = F.xxhash64("node", "turn")
     heads = banded.groupBy("band").agg(F.min_by("node", F.xxhash64("node")).alias("low"), F.max_by("node", turned).alias("last"), F.min_by("node", turned).alias("first"), F.count("*").alias("members"))
@@ -223,11 +235,12 @@ def _ordered(x: str, y: str) -> tuple[Column, Column]:
 
 
 def agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs whose signatures agree in ``LIKELY`` of the coordinates or more."""
-    sketches = texts.select("node", "sketch")
+    """Those of the pairs whose signatures, as multisets or as sets, agree in ``LIKELY`` of the coordinates or more."""
+    sketches = texts.select("node", "sketch", "set_sketch")
     for end in ("a", "b"):
-        pairs = pairs.join(sketches.withColumnsRenamed({"node": end, "sketch": f"sketch_{end}"}), end)
-    return pairs.where(_agreement("sketch_a", "sketch_b") >= LIKELY).select("a", "b")
+        pairs = pairs.join(sketches.withColumnsRenamed({"node": end, "sketch": f"sketch_{end}", "set_sketch": f"set_{end}"}), end)
+    sets = [F.coalesce(f"set_{end}", f"sketch_{end}") for end in ("a", "b")]
+    return pairs.where(F.greatest(_agreement("sketch_a", "sketch_b"), _agreement(*sets)) >= LIKELY).select("a", "b")
 
 
 def candidates(banded: DataFrame, heads: DataFrame) -> DataFrame:
@@ -283,7 +296,7 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", likeness: float = LIKENESS):
         rows = cut(signed(docs, doc_id, text))
         self.rows = rows.select("doc_id", "text_key")
-        texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("set_sketch").alias("set_sketch"))
         texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
         self.texts = texts.select("node", "text_key", "first_id", "copies")
 
