@@ -40,7 +40,7 @@ from veilspan.llm.syncmers import UNSPACED
 
 SHINGLE, LIKENESS, LIKELY = 5, 0.8, 0.6
 BANDS, ROWS = 25, 5
-HEAD_ORDERS, PAIRED_WHOLE, LATER_HEADS = 5, 12, 8
+HEAD_ORDERS, PAIRED_WHOLE, LATER_HEADS = 5, 12, 32
 COORDINATES = BANDS * ROWS
 #: Expected darts of a text: coordinates * (ln(coordinates) + 6).
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 6))
@@ -319,7 +319,7 @@ class NearDuplicates:
                 if not links.isEmpty():
                     self.links, self.labels = self.links.union(links), merged(self.labels, links)
             # a head has met all others of its bucket
-            members, most = open_.where("not is_head").select("node", "band"), 2 * most
+            members, most = open_.where("not is_head").select("node", "band"), 4 * most
 
     def _verified(self, docs: DataFrame, doc_id: str, text: str, pairs: DataFrame, likeness: float) -> DataFrame:
         """Those of the pairs whose exact likeness is as high. Each text's shingles are made once."""
