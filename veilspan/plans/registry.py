@@ -14,7 +14,7 @@ from veilspan.functions.spans import dedup_by_start, let, shifted, text_of
 from veilspan.operators import anonymize, bloom, detect, drift, evaluate, gate, tokens
 from veilspan.plans import oracles as O
 from veilspan.sources import readers
-from veilspan.sources.logs import log_lines, log_sql
+from veilspan.sources.logs import log_lines, slot_rows
 
 #: Keys of the test queries; deployments bring their own.
 KEYS = anonymize.Keys(pseudonym="test-pseudonym-key", token="test-token-key", audit="test-audit-key", fingerprint="test-fingerprint-key")
@@ -43,7 +43,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return readers.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _detected(text: Column) -> Column:
@@ -90,7 +90,7 @@ def log_regex_spans(spark, sf_dir):
 
 @query(_spans_sql(O.regex_spans("pages", "page_id", "html"), "page_id"))
 def page_regex_spans(spark, sf_dir):
-    return _found(_table(spark, sf_dir, "pages"), detect.scan_regex(F.col("html")), "page_id", "html")
+    return _found(readers.spread(_table(spark, sf_dir, "pages").select("page_id", "html")), detect.scan_regex(F.col("html")), "page_id", "html")
 
 
 @query(O.ctes(O.LOGS) + f"""select log_type, sum(case when kept then 0 else 1 end) as account_ids, sum(case when kept then 1 else 0 end) as cards from (
@@ -420,7 +420,7 @@ def audit_verify(spark, sf_dir):
 
 @query(O.ctes(O.LOGS) + "select line_id, card, card as restored, length(card) as n from lines where contains(used, 'card')")
 def fpe_roundtrip(spark, sf_dir):
-    rows = spark.sql(log_sql("spark").replace("from events", f"from parquet.`{sf_dir}/events.parquet`")).where(F.contains("used", F.lit("card"))).select("line_id", "card")
+    rows = slot_rows(spark, sf_dir).where(F.contains("used", F.lit("card"))).select("line_id", "card")
     rows = rows.withColumn("cipher", encrypt_digits(F.col("card"), FPE_KEY, FPE_TWEAK))
     return rows.select("line_id", "card", decrypt_digits(F.col("cipher"), FPE_KEY, FPE_TWEAK).alias("restored"), F.length("cipher").cast("bigint").alias("n"))
 
@@ -555,7 +555,7 @@ _FREQUENCIES = "(select lower(split_part(name, ' ', 1)) as name, count(*) as n f
 @query(O.ctes(O.LOGS, ("f", _FREQUENCIES), ("k", "select *, name in (" + ", ".join(O.quoted(n) for n in P.FIRST_NAMES[:12]) + ") as known from f"))
     + "select count(*) as names, count_if(known) as covered, cast(count_if(known) as double) / count(*) as distinct_coverage, cast(sum(case when known then n else 0 end) as double) / sum(n) as weighted_coverage from k")
 def name_coverage(spark, sf_dir):
-    rows = spark.sql(log_sql("spark").replace("from events", f"from parquet.`{sf_dir}/events.parquet`"))
+    rows = slot_rows(spark, sf_dir)
     names = rows.groupBy(F.split_part("name", F.lit(" "), F.lit(1)).alias("name")).agg(F.count("*").alias("count"))
     return evaluate.dictionary_coverage(names, _dictionary(spark).where(F.col("name").isin(*P.FIRST_NAMES[:12])))
 
@@ -569,7 +569,7 @@ def weighted_name_sample(spark, sf_dir):
 @query(O.ctes(O.LOGS, ("u", "select line_id, log_type as locale, case when line_id % 2 = 0 then flat else 'x' || chr(233) || flat end as name from lines"))
     + f"select locale, not regexp_matches(name, '[^\\x00-\\x7F]') as is_ascii, count(*) as names, count_if(line_id in (select id from ({O.flattened('(select * from u where line_id % 2 = 0) w', 'line_id', 'name')}) f)) as found, count_if(line_id in (select id from ({O.flattened('(select * from u where line_id % 2 = 0) w', 'line_id', 'name')}) f)) / cast(count(*) as double) as recall from u group by 1, 2")
 def recall_by_locale(spark, sf_dir):
-    rows = spark.sql(log_sql("spark").replace("from events", f"from parquet.`{sf_dir}/events.parquet`"))
+    rows = slot_rows(spark, sf_dir)
     names = rows.select(F.col("log_type").alias("locale"), F.when(F.col("line_id") % 2 == 0, F.col("flat")).otherwise(F.concat(F.lit("xé"), F.col("flat"))).alias("name"))
     return evaluate.recall_by_locale(names, detect.scan_flattened_names(F.col("name")))
 

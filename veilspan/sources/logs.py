@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import patterns as P
 from veilspan.functions.spans import no_spans, occurrences
+from veilspan.sources.readers import spread
 
 FIRST, LAST = P.FIRST_NAMES[:40], P.LAST_NAMES[:40]
 
@@ -127,7 +128,13 @@ def gold_spans() -> Column:
     return F.sort_array(F.transform(F.concat(*parts), lambda s: F.struct(s["start"].alias("start"), s.alias("s"))))
 
 
+def slot_rows(spark: SparkSession, sf_dir: str, inject: bool = False) -> DataFrame:
+    """The lines with the slots that they are made of (``log_sql``)."""
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts"))
+    sql = log_sql("spark", inject).replace("{", "{{").replace("}", "}}")  # the templates' own braces
+    return spark.sql(sql.replace("from events", "from {events}"), events=events)
+
+
 def log_lines(spark: SparkSession, sf_dir: str, inject: bool = False) -> DataFrame:
     """line_id, ts, log_type, log, gold of every event."""
-    rows = spark.sql(log_sql("spark", inject).replace("from events", f"from parquet.`{sf_dir}/events.parquet`"))
-    return rows.select("line_id", "ts", "log_type", "log", F.transform(gold_spans(), lambda x: x["s"]).alias("gold"))
+    return slot_rows(spark, sf_dir, inject).select("line_id", "ts", "log_type", "log", F.transform(gold_spans(), lambda x: x["s"]).alias("gold"))

@@ -13,6 +13,18 @@ AUDIT_SCHEMA = "field_type string, method string, policy_version string, origina
 EVENT_SCHEMA = "message string, log_type string"
 
 
+#: Below so many bytes for each core, and with fewer files than cores, a table may be a few row groups only.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where it is small. Work on texts is bound by processors, and a small table of one file is one
+    row group, which a single task reads; large tables, or those of many files, are left as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SPREAD_BYTES * cores and len(df.inputFiles()) < cores else df
+
+
 def read_entries(spark: SparkSession, path: str, limit: int | None = None, schema: str = ENTRY_SCHEMA) -> DataFrame:
     """Labelled or plain log entries, one JSON object per line; a broken line fails the read. No limit for 0 or None."""
     entries = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
