@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan.sources.lineage import cut, shared_folder  # noqa: F401
+from veilspan.sources.readers import spread  # noqa: F401
+
 #: Arrow batches handed to Python hold at most so many rows and bytes, whatever the length of the texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
@@ -15,25 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for cut lineage: what the cluster names, else (a local session without the setting) a temporary one."""
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="veilspan-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder, so that a lost executor costs no recomputation of what led to it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Keeps Python workers' memory bounded for long texts too."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -105,14 +87,59 @@ def hash_unit(*columns: Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def labelled_sample(rows: DataFrame, label: str, key: str, per_label: int, most_labels: int = 200) -> DataFrame:
-    """About ``per_label`` rows of each label (all rows of a rarer one), chosen by a hash of ``key``: a bounded, reproducible
-    sample to fit a classifier on. Only the ``most_labels`` most frequent labels are kept; null labels never are."""
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
-    chosen = F.lit(False)
-    for value, count in counts:
-        chosen = chosen | ((F.col(label) == F.lit(value)) & (hash_unit(F.col(key), seed=7) < min(1.0, per_label / count)))
-    return rows.where(chosen)
+#: A key is hot if it holds more than so many rows and than twice a partition's fair share of all rows.
+LEAST_HOT = 200
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, rows: str | None = None, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key, so that no hot key's rows of ``left`` meet in one task:
+    they are dealt into pieces, and the key's row of ``right`` is repeated for each piece. Hot keys are at most half as many
+    as partitions, so their list may be broadcast. ``rows`` names a column of ``right`` with each key's number of rows in
+    ``left`` (it is dropped); without it they are counted, pre-aggregated."""
+    counts = right.select(key, F.col(rows).alias("_veil_rows")) if rows else left.groupBy(key).agg(F.count("*").alias("_veil_rows"))
+    if rows:
+        right = right.drop(rows)
+    n = left.count() if rows is None else counts.agg(F.sum("_veil_rows")).first()[0] or 0
+    share = max(LEAST_HOT // 2, -(-n // partitions(left.sparkSession)))
+    hot = counts.where(F.col("_veil_rows") > 2 * share).select(key, F.ceil(F.col("_veil_rows") / share).cast("int").alias("_veil_pieces"))
+    hot = F.broadcast(hot)
+    piece = F.coalesce(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns], F.lit(17)), F.col("_veil_pieces")), F.lit(0)).cast("int")
+    dealt = left.join(hot, key, "left").withColumn("_veil_piece", piece).drop("_veil_pieces")
+    repeated = right.join(hot, key, "left").withColumn("_veil_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_veil_pieces", F.lit(1)) - 1))).drop("_veil_pieces")
+    return dealt.join(repeated, [key, "_veil_piece"], how).drop("_veil_piece")
+
+
+#: A sample to fit a classifier on has about so many rows at most, whatever the number of labels.
+SAMPLE_ROWS = 20_000
+
+
+def labelled_sample(rows: DataFrame, label: str, per_label: int, kept: dict[str, Column], identity: list[Column]) -> list:
+    """Driver-side rows of label, ``_veil_hash`` and the ``kept`` columns: about ``per_label`` of each label (all of a rarer one;
+    fewer if there are so many labels that ``SAMPLE_ROWS`` would be exceeded, the rarest of more than ``SAMPLE_ROWS`` labels
+    getting none). Null labels never are in it.
+
+    Rows are drawn by a hash of their ``identity`` (which should tell rows apart, as id and text together do), against the
+    number of different ones of each label: a hot or null id is drawn from like any other, and rows that are equal
+    throughout count as one. The sample is the same in every run.
+    """
+    known = rows.where(F.col(label).isNotNull()).withColumn("_veil_hash", F.xxhash64(*identity, F.lit(7)))
+    counts = known.groupBy(label).agg(F.approx_count_distinct("_veil_hash", 0.02).alias("n"))
+    counts = counts.orderBy(F.desc("n"), label).limit(SAMPLE_ROWS).collect()
+    if not counts:
+        return []
+    each = min(per_label, max(1, SAMPLE_ROWS // len(counts)))
+    # a little more than wanted is drawn, and cut to size here
+    shares = known.sparkSession.createDataFrame([(value, min(1.0, (1.1 * each + 3 * each**0.5) / max(1, n))) for value, n in counts], known.select(label).schema.add("_veil_share", "double"))
+    unit = F.pmod(F.xxhash64("_veil_hash", F.lit(8)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = known.join(F.broadcast(shares), label).where(unit < F.col("_veil_share")).select(label, "_veil_hash", *[c.alias(n) for n, c in kept.items()])
+    drawn = drawn.groupBy(label, "_veil_hash").agg(*[F.first(n).alias(n) for n in kept]).collect()
+    drawn.sort(key=lambda r: (str(r[label]), r["_veil_hash"]))
+    out, of = [], {}
+    for r in drawn:
+        of[r[label]] = of.get(r[label], 0) + 1
+        if of[r[label]] <= each:
+            out.append(r)
+    return out
 
 
 #: A text's share in a sample: as many pieces from its whole length, of so many code points each.

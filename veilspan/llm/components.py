@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import cut
+from veilspan.llm.common import cut, joined
 
 MOST_ROUNDS = 40
 
@@ -15,15 +15,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     In each round a node takes the least label among its own and its neighbours', and then its label's label (pointer
     jumping), so that rounds grow with the logarithm of a component's width. Neighbours' labels are pre-aggregated before
-    the shuffle. Nothing but the number of changed labels comes to the driver.
+    the shuffle; a node with very many edges and a label of very many nodes are dealt into pieces. Nothing but the number of
+    changed labels comes to the driver.
     """
     both = cut(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b), F.col(a))).where("node <> other").distinct())
     labels = cut(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")))
     for _ in range(MOST_ROUNDS):
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        near = joined(both, labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        step = cut(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old")))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "old")
+        step = joined(step, jump, "label", how="left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "old")
         step = cut(step)
         labels = step.select("node", "label")
         if step.where("label <> old").isEmpty():

@@ -34,9 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspan.llm.common import bounded_batches, cut, hash_unit, kept_by_worker
+from veilspan.llm.common import bounded_batches, cut, hash_unit, joined, kept_by_worker
 from veilspan.llm.components import components
-from veilspan.llm.syncmers import UNSPACED
 
 SHINGLE, LIKENESS, LIKELY = 5, 0.8, 0.6
 BANDS, ROWS = 25, 5
@@ -44,6 +43,8 @@ HEAD_ORDERS, PAIRED_WHOLE, LATER_HEADS = 5, 12, 32
 COORDINATES = BANDS * ROWS
 #: Expected darts of a text: coordinates * (ln(coordinates) + 6).
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 6))
+#: Scripts that are written without spaces.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 WORDS = rf"[{UNSPACED}]|[[\p{{L}}\p{{N}}\p{{M}}]&&[^{UNSPACED}]]+"
 #: Words that are worked on at once.
 CHUNK_WORDS = 150_000
@@ -245,7 +246,7 @@ def agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def candidates(banded: DataFrame, heads: DataFrame) -> DataFrame:
     """Pairs a < b of every text with its buckets' heads, and of all texts in small buckets."""
-    met = banded.select("node", "band").join(heads, "band")
+    met = joined(banded.select("node", "band"), heads.withColumn("rows", F.col("members")), "band", rows="rows")
     pairs = met.select("node", F.explode(F.array("low", "high")).alias("head")).where("node <> head").select(*_ordered("node", "head"))
     # of up to three members every pair has a head; somewhat larger buckets are paired whole
     lists = met.where(F.col("members").between(4, PAIRED_WHOLE)).groupBy("band").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
@@ -338,13 +339,14 @@ class NearDuplicates:
 
     def text_classes(self) -> DataFrame:
         """Distinct texts with class_id (the least doc_id of their class), class_size (rows) and first_id."""
-        texts = self.texts.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        classes = texts.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("head"), F.sum("copies").alias("class_size"))
-        return texts.join(classes, "label").select("text_key", "first_id", "copies", F.col("head.first_id").alias("class_id"), (F.col("head.node") == F.col("node")).alias("is_head"), "class_size")
+        texts = cut(self.texts.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        head = F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("head")
+        classes = cut(texts.groupBy("label").agg(head, F.sum("copies").alias("class_size"), F.count("*").alias("texts")))
+        return joined(texts, classes, "label", rows="texts").select("text_key", "first_id", "copies", F.col("head.first_id").alias("class_id"), (F.col("head.node") == F.col("node")).alias("is_head"), "class_size")
 
     def classes(self) -> DataFrame:
         """Every row's doc_id, class_id, class_size."""
-        return self.rows.join(self.text_classes(), "text_key").select("doc_id", "class_id", "class_size")
+        return joined(self.rows, cut(self.text_classes()), "text_key", rows="copies").select("doc_id", "class_id", "class_size")
 
 
 def near_duplicates(docs: DataFrame, **columns) -> DataFrame:
