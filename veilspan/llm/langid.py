@@ -3,7 +3,8 @@
 Bytes are embedded, filters of several widths slide over fixed-length windows, the maximum of each filter over the window
 is pooled, and a softmax layer gives the languages. Every byte of a text lies in a window; a text's scores are its
 windows' averaged logits, weighed by their bytes. Trained by Adam on windows of a bounded sample of labelled rows
-(``PER_LANGUAGE`` documents of each, at most ``WINDOWS_PER_DOCUMENT`` windows of each, spread over the text).
+(``PER_LANGUAGE`` documents of each language, ``common.SAMPLE_ROWS`` in all, at most ``WINDOWS_PER_DOCUMENT`` windows of
+each, spread over the text).
 
 Defined cases: a text that is null or holds no letter is ``und`` with score 0; without any labelled row every other text
 is ``und`` too; with one language every text with a letter is that language; repeated rows get equal rows.
@@ -153,12 +154,10 @@ def fit_network(rows: list[tuple[str, list[str]]]) -> Network:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Network:
-    """The network from the rows that are not held out."""
-    known = docs.select(F.col(doc_id).alias("_veil_id"), F.col(lang).alias("_veil_lang"), F.col(text).alias("_veil_text"))
+    """The network from a bounded sample of the rows that are not held out."""
+    known = docs.select(F.col(doc_id).alias("_veil_id"), F.col(lang).cast("string").alias("_veil_lang"), F.col(text).alias("_veil_text"))
     known = known.where((crc_mod("_veil_id", HELD_OUT_MODULUS) != HELD_OUT_REST) & F.col("_veil_text").isNotNull())
-    sample = labelled_sample(known, "_veil_lang", "_veil_id", PER_LANGUAGE)
-    rows = sample.select("_veil_id", "_veil_lang", spread_pieces(F.col("_veil_text")).alias("_veil_pieces")).collect()  # bounded by PER_LANGUAGE
-    rows.sort(key=lambda r: (r["_veil_lang"], r["_veil_id"] is None, r["_veil_id"], r["_veil_pieces"]))
+    rows = labelled_sample(known, "_veil_lang", PER_LANGUAGE, {"_veil_pieces": spread_pieces(F.col("_veil_text"))}, [F.col("_veil_id"), F.col("_veil_text")])
     network = fit_network([(r["_veil_lang"], r["_veil_pieces"]) for r in rows])
     del rows
     give_back()

@@ -9,7 +9,9 @@ Fitted on a bounded sample of the labelled rows (``PER_LABEL`` of each label, at
 spread over it); scores every whole text.
 
 Defined cases: null, empty and blank texts have no vectors and get the softmax of the bias; repeated rows get equal
-scores; without any labelled row, or with one label only, the score is that label's share (0.5 for none).
+scores; without any labelled row, with one label only, or with no word in any labelled text, every score is the positive
+label's share (0.5 for none); a label other than 1 counts as 0; of several labels of one id the least counts; of several
+texts of a labelled id one is learned from.
 """
 
 from __future__ import annotations
@@ -29,7 +31,10 @@ from veilspan.llm.common import Recent, bounded_batches, crc_mod, give_back, kep
 BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 10, (3, 4)
 REPEATED = "\0same"
 #: The sample's bound, words drawn from each of its documents in an epoch; small samples get more epochs, for LEAST_STEPS.
-PER_LABEL, WORDS_PER_DRAW, EPOCHS, LEAST_STEPS, BATCH, RATE = 1200, 160, 6, 400, 32, 8.0
+PER_LABEL, WORDS_PER_DRAW, EPOCHS, LEAST_STEPS, BATCH = 1200, 160, 6, 400, 32
+#: Learning rates. A vector gets a hundredth or less of a document's gradient, as the average is over hundreds of them, and so
+#: a rate higher by as much; the bias gets the whole of every document's, and a rate lower than the layer's.
+LAYER_RATE, VECTOR_RATE, BIAS_RATE = 8.0, 800.0, 1.0
 HELD_OUT_MODULUS, HELD_OUT_REST = 4, 2
 THRESHOLD = 0.7
 MOST_CACHED = 400_000
@@ -54,11 +59,11 @@ def words_of(text: str | None) -> list[str]:
 def train(texts: list[str], labels: list[int], seed: int = 11) -> tuple[np.ndarray, float]:
     """For each bucket the difference of logits that its vector makes, and the bias."""
     y = np.array(labels, np.int64)
-    if len(set(labels)) < 2:
-        share = (y.sum() + 0.5 * (not len(y))) / max(1, len(y))
-        return np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
+    if len(set(labels)) < 2 or not vocabulary:
+        share = (y.sum() + 0.5 * (not len(y))) / max(1, len(y))
+        return np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     features = [np.array(word_features(w), np.int64) % BUCKETS for w in vocabulary]
     sizes = np.array([len(f) for f in features])
     begins, flat = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([*features, np.zeros(0, np.int64)])
@@ -85,15 +90,15 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> tuple[np.ndarr
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
-            rate = RATE * (1 - step / steps)
+            p *= (1 - step / steps) / len(rows)
             step += 1
-            back = p @ layer.T * (rate / len(rows)) / n[:, None]
-            layer -= rate / len(rows) * hidden.T @ p
-            bias -= rate / len(rows) * p.sum(0) / 8
+            back = p @ layer.T / n[:, None] * VECTOR_RATE
+            layer -= LAYER_RATE * hidden.T @ p
+            bias -= BIAS_RATE * p.sum(0)
             if len(ids):
                 by = np.argsort(ids, kind="stable")
                 unique, first = np.unique(ids[by], return_index=True)
-                vectors[unique] -= np.add.reduceat(back[of[by]], first) * 100
+                vectors[unique] -= np.add.reduceat(back[of[by]], first)
     return (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
@@ -123,12 +128,17 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[np.ndarray, float]:
     """The model from the labelled rows that are not held out."""
-    known = labels.select(F.col(doc_id).alias("_veil_id"), F.col(label).cast("int").alias("_veil_label")).where(F.col("_veil_id").isNotNull())
-    known = known.where(crc_mod("_veil_id", HELD_OUT_MODULUS) != HELD_OUT_REST)
-    sample = labelled_sample(known, "_veil_label", "_veil_id", PER_LABEL, most_labels=2).groupBy("_veil_id").agg(F.min("_veil_label").alias("_veil_label"))
-    texts = docs.select(F.col(doc_id).alias("_veil_id"), F.concat_ws("\n", spread_pieces(F.col(text))).alias("_veil_text"))
-    rows = texts.join(F.broadcast(sample), "_veil_id").collect()  # the sample is bounded by PER_LABEL of each label
-    rows.sort(key=lambda r: (r["_veil_id"], r["_veil_text"] or ""))
+    known = labels.select(F.col(doc_id).alias("_veil_id"), (F.col(label).cast("int") == 1).cast("int").alias("_veil_label")).where(F.col("_veil_id").isNotNull())
+    known = known.where(crc_mod("_veil_id", HELD_OUT_MODULUS) != HELD_OUT_REST).groupBy("_veil_id").agg(F.min("_veil_label").alias("_veil_label"))
+    drawn = labelled_sample(known, "_veil_label", PER_LABEL, {"_veil_id": F.col("_veil_id")}, [F.col("_veil_id")])
+    if not drawn:
+        return train([], [])
+    sample = docs.sparkSession.createDataFrame([(r["_veil_id"], r["_veil_label"]) for r in drawn], known.schema)
+    texts = docs.select(F.col(doc_id).alias("_veil_id"), F.col(text).alias("_veil_text")).join(F.broadcast(sample), "_veil_id")
+    texts = texts.select("_veil_id", "_veil_label", F.concat_ws("\n", spread_pieces(F.col("_veil_text"))).alias("_veil_text"))
+    # the sample is bounded by PER_LABEL of each label, and one text of each id is kept, however many share it
+    rows = texts.groupBy("_veil_id", "_veil_label").agg(F.min_by("_veil_text", F.xxhash64("_veil_text")).alias("_veil_text")).collect()
+    rows.sort(key=lambda r: r["_veil_id"])
     model = train([r["_veil_text"] for r in rows], [int(r["_veil_label"] == 1) for r in rows])
     del rows
     give_back()
