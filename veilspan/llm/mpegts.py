@@ -2,11 +2,15 @@
 
 ``mux`` writes a program (PAT, PMT, one private-data elementary stream of PES packets with PTS, PCR and random-access
 flags); ``demux`` reads one back: it parses the program tables, checks every PID's continuity counters, reassembles the
-elementary packets and lists their timestamps and random-access points.
+elementary packets and lists their timestamps, clock references and random-access points.
 
 Defined cases: a null text counts as empty; an empty payload is 64 zero bytes; equal texts give equal streams (nothing
-depends on the row or on time); a stream that is not a whole number of packets, has lost sync, no program or a wrong
-table checksum raises ``ValueError`` in ``demux`` (continuity errors are counted, not raised).
+depends on the row or on time). ``demux`` raises ``ValueError`` for a stream that is not a whole number of packets, has lost
+sync, no program or a wrong table checksum, for an adaptation field that does not fit its packet, and for an elementary
+packet that has no start code, a header that contradicts itself, or another length than it says. With ``strict=False`` the
+elementary packets that are damaged are counted and left out, and so is data before the first of them. A packet that is
+sent twice in a row, as the standard allows, counts once; other gaps of a continuity counter are counted, unless the
+packet announces one.
 """
 
 from __future__ import annotations
@@ -122,9 +126,12 @@ class Program:
     packet: list[int] = field(default_factory=list)
     access: list[bool] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
+    pcr: list[int] = field(default_factory=list)
     packets: int = 0
     table_packets: int = 0
     continuity_errors: int = 0
+    repeated_packets: int = 0
+    damaged: int = 0
     stream_type: int = -1
 
 
@@ -142,7 +149,47 @@ def _table(packets: np.ndarray, rows: np.ndarray, starts: np.ndarray, table_id:
     raise ValueError(f"no program table {table_id}")
 
 
-def demux(stream: bytes) -> Program:
+def _in_sequence(packets: np.ndarray, rows: np.ndarray, announced: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which of one PID's payload packets (their ``rows``) count, without those sent twice, and the gaps of their counter."""
+    step = np.diff((packets[rows, 3] & 15).astype(np.int8)) & 15
+    # a second copy may differ in its clock reference alone, which stands behind the adaptation field's flags
+    same = (packets[rows[1:]] == packets[rows[:-1]]).copy()
+    same[:, 6:12] |= (packets[rows[1:], 3] & 0x20 != 0)[:, None] & (packets[rows[1:], 4] >= 7)[:, None] & (packets[rows[1:], 5] & 0x10 != 0)[:, None]
+    repeated = (step == 0) & same.all(1)
+    # of three equal packets in a row the third is no legal copy
+    repeated[1:] &= ~repeated[:-1]
+    gaps = (step != 1) & ~repeated & ~announced[rows[1:]]
+    return np.concatenate([[True], ~repeated])[: len(rows)], int(gaps.sum())
+
+
+#: Header bytes that each flag of an elementary packet stands for, without the timestamps.
+HEADER_PARTS = ((0x20, 6), (0x10, 3), (0x08, 1), (0x04, 1), (0x02, 2))
+MOST_STUFFING = 32
+
+
+def _timestamp(p: bytes) -> int:
+    if len(p) < 5 or not (p[0] & 1 and p[2] & 1 and p[4] & 1) or p[0] >> 5 != 1:
+        raise ValueError("a timestamp without its marks")
+    return (p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1
+
+
+def _unit(pes: bytes) -> tuple[bytes, int]:
+    """Data and timestamp (-1 for none) of an elementary packet, whose lengths must agree with each other."""
+    if pes[:3] != b"\0\0\1":
+        raise ValueError("no PES start code")
+    if len(pes) < 9 or pes[6] & 0xC0 != 0x80:
+        raise ValueError("no PES header")
+    length, flags, header = pes[4] << 8 | pes[5], pes[7], pes[8]
+    if length and len(pes) != length + 6:
+        raise ValueError(f"a PES packet of {len(pes)} bytes says {length + 6}")
+    known = {0x80: 5, 0xC0: 10}.get(flags & 0xC0, 0) + sum(n for flag, n in HEADER_PARTS if flags & flag)
+    stuffing = header - known
+    if stuffing < 0 or 9 + header > len(pes) or not flags & 1 and (stuffing > MOST_STUFFING or pes[9 + known : 9 + header] != b"\xff" * stuffing):
+        raise ValueError("a PES header of wrong length")
+    return pes[9 + header :], _timestamp(pes[9:14]) if flags & 0x80 else -1
+
+
+def demux(stream: bytes, strict: bool = True) -> Program:
     if len(stream) % PACKET or not stream:
         raise ValueError("not a whole number of packets")
     packets = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
@@ -151,8 +198,11 @@ def demux(stream: bytes) -> Program:
     pid = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
     begins, control = packets[:, 1] & 0x40 != 0, packets[:, 3] >> 4 & 3
     has_field, has_payload = control & 2 != 0, control & 1 != 0
-    starts = np.where(has_field, 5 + packets[:, 4].astype(np.int32), 4)
-    starts = np.where(has_payload, starts, PACKET)
+    fields = packets[:, 4].astype(np.int32)
+    if (has_field & (fields > np.where(has_payload, 182, 183))).any():
+        raise ValueError("an adaptation field does not fit its packet")
+    starts = np.where(has_payload, np.where(has_field, 5 + fields, 4), PACKET)
+    flags = np.where(has_field & (fields > 0), packets[:, 5], 0)
     found = Program(packets=len(packets))
 
     associations = _table(packets, np.flatnonzero((pid == 0) & begins), starts, 0x00)
@@ -161,6 +211,7 @@ def demux(stream: bytes) -> Program:
     if pmt_pid is None:
         raise ValueError("no program")
     program = _table(packets, np.flatnonzero((pid == pmt_pid) & begins), starts, 0x02)
+    clock_pid = (program[0] & 0x1F) << 8 | program[1]
     streams = program[4 + ((program[2] & 0x0F) << 8 | program[3]) :]
     if len(streams) < 5:
         raise ValueError("no elementary stream")
@@ -168,32 +219,39 @@ def demux(stream: bytes) -> Program:
     found.table_packets = int(((pid == 0) | (pid == pmt_pid)).sum())
 
     for one in (0, pmt_pid, data_pid):
-        counters = (packets[(pid == one) & has_payload, 3] & 15).astype(np.int8)
-        found.continuity_errors += int((np.diff(counters) & 15 != 1).sum())
+        rows = np.flatnonzero((pid == one) & has_payload)
+        counted, gaps = _in_sequence(packets, rows, flags & 0x80 != 0)
+        found.continuity_errors += gaps
+        found.repeated_packets += int((~counted).sum())
+    rows = rows[counted]  # the data's
+
+    for row in np.flatnonzero((pid == clock_pid) & (flags & 0x10 != 0) & (fields >= 7)):
+        base = int.from_bytes(packets[row, 6:12].tobytes(), "big")
+        found.pcr.append((base >> 15) * 300 + (base & 0x1FF))
 
-    rows = np.flatnonzero((pid == data_pid) & has_payload)
     own, own_starts = packets[rows], starts[rows]
     data = own[np.arange(PACKET) >= own_starts[:, None]].tobytes()
     offsets = np.concatenate([[0], np.cumsum(PACKET - own_starts)])
-    flags = np.where(has_field[rows] & (own[:, 4] > 0), own[:, 5], 0)
     firsts = np.flatnonzero(begins[rows])
+    if not len(firsts) or firsts[0]:
+        if strict:
+            raise ValueError("data before the first PES packet" if len(rows) else "no data")
+        found.damaged += 1
     units = []
     for i, row in enumerate(firsts):
         end = offsets[firsts[i + 1]] if i + 1 < len(firsts) else len(data)
-        pes = data[offsets[row] : end]
-        if pes[:3] != b"\0\0\1":
-            raise ValueError("no PES start code")
-        body = 9 + pes[8]
-        size = (pes[4] << 8 | pes[5]) + 6 - body
-        if pes[7] & 0x80:
-            p = pes[9:14]
-            found.pts.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1)
-        else:
-            found.pts.append(-1)
+        try:
+            unit, pts = _unit(data[offsets[row] : end])
+        except ValueError:
+            if strict:
+                raise
+            found.damaged += 1
+            continue
+        found.pts.append(pts)
         found.packet.append(int(rows[row]))
-        found.access.append(bool(flags[row] & 0x40))
-        units.append(pes[body : body + size])
-        found.sizes.append(len(units[-1]))
+        found.access.append(bool(flags[rows[row]] & 0x40))
+        units.append(unit)
+        found.sizes.append(len(unit))
     found.payload = b"".join(units)
     return found
 
@@ -222,7 +280,7 @@ def _summary(media: bytes) -> tuple:
     feature = (
         f"packets={read.packets};tables={read.table_packets};type={read.stream_type:#04x};units={len(read.pts)};"
         f"pts={min(read.pts)}-{max(read.pts)};access={len(points)};last_access={points[-1] if points else ''};"
-        f"continuity_errors={read.continuity_errors};index_crc32={zlib.crc32(index.tobytes()):08x}"
+        f"pcr={len(read.pcr)}:{read.pcr[-1] if read.pcr else ''};continuity_errors={read.continuity_errors};index_crc32={zlib.crc32(index.tobytes()):08x}"
     )
     return len(read.payload), hashlib.sha256(read.payload).hexdigest(), zlib.crc32(read.payload[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
