@@ -3,7 +3,8 @@
 Defined cases: a null url, or one without ``://``, has an empty host and an empty path (its score is the model's for no
 n-grams, the intercept); repeated urls get equal rows; a rule fits its host and every subdomain where the path starts
 with the rule's path; of fitting rules the longest (host and path together) wins, then the longer host, then ``block``.
-Rules and the labelled urls are parameters, held in memory and sent to every worker: at most ``MOST_RULES`` rules.
+The model knows nothing of a host whose n-grams its small table never shows: such a url scores near the intercept and is
+allowed. Rules and the labelled urls are parameters, held in memory and sent to every worker: at most ``MOST_RULES`` rules.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from veilspan.llm.common import bounded_batches
 
 MOST_RULES = 1_000_000
 BUCKETS, SIZES = 1 << 18, (3, 4, 5)
-#: Urls are blocked from this score on; n-grams that the small table never shows leave a url below it.
-THRESHOLD = 0.75
+#: Urls are blocked from this score on: of steps of 0.05 the least at which, with a fifth of ``labelled_table`` held out, at most one
+#: in twenty of its urls to allow is blocked (README).
+THRESHOLD = 0.6
 #: Rules that hold wherever none are given: verdict, host, path.
 RULES = (
     ("block", "com", "/en/"),
@@ -32,23 +34,41 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: The labelled table: 1 for urls to block.
-LABELLED = (
-    ("http://spam-farm.test/en/12", 1), ("https://www.spam-farm.test/de/88?page=2", 1), ("http://m.spam-links.test/fr/3", 1),
-    ("https://cheap-pills.test/en/450", 1), ("http://www.cheap-pills.test/es/7#top", 1), ("http://cheap-meds.test/offers/pills", 1),
-    ("https://casino-win.test/en/31", 1), ("http://m.casino-win.test/fr/9.html", 1), ("http://big-casino.test/win/jackpot", 1),
-    ("http://ads-track.test/en/5", 1), ("https://m.ads-track.test/pixel", 1), ("http://track-ads.test/click?id=9", 1),
-    ("http://free-bets.test/en/1", 1), ("https://www.free-bets.test/de/600", 1), ("http://bets-online.test/free", 1),
-    ("http://adult-x.test/en/77", 1), ("https://blog.adult-x.test/es/4", 1), ("http://xxx-adult.test/video", 1),
-    ("http://viagra-shop.test/buy", 1), ("http://win-prizes.test/free-money", 1), ("http://poker-bonus.test/casino", 1),
-    ("http://library.test/en/12", 0), ("https://www.museum.test/de/88?page=2", 0), ("http://m.weather.test/fr/3", 0),
-    ("https://thering.test/en/450", 0), ("http://www.theren.test/es/7#top", 0), ("http://recipes.test/offers/bread", 0),
-    ("https://tionble.test/en/31", 0), ("http://m.ththing.test/fr/9.html", 0), ("http://history.test/war/treaty", 0),
-    ("http://university.test/en/5", 0), ("https://m.newspaper.test/article", 0), ("http://science.test/paper?id=9", 0),
-    ("http://ththon.test/en/1", 0), ("https://www.therly.test/de/600", 0), ("http://gardening.test/roses", 0),
-    ("http://travel.test/en/77", 0), ("https://blog.tionsh.test/es/4", 0), ("http://football.test/results", 0),
-    ("http://www.railway.test/timetable", 0), ("http://council.test/minutes/2019", 0), ("http://hospital.test/visitors", 0),
-)
+#: General vocabulary that the labelled table is built from: words of unwanted sites by subject, and ordinary words.
+UNWANTED = {
+    "gambling": "casino slots poker roulette betting bets jackpot lottery bingo wager",
+    "pharmacy": "viagra cialis pills meds tablets steroids",
+    "advertising": "ads adserver banner popup clicks track tracker tracking pixel",
+    "adult": "adult porn xxx sex cams escort nude",
+    "spam": "spam backlinks linkfarm mailblast traffic",
+    "bait": "free cheap win winner prize bonus replica crack keygen warez payday",
+}
+ORDINARY = (
+    "library museum school college science physics history theatre music cinema gallery poetry novel grammar teacher student garden flower forest river mountain harbour island valley "
+    "bakery kitchen recipe coffee market butcher orchard winery weather climate energy water railway airport bicycle bridge tunnel traffic-report council parliament court police hospital "
+    "doctor nurse clinic dentist insurance bank tax pension lawyer notary builder carpenter plumber painter tailor furniture ceramics glass paper printing bookshop magazine newspaper radio "
+    "football tennis rowing chess sailing climbing running cycling camping travel hotel hostel map compass kernel compiler database network archive protocol manual forum thread farm village"
+)
+ENDINGS = ("/", "/en/12", "/about", "/page/3?sort=up", "/2019/report", "/index.html", "/de/88#top", "/list", "", "/fr/7/a")
+#: Names that are reserved for examples, so that the table names no one's site.
+SUFFIXES = ("test", "example.com", "example", "example.org", "invalid", "example.net", "localhost")
+FORMS = ("{0}-{1}", "{1}-{0}", "www.{0}{1}", "{1}.{0}", "m.{1}{0}", "{0}")
+
+
+def labelled_table() -> tuple[tuple[str, int], ...]:
+    """Urls to learn from, 1 for those to block, by rule: each unwanted word joined with ordinary ones in every form, and as many
+    ordinary words with each other."""
+    bad, good = " ".join(UNWANTED.values()).split(), ORDINARY.split()
+    out = []
+    for label, words in ((1, bad), (0, good)):
+        rounds = len(good) * len(FORMS) // len(words)
+        for i, word in enumerate(words):
+            for k in range(rounds):
+                n = i * rounds + k
+                other = good[(n * 31 + 17 * k + 5) % len(good)]
+                out.append((f"http://{FORMS[n % len(FORMS)].format(word, other)}.{SUFFIXES[(n + k) % len(SUFFIXES)]}{ENDINGS[(n * 7 + k) % len(ENDINGS)]}", label))
+    return tuple(dict.fromkeys(out))
+
 
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 HOST = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
@@ -61,27 +81,27 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def _grams(part: str, space: bytes) -> np.ndarray:
-    """Buckets of the n-grams of one part; the part is marked at both ends."""
+    """Buckets of the n-grams that one part holds, each once; the part is marked at both ends."""
     data = b"^" + part.encode("utf-8", "surrogatepass") + b"$" if part else b""
-    return np.array([zlib.crc32(space + data[i : i + n]) % BUCKETS for n in SIZES for i in range(len(data) - n + 1)], np.int64)
-
-
-def train(labelled=LABELLED, steps: int = 400, rate: float = 4.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and intercept by gradient descent over the whole small table."""
-    rows = np.zeros((len(labelled), BUCKETS), np.float64)
-    for i, (url, _) in enumerate(labelled):
-        for part, space in zip(split_url(url), (b"h", b"p"), strict=True):
-            grams = _grams(part, space)
-            np.add.at(rows[i], grams, 1 / max(1, len(grams)))
-    used = np.flatnonzero(rows.any(0))
-    x, y = rows[:, used], np.array([float(label) for _, label in labelled])
+    return np.array(sorted({zlib.crc32(space + data[i : i + n]) % BUCKETS for n in SIZES for i in range(len(data) - n + 1)}), np.int64)
+
+
+def train(labelled=None, steps: int = 300, rate: float = 0.3, decay: float = 0.003) -> tuple[np.ndarray, float]:
+    """Weights and intercept by gradient descent over the whole small table (``labelled_table`` where none is given)."""
+    labelled = labelled_table() if labelled is None else labelled
+    grams = [[_grams(part, space) for part, space in zip(split_url(url), (b"h", b"p"), strict=True)] for url, _ in labelled]
+    used = np.unique(np.concatenate([np.zeros(0, np.int64), *[g for parts in grams for g in parts]]))
+    x, y = np.zeros((len(labelled), len(used))), np.array([float(label) for _, label in labelled])
+    for i, parts in enumerate(grams):
+        for part in parts:
+            x[i, np.searchsorted(used, part)] += 1
     w, b = np.zeros(len(used)), 0.0
-    for _ in range(steps):
-        error = 1 / (1 + np.exp(-(x @ w * 4 + b))) - y
-        w -= rate * (x.T @ error * 4 / len(y) + decay * w)
-        b -= rate / 4 * error.mean()
+    for _ in range(steps if len(y) else 0):
+        error = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w -= rate * (x.T @ error / len(y) + decay * w)
+        b -= rate * error.mean()
     weights = np.zeros(BUCKETS)
-    weights[used] = w * 4
+    weights[used] = w
     return weights, float(b)
 
 
@@ -113,7 +133,7 @@ def winning(index, host: str, path: str) -> tuple[str, str] | None:
 VERDICT = T.StructType().add("host", T.StringType()).add("path", T.StringType()).add("rule", T.StringType()).add("verdict", T.StringType()).add("score", T.DoubleType())
 
 
-def judge(df: DataFrame, url: str = "url", rules=RULES, labelled=LABELLED, threshold: float = THRESHOLD) -> DataFrame:
+def judge(df: DataFrame, url: str = "url", rules=RULES, labelled=None, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with host, path, rule (null where none fits), verdict and the model's score; columns of those names are replaced."""
     bounded_batches(df.sparkSession)
     weights, intercept = train(labelled)
@@ -123,13 +143,13 @@ def judge(df: DataFrame, url: str = "url", rules=RULES, labelled=LABELLED, thres
         @lru_cache(maxsize=100_000)
         def host_sum(host: str) -> float:
             grams = _grams(host, b"h")
-            return float(weights[grams].mean()) if len(grams) else 0.0
+            return float(weights[grams].sum())
 
         out = []
         for one in urls:
             host, path = split_url(one)
             grams = _grams(path, b"p")
-            logit = intercept + host_sum(host) + (float(weights[grams].mean()) if len(grams) else 0.0)
+            logit = intercept + host_sum(host) + float(weights[grams].sum())
             score = float(1 / (1 + np.exp(-logit)))
             rule = winning(index, host, path)
             out.append((host, path, rule and rule[0], rule[1] if rule else "block" if score >= threshold else "allow", score))
