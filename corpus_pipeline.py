@@ -1,7 +1,17 @@
 """The corpus pipeline: documents to packed sequences, in stages that are each written and read again.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-``run`` writes every stage as Parquet into the shared folder that the cluster names in spark.checkpoint.dir.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, the last
+the packed token ids themselves. ``run`` writes every stage as Parquet into the shared folder that the cluster names in
+spark.checkpoint.dir, and removes what a stage read, and its checkpoints, once its result is written.
+
+Defined cases, stage by stage, for rows that are in ``documents`` whatever the other columns hold (they are carried along):
+- quality classifier: null and blank texts have the classifier's bias as score, and go where that is under the threshold;
+  without labels every score is 0.5 and every document goes.
+- language id: null texts and texts without a letter go; without any known language all go.
+- near duplicates: equal texts (null as empty) and near copies leave the row of the least id, null ids last.
+- source mix: a row without words stays once; others as often as drawn, at most three times; a null source is one of its own.
+- packing: a null or empty text is its closing id alone; repeated rows are packed as often as they occur.
+An empty table, or one of which a stage keeps nothing, gives no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import langid, mixing, near_dups, packing, quality
-from veilspan.llm.common import shared_folder, table
+from veilspan.llm.common import shared_folder, spread, table
+from veilspan.sources import lineage
 
 #: A language is taken as found from this score on; below, a document is rejected like one without letters.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -42,8 +53,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most packing.CAPACITY tokens."""
-    return packing.pack(docs)
+    """The pieces of all documents, with their token ids, in sequences of at most packing.CAPACITY tokens in order
+    (``packing.sequences`` joins and pads them)."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [
@@ -60,8 +72,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for number, (_, stage) in enumerate(STAGES):
+        since = lineage.mark()
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        lineage.give_up(spark, since)
+        if number:
+            lineage.remove(spark, f"{folder}/{number - 1}")
         docs = spark.read.parquet(f"{folder}/{number}")
     return docs

@@ -12,7 +12,9 @@ Only word counts are shuffled, never texts. A source's layout is numbered within
 ``BUCKET_ROWS`` documents, so that a source with a third of all rows is spread like the others.
 
 Defined cases: null and blank texts have size 0 and nothing taken of them; a null source is a source of its own, last;
-repeated rows are documents of their own; an empty table gives no rows; reruns give the same result.
+repeated rows are documents of their own; an empty table gives no rows; reruns give the same result. More than
+``MOST_SOURCES`` sources raise ``ValueError``: the driver holds a few numbers for each. Shards grow beyond ``SHARD_SLOTS``
+blocks once there are ``MOST_SHARDS`` of them.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from veilspan.llm.common import constants, cut, hash_unit, interval_of, let, par
 
 WEIGHTS, MOST_REPEATS = (5, 2, 1), 3
 BLOCK, SHARD_SLOTS, MOST_SHARDS, BUCKET_ROWS = 64, 1024, 65_536, 10_000
+#: Sources that the driver and the plans can hold.
+MOST_SOURCES = 100_000
 #: Rounds of the permutation, and the seeds of the draws and of the permutations.
 ROUNDS, DRAW_SEED, ORDER_SEED = 18, 101, 202
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,7 +87,9 @@ class Mix:
         self.spark = docs.sparkSession
         extra = [] if key is None else [key.alias("key")]
         self.light = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), *extra))
-        found = self.light.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()  # a row per source
+        found = self.light.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()  # a row per source
+        if len(found) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources")
         found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
         self.sizes, self.rows = [r["size"] for r in found], [r["rows"] for r in found]
         self.targets = targets(self.sizes, weights)

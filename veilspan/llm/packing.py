@@ -197,6 +197,11 @@ def packed(documents: Iterable[list[tuple]], capacity: int = CAPACITY) -> Iterat
     yield windows
 
 
+def padding(length: int, capacity: int) -> int:
+    """Ids that fill a sequence up to the capacity; none where its length is a power of two."""
+    return 0 if length & (length - 1) == 0 else capacity - length
+
+
 PIECES = (
     T.StructType().add("start", T.LongType()).add("length", T.LongType()).add("ids_crc32", T.LongType())
     .add("doc_tokens", T.LongType()).add("sequence_id", T.LongType()).add("offset", T.LongType())
@@ -205,11 +210,13 @@ PIECES = (
 
 def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: the document's id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``with_ids``
-    the piece's ids. Other columns are left out."""
+    the piece's ids and padding: how many ids the sequence is padded by behind the piece (0 for all but its last one). Rows
+    come in the order of sequence_id and offset, so that a reader of one file streams whole sequences. Other columns are
+    left out."""
     bounded_batches(df.sparkSession)
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
     source = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    schema = T.StructType([source.schema["doc_id"], *PIECES.fields] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
+    schema = T.StructType([source.schema["doc_id"], *PIECES.fields] + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("padding", T.IntegerType())] * with_ids)
     closing = np.array([CLOSING_ID], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,25 +234,22 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer_pa
             rows = []
             for window in windows:
                 offset = 0
-                for (document, doc_tokens), start, ids in window:
+                for number, ((document, doc_tokens), start, ids) in enumerate(window, 1):
                     length = len(ids) // ID_BYTES
-                    rows.append((document, start, length, zlib.crc32(ids), doc_tokens, sequence, offset, *([np.frombuffer(ids, "<i4")] if with_ids else [])))
+                    row = (document, start, length, zlib.crc32(ids), doc_tokens, sequence, offset)
                     offset += length
+                    rows.append((*row, np.frombuffer(ids, "<i4"), padding(offset, capacity) if number == len(window) else 0) if with_ids else row)
                 sequence += 1
             if rows:
                 columns = list(zip(*rows, strict=True))
-                arrays = [pa.array(columns[0], id_type), *[pa.array(c, pa.int64()) for c in columns[1:7]], *[pa.array(c, pa.list_(pa.int32())) for c in columns[7:]]]
+                arrays = [pa.array(columns[0], id_type), *[pa.array(c, pa.int64()) for c in columns[1:7]], *[pa.array(c, pa.list_(pa.int32())) for c in columns[7:8]], *[pa.array(c, pa.int32()) for c in columns[8:]]]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return source.mapInArrow(pieces, schema)
 
 
-def sequences(pieces: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
-    """The sequences themselves, from ``pack(..., with_ids=True)``: sequence_id, ids, n_tokens. A sequence whose length is
-    no power of two is padded to the capacity."""
+def sequences(pieces: DataFrame, pad_id: int = 0) -> DataFrame:
+    """The padded sequences themselves, from ``pack(..., with_ids=True)``: sequence_id, ids, n_tokens (without padding)."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    ids = F.flatten(F.transform(parts, lambda p: p["ids"]))
-    joined = pieces.groupBy("sequence_id").agg(ids.alias("ids"), F.sum("length").alias("n_tokens"))
-    power = F.bit_count("n_tokens") == 1
-    padding = F.array_repeat(F.lit(pad_id), (F.lit(capacity) - F.col("n_tokens")).cast("int"))
-    return joined.select("sequence_id", F.when(power, F.col("ids")).otherwise(F.concat("ids", padding)).alias("ids"), "n_tokens")
+    joined = pieces.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"), F.sum("length").alias("n_tokens"), F.sum("padding").cast("int").alias("padding"))
+    return joined.select("sequence_id", F.concat("ids", F.array_repeat(F.lit(pad_id), F.col("padding"))).alias("ids"), "n_tokens")

@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspan.llm import langid, mixing, mpegts, near_dups, packing, quality, sharding, syncmers, token_counts, urls
-from veilspan.llm.common import table
+from veilspan.llm.common import spread, table
 
 
 def op1_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return syncmers.edited_fingerprints(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dups.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.predictions(table(spark, sf_dir, "documents"))
+    return langid.predictions(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_mpeg_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpegts.media_digests(table(spark, sf_dir, "documents"))
+    return mpegts.media_digests(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,19 +34,19 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return sharding.shard_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return token_counts.token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
 
 
 def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.predictions(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
