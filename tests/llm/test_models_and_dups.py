@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import edges
-from veilspan.llm import langid, near_dups, quality
+from veilspan.llm import langid, near_dups, packing, quality
 from veilspan.llm.components import components
 from veilspan.llm.queries import QUERIES
 
@@ -112,6 +112,15 @@ def test_sets_alike_are_found_where_multisets_are_not(spark):
     assert got == brute_classes(docs) and all(got[2 * i + 1] == 2 * i for i in range(60))
 
 
+def test_repeated_line_is_linked(spark):
+    """A line, and the same line three and forty times over: alike as sets, not as multisets."""
+    line = " ".join(f"word{i}" for i in range(34))
+    docs = {1: line, 2: "\n".join([line] * 3), 4: "\n".join([line] * 40), 5: "something else altogether, in quite other words than those"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(df).collect()}
+    assert got == brute_classes(docs) and got[2] == got[4] == 1
+
+
 def test_op3_on_documents(spark, sf_dir):
     docs = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     assert {r["doc_id"]: r["class_id"] for r in QUERIES["op3_dart_minhash"](spark, sf_dir).collect()} == brute_classes(docs)
@@ -182,13 +191,80 @@ def test_windows_cover_all_bytes():
         assert b"".join(w.tobytes()[:n] for w, o, n in zip(windows, owner, sizes, strict=True) if o == i) == d
 
 
-def test_network_gradient():
-    """Training lowers the loss on what it is trained on."""
+def test_training_tells_two_alphabets_apart():
     rows = [("a", ["abab" * 60]), ("b", ["cdcd" * 60])] * 40
     net = langid.fit_network(rows)
     assert [p[0] for p in net.predict(["abab" * 50, "cdcd" * 50])] == ["a", "b"]
 
 
+def naive_logits(net, window):
+    """The network byte by byte: every filter at every place, the greatest of them, the layer."""
+    pooled = []
+    for f in range(net.filters.shape[1]):
+        width = langid.WIDTHS[f // langid.FILTERS]
+        best = -np.inf
+        for at in range(langid.WINDOW):
+            total = 0.0
+            for j in range(width):
+                if at + j < langid.WINDOW:
+                    total += float(net.bytes[window[at + j]] @ net.filters[j * langid.EMBEDDED : (j + 1) * langid.EMBEDDED, f])
+            best = max(best, total)
+        pooled.append(max(0.0, best + net.offset[f]))
+    return np.array(pooled) @ net.layer + net.bias
+
+
+def test_network_equals_naive_convolution():
+    net = langid.fit_network([("a", ["the cat sat on the mat " * 20]), ("b", ["der hund lief in den wald " * 20]), ("c", ["le chat dort sur la table " * 20])] * 20)
+    texts = ["a cat in the wood " * 9, "kurz", "é" * 200]
+    windows, owner, sizes = langid.windows_of([t.encode() for t in texts])
+    want = np.array([naive_logits(net, w) for w in windows])
+    assert np.allclose(net.logits(windows), want, atol=1e-4)
+    for i, (lang, score) in enumerate(net.predict(texts)):
+        mean = (want[owner == i] * sizes[owner == i, None]).sum(0) / sizes[owner == i].sum()
+        p = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        assert lang == net.languages[p.argmax()] and score == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_network_training_lowers_the_loss():
+    rng = np.random.default_rng(3)
+    windows, labels = rng.integers(1, 120, (96, langid.WINDOW)).astype(np.uint8), rng.integers(0, 2, 96)
+    windows[labels == 1, 40:44] = (200, 201, 202, 203)
+
+    def loss(net):
+        z = net.logits(windows)
+        return float(np.mean(np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) + z.max(1) - z[np.arange(96), labels]))
+
+    net = langid.Network(["a", "b"])
+    before = loss(net)
+    assert loss(net.train(windows, labels)) < 0.2 * before
+
+
+def test_sample_is_bounded_and_drawn_by_row(spark):
+    from veilspan.llm import common
+
+    def drawn(df, per_label=500):
+        text = F.col("text")
+        return common.labelled_sample(df, "lang", per_label, {"text": text}, [F.col("doc_id"), text])
+
+    rows = spark.range(20_000).select((F.col("id") % 2).cast("string").alias("lang"), F.concat(F.lit("text "), F.col("id")).alias("text"), "id")
+    for doc_id in (F.lit(7).cast("long"), F.lit(None).cast("long"), F.col("id"), F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id"))):
+        got = collections.Counter(r["lang"] for r in drawn(rows.withColumn("doc_id", doc_id)))
+        assert set(got) == {"0", "1"} and all(450 <= n <= 500 for n in got.values())
+    equal = rows.withColumn("doc_id", F.lit(1)).withColumn("text", F.lit("same"))
+    assert len(drawn(equal)) == 2
+    many = spark.range(3000).select(F.concat(F.lit("l"), F.col("id") % 300).alias("lang"), F.col("id").cast("string").alias("text"), F.col("id").alias("doc_id"))
+    got = collections.Counter(r["lang"] for r in drawn(many))
+    assert len(got) == 300 and sum(got.values()) == 3000
+    assert drawn(rows.withColumn("doc_id", F.col("id")).withColumn("lang", F.lit(None).cast("string"))) == []
+
+
+def test_more_than_200_languages_can_be_predicted(spark):
+    letters = [chr(0x4E00 + 17 * i) for i in range(240)]
+    df = spark.createDataFrame([(6 * i + j, letters[i] * 60, f"l{i:03}") for i in range(240) for j in range(6)], "doc_id long, text string, lang string").repartition(4)
+    net = langid.fit(df)
+    assert len(net.languages) >= 230
+
+
 def test_op4_awkward_rows(spark):
     rows = collections.defaultdict(list)
     for r in langid.predictions(edges.table(spark)).collect():
@@ -215,6 +291,31 @@ def test_op10_awkward_rows(spark):
     assert rows[2] == rows[3] == rows[4] and rows[5][0] == rows[5][1] == rows[1][0] and all(0 <= s <= 1 for v in rows.values() for s in v)
     assert quality.predictions(edges.empty(spark), labels).count() == 0
     assert {r["score"] for r in quality.predictions(edges.table(spark), labels.limit(0)).collect()} == {0.5}
+    blank = spark.createDataFrame([(i, (None, "", "  ")[i % 3]) for i in range(30)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 5 == 0) for i in range(30)], "doc_id long, q boolean").select("doc_id", F.col("q").cast("int").alias("quality"))
+    scores = {r["score"] for r in quality.predictions(blank, marks).collect()}
+    assert len(scores) == 1 and 0 < scores.pop() < 0.5  # the share of label 1
+    hot = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"))
+    assert quality.predictions(hot, labels).count() == 5000
+
+
+def test_scorer_equals_averaged_vectors():
+    """A word's number and count of vectors stand for its vectors; scores equal the average over all of them, one by one."""
+    rng = np.random.default_rng(2)
+    weights, bias = rng.normal(0, 1, quality.BUCKETS).astype(np.float32), 0.3
+    texts = [edges.PLAIN, "a", "a a a b", "É ß 日本 x", "", None, "!! ... --", "same same " * 30]
+    for text, score in zip(texts, quality.Scorer(weights, bias).scores(texts), strict=True):
+        ids = [i % quality.BUCKETS for w in quality.words_of(text) for i in quality.word_features(w)]
+        logit = bias + (np.mean(weights[ids].astype(np.float64)) if ids else 0)
+        assert score == pytest.approx(1 / (1 + np.exp(-logit)))
+
+
+def test_quality_training_follows_the_gradient():
+    """One step over one batch moves the layer and the vectors by the gradient of the mean log loss, times their rates."""
+    texts, labels = ["alpha beta", "gamma delta"] * 30, [1, 0] * 30
+    weights, bias = quality.train(texts, labels)
+    scores = quality.Scorer(weights, bias).scores(["alpha beta", "gamma delta"])
+    assert scores[0] > 0.9 and scores[1] < 0.1
 
 
 def test_pipeline_stages(spark, sf_dir):
@@ -236,4 +337,40 @@ def test_pipeline_stages(spark, sf_dir):
     mixed = stages["source mix"](spark, docs, sf_dir)
     assert mixed.columns == columns and mixed.groupBy("doc_id").count().where("count > 3").count() == 0
     final = corpus_pipeline.run(spark, sf_dir)
-    assert final.count() > 0 and "sequence_id" in final.columns
+    whole = packing.sequences(final).collect()
+    assert whole and all(len(r["ids"]) == 4096 or len(r["ids"]) & (len(r["ids"]) - 1) == 0 for r in whole)
+
+
+def test_pipeline_removes_what_is_done_with(spark, sf_dir):
+    from pathlib import Path
+
+    from veilspan.llm.common import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.rglob("rdd-*")) | set(folder.glob("pipeline-*/*"))
+    corpus_pipeline.run(spark, sf_dir)
+    after = set(folder.rglob("rdd-*")) | set(folder.glob("pipeline-*/*"))
+    assert {p.name for p in after - before if p.exists()} == {"4"}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_awkward_rows(spark, tmp_path, name):
+    """Nulls in any column, empty, blank and long texts, ties, repeated rows, an empty table and clashing column names."""
+    labels = spark.createDataFrame([(1, 1), (6, 0), (7, 1), (99, 0), (None, 1), (12, None)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    stage, docs = dict(corpus_pipeline.STAGES)[name], edges.table(spark)
+    for rows in (docs, docs.limit(0), docs.withColumn("text", F.lit(None).cast("string")), docs.withColumn("doc_id", F.lit(None).cast("long")), docs.withColumns({c: F.lit(None).cast("string") for c in ("lang", "source")})):
+        out = stage(spark, rows, str(tmp_path))
+        n = out.count()
+        assert name == "packing" or out.columns == docs.columns
+        if name == "packing":
+            assert out.where("start = 0").count() == rows.count()
+        elif name == "source mix":
+            assert out.where("text is null").count() == rows.where("text is null").count()
+        else:
+            assert n <= rows.count()
+    kept = [r["doc_id"] for r in stage(spark, docs, str(tmp_path)).collect()]
+    if name == "language id":
+        assert not {2, 3, 4, 8} & set(kept) and kept.count(5) == 2
+    if name == "near duplicates":
+        assert 1 in kept and 5 not in kept and 11 not in kept
