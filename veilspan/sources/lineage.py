@@ -1,12 +1,18 @@
-"""Cut lineage: intermediate tables that are computed once and kept in a folder that driver and executors share."""
+"""Cut lineage: intermediate tables that are computed once and kept in a folder that driver and executors share.
+
+They are written tables, not checkpointed plans: a checkpoint carries on the size that the optimizer guessed for its plan, and
+in loops of joins these guesses multiply into numbers of millions of digits. A written table has its true size, by which
+small ones are broadcast.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Files of the checkpoints made so far, for ``give_up``.
+#: The tables written so far, for ``give_up``.
 _made: list[str] = []
 
 
@@ -25,16 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the shared folder, so that a lost executor costs no recomputation of what led to it."""
-    shared_folder(df.sparkSession)
-    kept = df.checkpoint(eager=True)
-    file = kept._jdf.queryExecution().logical().rdd().getCheckpointFile()
-    if file.isDefined():
-        _made.append(file.get())
-    return kept
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _made.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mark() -> int:
-    """The place in the row of checkpoints up to which ``give_up`` keeps them."""
+    """The place in the row of written tables up to which ``give_up`` keeps them."""
     return len(_made)
 
 
@@ -45,6 +49,6 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def give_up(spark: SparkSession, since: int) -> None:
-    """Deletes the checkpoints made since ``mark``: once a result that came from them has been written, nothing reads them."""
+    """Deletes the tables written since ``mark``: once a result that came from them has been written, nothing reads them."""
     while len(_made) > since:
         remove(spark, _made.pop())
