@@ -11,11 +11,15 @@ whose agreement with another text's (its only one, if that repeats none) follows
 Bands of ``ROWS`` coordinates are joined. Within a bucket every text is paired with two of its members, the first in an
 order of all texts and the last in one of ``HEAD_ORDERS`` other orders: pairs grow with the texts, not with the square of
 a bucket, and texts of a large class share their few heads in all buckets. Buckets of up to ``PAIRED_WHOLE`` texts are
-paired whole. Larger ones are then resolved in rounds: a bucket whose members are in several classes so far pairs more and
-more heads with all members of other classes, until its other members are of one class. So each pair of a bucket is compared, unless
-both are in one class already. Candidate pairs whose signatures agree in fewer than ``LIKELY`` of the coordinates, as multisets and as sets, are put aside
-(at a true 0.8 this has a chance of about 1e-8), all others are checked exactly on their whole shingle multisets. A link
-holds at a likeness of ``LIKENESS`` or more, as sets or as multisets.
+paired whole. A larger bucket whose members are not all of one class by now is paired with one more head, the member that
+meets most such buckets (a text amid its copies shares more buckets than they do). Texts of buckets that are open even
+then, as those that share a passage only are, get finer bands, of more coordinates (``FINER``: random choices of the same
+ones), in which texts that are less alike rarely meet, and go through the same steps. Buckets of the finest bands that
+still hold several classes pair more and more heads with all members of other classes until they don't. So each pair of
+a bucket is compared, unless both are in one class already, or do not meet in any finer band (a chance of about 1e-4 at a
+likeness of 0.8). Candidate pairs whose signatures agree in fewer than ``LIKELY`` of the coordinates, as multisets and as
+sets, are put aside (at a true 0.8 this has a chance of about 1e-8), all others are checked exactly on their whole shingle
+multisets. A link holds at a likeness of ``LIKENESS`` or more, as sets or as multisets.
 
 Equal texts are one node throughout. No text, signature or link comes to the driver.
 
@@ -41,6 +45,10 @@ SHINGLE, LIKENESS, LIKELY = 5, 0.8, 0.6
 BANDS, ROWS = 25, 5
 HEAD_ORDERS, PAIRED_WHOLE, LATER_HEADS = 5, 12, 32
 COORDINATES = BANDS * ROWS
+#: Finer bands of open buckets' texts, step by step: coordinates in each, and their number.
+FINER = ((8, 120), (14, 600))
+#: Texts to be compared are found by a broadcast list up to so many of them (about 40 bytes each), beyond it by a shuffle.
+BROADCAST_TEXTS = 500_000
 #: Expected darts of a text: coordinates * (ln(coordinates) + 6).
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 6))
 #: Scripts that are written without spaces.
@@ -221,14 +229,34 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((left == right).mean(1))
 
 
-def buckets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """node, band and turn (of the band) of every band of a text, and band, low, high (two heads) and members of every bucket of several texts."""
-    banded = texts.select("node", F.explode("bands").alias("band")).select("node", "band", F.pmod("band", F.lit(HEAD_ORDERS)).alias("turn"))
-    # one order of all nodes and a few others: the members of a large class meet the same few heads in all its buckets
-    turned = F.xxhash64("node", "turn")
-    heads = banded.groupBy("band").agg(F.min_by("node", F.xxhash64("node")).alias("low"), F.max_by("node", turned).alias("last"), F.min_by("node", turned).alias("first"), F.count("*").alias("members"))
-    # the second head is another text than the first: where one is last in its turn's order, the first in it
-    return banded, heads.where("members > 1").select("band", "low", F.when(F.col("last") != F.col("low"), F.col("last")).otherwise(F.col("first")).alias("high"), "members")
+def finer_bands(texts: DataFrame, step: int) -> DataFrame:
+    """node and band of the finer bands of these texts (node, sketch, set_sketch), of both their signatures."""
+    size, number = FINER[step]
+    chosen = np.stack([np.random.default_rng(1000 * step + i).choice(COORDINATES, size, replace=False) for i in range(number)])
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker()
+        for batch in batches:
+            nodes = batch.column("node").to_numpy()
+            for name in ("sketch", "set_sketch"):
+                some = np.flatnonzero(batch.column(name).is_valid())
+                for part in np.array_split(some, max(1, -(-len(some) * number // CHUNK_WORDS))):
+                    if not len(part):
+                        continue
+                    rows = np.frombuffer(b"".join(batch.column(name).take(pa.array(part)).to_pylist()), np.uint8).reshape(len(part), -1)
+                    value = np.repeat(np.arange(number, dtype=np.uint64)[None], len(part), 0)
+                    for j in range(size):
+                        value = _mixed(value * _U(0x9E3779B97F4A7C15) + rows[:, chosen[:, j]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[part], number)), pa.array(value.view(np.int64).ravel())], names=["node", "band"])
+
+    return texts.select("node", "sketch", "set_sketch").mapInArrow(banded, "node long, band long").distinct()
+
+
+def met(banded: DataFrame) -> DataFrame:
+    """node, band and members of the bands (node, band) that several texts have. Bands are counted before anything else of
+    them crosses the network: nearly all belong to one text."""
+    shared = cut(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"))
+    return cut(joined(banded, shared.withColumn("rows", F.col("members")), "band", rows="rows"))
 
 
 def _ordered(x: str, y: str) -> tuple[Column, Column]:
@@ -237,35 +265,40 @@ def _ordered(x: str, y: str) -> tuple[Column, Column]:
 
 def agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs whose signatures, as multisets or as sets, agree in ``LIKELY`` of the coordinates or more."""
-    sketches = texts.select("node", "sketch", "set_sketch")
+    sketches, n = texts.select("node", "sketch", "set_sketch"), pairs.count()
     for end in ("a", "b"):
-        pairs = pairs.join(sketches.withColumnsRenamed({"node": end, "sketch": f"sketch_{end}", "set_sketch": f"set_{end}"}), end)
+        pairs = joined(pairs, sketches.withColumnsRenamed({"node": end, "sketch": f"sketch_{end}", "set_sketch": f"set_{end}"}), end, total=n)
     sets = [F.coalesce(f"set_{end}", f"sketch_{end}") for end in ("a", "b")]
     return pairs.where(F.greatest(_agreement("sketch_a", "sketch_b"), _agreement(*sets)) >= LIKELY).select("a", "b")
 
 
-def candidates(banded: DataFrame, heads: DataFrame) -> DataFrame:
-    """Pairs a < b of every text with its buckets' heads, and of all texts in small buckets."""
-    met = joined(banded.select("node", "band"), heads.withColumn("rows", F.col("members")), "band", rows="rows")
-    pairs = met.select("node", F.explode(F.array("low", "high")).alias("head")).where("node <> head").select(*_ordered("node", "head"))
+def candidates(members: DataFrame) -> DataFrame:
+    """Pairs a < b of every text with its buckets' heads, and of all texts in small buckets. ``members``: as ``met`` gives them."""
+    # one order of all nodes and a few others: the members of a large class meet the same few heads in all its buckets
+    turned = F.xxhash64("node", F.pmod("band", F.lit(HEAD_ORDERS)))
+    heads = members.groupBy("band").agg(F.min_by("node", F.xxhash64("node")).alias("low"), F.max_by("node", turned).alias("last"), F.min_by("node", turned).alias("first"), F.count("*").alias("rows"))
+    # the second head is another text than the first: where one is last in its turn's order, the first in it
+    heads = cut(heads.select("band", "low", F.when(F.col("last") != F.col("low"), F.col("last")).otherwise(F.col("first")).alias("high"), "rows"))
+    pairs = joined(members.select("node", "band"), heads, "band", rows="rows").select("node", F.explode(F.array("low", "high")).alias("head")).where("node <> head").select(*_ordered("node", "head"))
     # of up to three members every pair has a head; somewhat larger buckets are paired whole
-    lists = met.where(F.col("members").between(4, PAIRED_WHOLE)).groupBy("band").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    lists = members.where(F.col("members").between(4, PAIRED_WHOLE)).groupBy("band").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     others = F.transform("nodes", lambda x, i: F.transform(F.slice("nodes", i + 2, F.size("nodes")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
     return pairs.union(lists.select(F.inline(F.flatten(others)))).distinct()
 
 
 def opened(members: DataFrame, labels: DataFrame, heads: int) -> DataFrame:
-    """node, band, label and is_head of the members (node, band) of buckets that hold several classes. All members outside a
-    bucket's main class are heads if they are ``heads`` at most; else the member of most such buckets (a text amid its copies
-    shares more buckets than they do) and about ``heads`` others by hash."""
+    """node, band, label and is_head of the members (node, band) of buckets that hold several classes. A head is the member of
+    most such buckets, and about ``heads`` others by hash; all members outside a bucket's main class if they are no more."""
     members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = members.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("main"))
-    members = cut(members.join(classes.where("members > main.n"), "band"))
-    met = members.groupBy("node").agg(F.count("*").alias("met"))
-    central = members.join(met, "node").groupBy("band").agg(F.max_by("node", F.struct("met", F.xxhash64("node", "band"))).alias("central"))
+    classes = cut(classes.where("members > main.n").withColumn("rows", F.col("members")))
+    members = cut(joined(members.select("node", "band", "label"), classes, "band", rows="rows"))
+    most = members.groupBy("node").agg(F.count("*").alias("met"))
+    central = members.join(most, "node").groupBy("band").agg(F.max_by("node", F.struct("met", F.xxhash64("node", "band"))).alias("central"), F.count("*").alias("rows"))
+    members = joined(members, cut(central), "band", rows="rows")
     some = (F.col("node") == F.col("central")) | (hash_unit(F.col("node"), seed=heads) * F.col("members") < heads)
     is_head = F.when(F.col("members") - F.col("main.n") <= heads, F.col("label") != F.col("main.label")).otherwise(some)
-    return cut(members.join(central, "band").select("node", "band", "label", is_head.alias("is_head")))
+    return cut(members.select("node", "band", "label", is_head.alias("is_head")))
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -280,8 +313,9 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def likeness_of(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """The pairs with their exact likeness: the larger of that of the sets and that of the multisets."""
+    n = pairs.count()
     for end in ("a", "b"):
-        pairs = pairs.join(elements.select(F.col("node").alias(end), F.struct("once", "more").alias(f"of_{end}")), end)
+        pairs = joined(pairs, elements.select(F.col("node").alias(end), F.struct("once", "more").alias(f"of_{end}")), end, total=n)
     size = lambda end, kind: F.size(f"of_{end}.{kind}")
     common = {kind: F.size(F.array_intersect(f"of_a.{kind}", f"of_b.{kind}")) for kind in ("once", "more")}
     pairs = pairs.withColumns({f"common_{k}": c for k, c in common.items()} | {"once_a": size("a", "once"), "once_b": size("b", "once"), "all": size("a", "once") + size("b", "once") + size("a", "more") + size("b", "more")})
@@ -300,42 +334,65 @@ class NearDuplicates:
         texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("set_sketch").alias("set_sketch"))
         texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
         self.texts = texts.select("node", "text_key", "first_id", "copies")
-
-        self._elements = None
-        banded, heads = buckets(texts)
-        heads = cut(heads)
-        tried = cut(agreeing(candidates(banded, heads), texts))
-        self.links = self._verified(docs, doc_id, text, tried, likeness)
-        self.labels = components(self.links)
-
-        members = banded.join(heads.where(F.col("members") > PAIRED_WHOLE).select("band"), "band", "left_semi").select("node", "band")
+        self._texts, self._docs, self._likeness = texts, docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), likeness
+        self._tried = self.links = docs.sparkSession.createDataFrame([], "a long, b long")
+        self.labels = docs.sparkSession.createDataFrame([], "node long, label long")
+        open_ = self._meet(texts.select("node", F.explode("bands").alias("band")))
+        for step in range(len(FINER)):
+            if open_ is not None:
+                open_ = self._meet(finer_bands(texts.join(open_.select("node").distinct(), "node"), step))
         most = LATER_HEADS
-        while not (open_ := opened(members, self.labels, most)).isEmpty():
-            heads = open_.where("is_head").select("band", F.col("node").alias("head"), F.col("label").alias("head_label"))
-            pairs = open_.join(heads, "band").where("label <> head_label").select(*_ordered("node", "head")).distinct()
-            pairs = cut(agreeing(pairs.join(tried, ["a", "b"], "left_anti"), texts))
-            if not pairs.isEmpty():
-                tried = tried.union(pairs)
-                links = self._verified(docs, doc_id, text, pairs, likeness)
-                if not links.isEmpty():
-                    self.links, self.labels = self.links.union(links), merged(self.labels, links)
+        while open_ is not None:
+            open_ = self._with_heads(open_, most)
+            most *= 4
+
+    def _meet(self, banded: DataFrame) -> DataFrame | None:
+        """Compares the texts that meet in these bands: small buckets whole, and all others with their heads, then with their
+        central member. Gives node and band of the buckets that still hold several classes, None where there are none."""
+        members = met(banded)
+        self._compare(candidates(members))
+        return self._with_heads(members.where(F.col("members") > PAIRED_WHOLE).select("node", "band"), 0)
+
+    def _with_heads(self, members: DataFrame, most: int) -> DataFrame | None:
+        """Compares the heads of buckets that hold several classes with their members of other classes; gives what is open then."""
+        open_ = opened(members, self.labels, most)
+        if open_.isEmpty():
+            return None
+        heads = open_.where("is_head").select("band", F.col("node").alias("head"), F.col("label").alias("head_label"))
+        self._compare(open_.join(heads, "band").where("label <> head_label").select(*_ordered("node", "head")).distinct())
+        if most:
             # a head has met all others of its bucket
-            members, most = open_.where("not is_head").select("node", "band"), 4 * most
-
-    def _verified(self, docs: DataFrame, doc_id: str, text: str, pairs: DataFrame, likeness: float) -> DataFrame:
-        """Those of the pairs whose exact likeness is as high. Each text's shingles are made once."""
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.texts, "node")
-        if self._elements is not None:
-            involved = cut(involved.join(self._elements.select("node"), "node", "left_anti"))
-        if self._elements is None or not involved.isEmpty():
-            words = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(
-                involved.select("node", F.col("first_id"), "text_key"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (text_key(F.col("text")) == F.col("text_key"))
-            )
-            words = words.select("node", word_hashes(F.col("text")).alias("words"))
-            schema = T.StructType([words.schema["node"], T.StructField("once", LONGS), T.StructField("more", LONGS)])
-            elements = cut(words.mapInArrow(lambda batches: _by_chunk(batches, _elements), schema).dropDuplicates(["node"]))
-            self._elements = elements if self._elements is None else self._elements.union(elements)
-        return cut(likeness_of(pairs, self._elements).where(F.col("likeness") >= likeness))
+            return open_.where("not is_head").select("node", "band")
+        left = cut(opened(open_.select("node", "band"), self.labels, 0).select("node", "band"))
+        return None if left.isEmpty() else left
+
+    def _compare(self, pairs: DataFrame) -> None:
+        """Adds the links among these pairs of texts, without those of one class and those that were compared before."""
+        pairs = cut(pairs)
+        n = pairs.count()
+        for end in ("a", "b"):
+            labels = self.labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
+            pairs = joined(pairs, labels, end, how="left", total=n).withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+        pairs = cut(pairs.where("of_a <> of_b").select("a", "b").join(self._tried, ["a", "b"], "left_anti"))
+        pairs = cut(agreeing(pairs, self._texts))
+        if pairs.isEmpty():
+            return
+        links = self._verified(pairs)
+        self._tried = self._tried.union(pairs)
+        if not links.isEmpty():
+            self.links = self.links.union(links.select("a", "b"))
+            self.labels = merged(self.labels, links)
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose exact likeness is as high. Texts stay where they are as far as the list of those that are
+        needed is small enough to go to them."""
+        involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.texts, "node").select("node", "first_id", F.col("text_key").alias("key")))
+        if involved.count() <= BROADCAST_TEXTS:
+            involved = F.broadcast(involved)
+        words = self._docs.join(involved, F.col("doc_id").eqNullSafe(F.col("first_id"))).where(text_key(F.col("text")) == F.col("key")).select("node", word_hashes(F.col("text")).alias("words"))
+        schema = T.StructType([words.schema["node"], T.StructField("once", LONGS), T.StructField("more", LONGS)])
+        elements = cut(words.mapInArrow(lambda batches: _by_chunk(batches, _elements), schema).dropDuplicates(["node"]))
+        return cut(likeness_of(pairs, elements).where(F.col("likeness") >= self._likeness))
 
     def text_classes(self) -> DataFrame:
         """Distinct texts with class_id (the least doc_id of their class), class_size (rows) and first_id."""
