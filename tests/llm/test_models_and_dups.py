@@ -347,9 +347,9 @@ def test_pipeline_removes_what_is_done_with(spark, sf_dir):
     from veilspan.llm.common import shared_folder
 
     folder = Path(shared_folder(spark).removeprefix("file:"))
-    before = set(folder.rglob("rdd-*")) | set(folder.glob("pipeline-*/*"))
+    before = set(folder.glob("cut-*")) | set(folder.glob("pipeline-*/*"))
     corpus_pipeline.run(spark, sf_dir)
-    after = set(folder.rglob("rdd-*")) | set(folder.glob("pipeline-*/*"))
+    after = set(folder.glob("cut-*")) | set(folder.glob("pipeline-*/*"))
     assert {p.name for p in after - before if p.exists()} == {"4"}
 
 
