@@ -1,7 +1,7 @@
 """Keyed hashing and format-preserving encryption.
 
 HMAC-SHA256 is a column expression. Keys are arguments and have no defaults. Their padded forms are literals in the plan,
-so set spark.sql.redaction.string.regex where plans are logged.
+so let Spark hide such strings (its setting for patterns of secret text) where plans are logged.
 """
 
 from __future__ import annotations

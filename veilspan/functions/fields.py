@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspan.functions import patterns as P
 from veilspan.functions.spans import let
 
 FIELDS_TYPE = "array<struct<pos:int,field:string,value:string>>"
-#: How deep nested objects are followed.
-DEPTH = 6
 
 
 def no_fields() -> Column:
@@ -50,32 +52,42 @@ def key_values(text: Column, prefix: Column | None = None, trailing: str = "") -
     return F.when(text.rlike(pattern), let(listed, _unique)).otherwise(no_fields())
 
 
+def string_leaves(line: str | None) -> dict[str, str]:
+    """String leaves of nested JSON objects by dotted path, in the order of the line, however deep; lists, numbers, booleans and
+    nulls carry none. Of repeated paths the last value stands at the first one's place. A bare JSON string is a field
+    without a name. Text that is no JSON, or nested deeper than the parser goes (thousands of levels), has no fields."""
+    try:
+        todo = [("", json.loads(line))] if line else []
+    except (ValueError, RecursionError):
+        return {}
+    found: dict[str, str] = {}
+    while todo:
+        path, node = todo.pop()
+        if isinstance(node, str):
+            found[path] = node
+        elif isinstance(node, dict):
+            todo += [(f"{path}.{k}" if path else k, v) for k, v in reversed(node.items())]
+    return found
+
+
+@F.arrow_udf(T.ArrayType(T.StructType().add("pos", T.IntegerType()).add("field", T.StringType()).add("value", T.StringType())))
+def _leaves(lines: pa.Array) -> pa.Array:
+    ends, places, names, values = [0], [], [], []
+    for line in lines.to_pylist():
+        found = string_leaves(line)
+        places += range(len(found))
+        names += found.keys()
+        values += found.values()
+        ends.append(len(places))
+    # lone surrogates, which JSON can spell, are no Unicode text
+    text = lambda column: pa.array([v.encode("utf-8", "replace").decode() for v in column], pa.string())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(places, pa.int32()), text(names), text(values)], ["pos", "field", "value"]))
+
+
 def cloudtrail(text: Column) -> Column:
-    """String leaves of nested JSON objects by dotted path; lists, numbers, booleans and nulls carry none. Text that is no
-    valid JSON has no fields; a bare JSON string is a field without a name. Ordered by the value's place in the line."""
-    objects = F.try_parse_json(text)
-    level = F.array(F.struct(F.lit("").alias("path"), objects.alias("node")))
-
-    def typed(node: Column) -> Column:
-        return F.schema_of_variant(node)
-
-    def children(parent: Column) -> Column:
-        as_map = F.try_variant_get(parent["node"], "$", "map<string,variant>")
-        path = lambda k: F.when(parent["path"] == "", k).otherwise(F.concat(parent["path"], F.lit("."), k))
-        inner = F.transform(F.map_entries(as_map), lambda e: F.struct(path(e["key"]).alias("path"), e["value"].alias("node")))
-        return F.when(typed(parent["node"]).startswith("OBJECT"), inner)
-
-    leaves = F.array().cast("array<struct<path:string,value:string>>")
-    for _ in range(DEPTH):
-        strings = F.transform(
-            F.filter(level, lambda n: typed(n["node"]) == "STRING"), lambda n: F.struct(n["path"].alias("path"), F.try_variant_get(n["node"], "$", "string").alias("value"))
-        )
-        leaves = F.concat(leaves, strings)
-        level = F.flatten(F.filter(F.transform(level, children), lambda c: c.isNotNull()))
-    # VARIANT sorts an object's keys; where a value stands in the line gives the order back
-    placed = F.transform(leaves, lambda f: F.struct(F.instr(text, f["value"]).alias("at"), f["path"].alias("field"), f["value"].alias("value")))
-    listed = F.transform(F.sort_array(placed), lambda f, i: F.struct(i.cast("int").alias("pos"), f["field"].alias("field"), f["value"].alias("value")))
-    return F.when(objects.isNotNull(), listed).otherwise(no_fields())
+    """``string_leaves`` of each text. VARIANT values forget the order of keys, and no built-in function descends without a bound,
+    so this is an Arrow UDF: it can't stand inside a lambda function."""
+    return F.coalesce(_leaves(text), no_fields())
 
 
 def _group(text: Column, pattern: str, group: int) -> Column:
@@ -101,9 +113,10 @@ def syslog(text: Column) -> Column:
 
 
 def extract_fields(log_type: Column, text: Column) -> Column:
-    """By log type; an unknown one has no fields."""
+    """By log type; an unknown one has no fields. Not for use inside a lambda function."""
+    json_line = F.when(log_type == "cloudtrail", text)  # the parser sees no other lines
     return (
-        F.when(log_type == "windows_event", key_values(text)).when(log_type == "syslog", syslog(text)).when(log_type == "cloudtrail", cloudtrail(text)).otherwise(no_fields())
+        F.when(log_type == "windows_event", key_values(text)).when(log_type == "syslog", syslog(text)).when(log_type == "cloudtrail", cloudtrail(json_line)).otherwise(no_fields())
     )
 
 

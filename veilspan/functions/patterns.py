@@ -11,6 +11,7 @@ REGEX_PATTERNS = {
     "MRN": r"\bMRN-\d{7}\b",
 }
 ACCOUNT_ID_CONTEXT = (r"arn:aws[a-z0-9-]*:[^:]*:[^:]*:$", r'"(?:recipientA|a)ccountId"\s*:\s*"$')
+ACCOUNT_ID_WORDS = ("arn:aws", "ccountId")
 ACCOUNT_ID_LENGTH = 12
 ENTROPY_TOKEN = r"[A-Za-z0-9+/=_.-]{8,}"
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}"
@@ -45,8 +46,9 @@ CRITICAL_TYPES = ("PERSON", "EMAIL", "SSN", "CREDIT_CARD", "MRN")
 SENSITIVE_TYPES = ("IP",)
 PSEUDONYMIZE_TYPES = ("IP", "PERSON")
 TOKENIZE_TYPES = ("EMAIL", "MRN", "CREDIT_CARD", "SSN")
-REDACT_TYPES = ()
-PLACEHOLDER = "[REDACTED]"
+MASKED_TYPES = ()
+#: The method of spans that are neither pseudonymized nor tokenized, and what a masked span is replaced by.
+MASK_METHOD, PLACEHOLDER = "redact", "[REDACTED]"
 HIGH_ENTROPY = "HIGH_ENTROPY"
 MIN_NAME_PART, MIN_NAME_TOKEN, MAX_NAME_TOKEN = 3, 6, 30
 ENTROPY_MIN_LENGTH, ENTROPY_THRESHOLD = 12, 3.3

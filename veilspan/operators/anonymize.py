@@ -1,4 +1,4 @@
-"""Anonymization of spans: redaction, keyed pseudonyms, reversible tokens, policy routing and the signed audit trail."""
+"""Anonymization of spans: masking, keyed pseudonyms, reversible tokens, policy routing and the signed audit trail."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ class Keys:
 
 @dataclass(frozen=True)
 class Policy:
-    redact: tuple[str, ...] = P.REDACT_TYPES
+    mask: tuple[str, ...] = P.MASKED_TYPES
     pseudonymize: tuple[str, ...] = P.PSEUDONYMIZE_TYPES
     tokenize: tuple[str, ...] = P.TOKENIZE_TYPES
     version: str = "1"
@@ -44,7 +44,7 @@ def token(value: Column, kind: Column, key: str) -> Column:
     return F.concat(F.lit("tok_"), F.lower(kind), F.lit("_"), F.substring(hmac_sha256(key, value), 1, P.TOKEN_HEX))
 
 
-def redact(text: Column, spans: Column, placeholder: str = P.PLACEHOLDER) -> Column:
+def mask(text: Column, spans: Column, placeholder: str = P.PLACEHOLDER) -> Column:
     return replace_right_to_left(text, spans, lambda original, s: F.lit(placeholder))
 
 
@@ -57,9 +57,9 @@ def tokenize(text: Column, spans: Column, key: str) -> Column:
 
 
 def method_of(kind: Column, policy: Policy = Policy()) -> Column:
-    """The label in the audit trail: ``redact`` for every type that is neither pseudonymized nor tokenized, even where the
-    text stays as it is."""
-    return F.when(_is(kind, policy.pseudonymize), "pseudonymize").when(_is(kind, policy.tokenize), "tokenize").otherwise("redact")
+    """The label in the audit trail: ``P.MASK_METHOD`` for every type that is neither pseudonymized nor tokenized, even where
+    the text stays as it is."""
+    return F.when(_is(kind, policy.pseudonymize), "pseudonymize").when(_is(kind, policy.tokenize), "tokenize").otherwise(P.MASK_METHOD)
 
 
 def anonymize_by_policy(text: Column, spans: Column, keys: Keys, policy: Policy = Policy(), tokens: Column | None = None) -> Column:
@@ -70,7 +70,7 @@ def anonymize_by_policy(text: Column, spans: Column, keys: Keys, policy: Policy
         own = token(original, s["type"], keys.token)
         issued = own if tokens is None else F.coalesce(F.element_at(tokens, original), own)
         return (
-            F.when(_is(s["type"], policy.redact), F.lit(P.PLACEHOLDER))
+            F.when(_is(s["type"], policy.mask), F.lit(P.PLACEHOLDER))
             .when(_is(s["type"], policy.pseudonymize), pseudonym(original, s["type"], keys.pseudonym))
             .when(_is(s["type"], policy.tokenize), issued)
             .otherwise(original)

@@ -19,9 +19,9 @@ NerProvider = Callable[[Column], Column]
 
 
 def _account_id(text: Column, start: Column) -> Column:
-    """Whether what precedes a number says that it is a cloud account's id."""
-    before = F.substring(text, F.lit(1), start)
-    return before.rlike(P.ACCOUNT_ID_CONTEXT[0]) | before.rlike(P.ACCOUNT_ID_CONTEXT[1])
+    """Whether what precedes a number says that it is a cloud account's id. Nothing is looked at but in texts that hold one of
+    the words that both contexts begin with."""
+    return F.when(F.contains(text, F.lit(P.ACCOUNT_ID_WORDS[0])) | F.contains(text, F.lit(P.ACCOUNT_ID_WORDS[1])), let(F.substring(text, F.lit(1), start), lambda before: before.rlike("|".join(P.ACCOUNT_ID_CONTEXT)))).otherwise(False)
 
 
 def scan_regex(text: Column, types: tuple[str, ...] = tuple(P.REGEX_PATTERNS)) -> Column:
@@ -55,12 +55,13 @@ def shannon_entropy(token: Column) -> Column:
     return F.when(F.length(token) > 0, F.aggregate(chars, start, step, close)).otherwise(F.lit(0.0))
 
 
-def scan_entropy(text: Column, min_len: int = P.ENTROPY_MIN_LENGTH, threshold: float = P.ENTROPY_THRESHOLD) -> Column:
-    """Layer 3: tokens of at least ``min_len`` characters and ``threshold`` bits, without those that hold a UUID."""
+def scan_entropy(text: Column, min_len: int = P.ENTROPY_MIN_LENGTH, threshold: float = P.ENTROPY_THRESHOLD, uuids: bool = False) -> Column:
+    """Layer 3: tokens of at least ``min_len`` characters and ``threshold`` bits, without those that hold a UUID (unless
+    ``uuids``)."""
 
     def hit(match: Column, start: Column, end: Column) -> Column:
         return F.when(
-            (F.length(match) >= min_len) & ~match.rlike(P.UUID),
+            (F.length(match) >= min_len) & (F.lit(uuids) | ~match.rlike(P.UUID)),
             let(shannon_entropy(match), lambda h: F.when(h >= threshold, span(P.HIGH_ENTROPY, start, end, "entropy", entropy=F.round(h, 2)))),
         )
 

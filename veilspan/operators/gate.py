@@ -6,12 +6,12 @@ provider; its hits are mapped back to the whole line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions import patterns as P
-from veilspan.functions.fields import extract_fields
-from veilspan.functions.spans import let, no_spans
+from veilspan.functions.fields import extract_fields, no_fields
+from veilspan.functions.spans import let
 from veilspan.operators.detect import NerProvider, scan_entropy, scan_flattened_names, scan_regex
 
 RANGES = "array<struct<s:int,e:int>>"
@@ -71,7 +71,10 @@ def _spliced(text: Column, ranges: Column) -> Column:
     return F.aggregate(F.concat(ranges, end), start, step)
 
 
-def ner_candidate(text: Column, log_type: Column, hits: Column) -> Column:
+CANDIDATE = f"struct<candidate:string,segments:{SEGMENTS}>"
+
+
+def ner_candidate(text: Column, hits: Column, fields: Column) -> Column:
     """struct<candidate, segments>: the text itself and no segments where nothing is cut out; a null candidate where what
     stays has no letter, so that nothing needs to be searched."""
     unchanged = F.struct(text.alias("candidate"), F.lit(None).cast(SEGMENTS).alias("segments"))
@@ -81,7 +84,7 @@ def ner_candidate(text: Column, log_type: Column, hits: Column) -> Column:
         spliced = let(_spliced(text, _merged(cut["ranges"])), lambda s: F.struct(s["candidate"].alias("candidate"), s["segments"].alias("segments")))
         return F.when(F.size(cut["ranges"]) == 0, unchanged).when(~cut["letters"], nothing).otherwise(spliced)
 
-    return let(_excised(text, hits, extract_fields(log_type, text)), build)
+    return let(_excised(text, hits, fields), build)
 
 
 def remap(hits: Column, segments: Column) -> Column:
@@ -95,32 +98,41 @@ def remap(hits: Column, segments: Column) -> Column:
     return F.when(segments.isNull(), hits).otherwise(F.transform(hits, move))
 
 
-def gated_ner(text: Column, log_type: Column, regex_hits: Column, ner: NerProvider) -> Column:
-    candidate = F.when(F.size(regex_hits) > 0, ner_candidate(text, log_type, regex_hits)).otherwise(F.struct(text.alias("candidate"), F.lit(None).cast(SEGMENTS).alias("segments")))
-    return let(candidate, lambda c: F.when(c["candidate"].isNull(), no_spans()).otherwise(remap(ner(c["candidate"]), c["segments"])))
-
-
-def detect_field_gated(text: Column, log_type: Column, ner: NerProvider, flattened: bool = True) -> Column:
-    """All layers, with the entity layer behind the field gate."""
-    regex = scan_regex(text)
-    found = let(regex, lambda hits: F.concat(hits, gated_ner(text, log_type, hits, ner)))
-    return F.concat(found, scan_entropy(text), *([scan_flattened_names(text)] if flattened else []))
+STRATEGIES = ("regex_only", "tiered", "field_gated", "naive", "naive_flattened")
+_HITS, _FIELDS, _GATED = "_veil_hits", "_veil_fields", "_veil_gated"
 
 
-STRATEGIES = ("regex_only", "tiered", "field_gated", "naive", "naive_flattened")
+def with_candidate(df: DataFrame, text: str = "log", log_type: str = "log_type") -> DataFrame:
+    """``df`` with _veil_hits (of the regular expressions) and _veil_gated (``ner_candidate``; the whole text of a line without
+    hits). Each step is a column of its own: fields and entities may come from Python, which can't run within lambdas."""
+    rows = df.withColumn(_HITS, scan_regex(F.col(text)))
+    some = F.size(_HITS) > 0
+    rows = rows.withColumn(_FIELDS, F.when(some, extract_fields(F.when(some, F.col(log_type)), F.col(text))).otherwise(no_fields()))
+    whole = F.struct(F.col(text).alias("candidate"), F.lit(None).cast(SEGMENTS).alias("segments"))
+    return rows.withColumn(_GATED, F.when(some, ner_candidate(F.col(text), F.col(_HITS), F.col(_FIELDS))).otherwise(whole).cast(CANDIDATE)).drop(_FIELDS)
 
 
-def predicted(strategy: str, text: Column, log_type: Column, ner: NerProvider) -> Column:
-    """Spans in emission order by one of the evaluated strategies; entropy takes no part."""
-    regex = scan_regex(text)
+def predicted(df: DataFrame, strategy: str, ner: NerProvider, text: str = "log", log_type: str = "log_type", out: str = "pred") -> DataFrame:
+    """``df`` with the spans, in emission order, that one of the evaluated strategies gives; entropy takes no part. Lines that
+    need no search for entities reach the provider as null."""
+    regex = scan_regex(F.col(text))
     if strategy == "regex_only":
-        return regex
-    if strategy == "tiered":
-        return let(regex, lambda hits: F.when(F.size(hits) > 0, hits).otherwise(ner(text)))
-    if strategy == "field_gated":
-        return let(regex, lambda hits: F.concat(hits, gated_ner(text, log_type, hits, ner)))
+        return df.withColumn(out, regex)
     if strategy == "naive":
-        return F.concat(regex, ner(text))
+        return df.withColumn(out, F.concat(regex, ner(F.col(text))))
     if strategy == "naive_flattened":
-        return F.concat(regex, ner(text), scan_flattened_names(text))
+        return df.withColumn(out, F.concat(regex, ner(F.col(text)), scan_flattened_names(F.col(text))))
+    if strategy == "tiered":
+        rows = df.withColumn(_HITS, regex)
+        return rows.withColumn(out, F.concat(F.col(_HITS), ner(F.when(F.size(_HITS) == 0, F.col(text))))).drop(_HITS)
+    if strategy == "field_gated":
+        rows = with_candidate(df, text, log_type)
+        found = remap(ner(F.col(f"{_GATED}.candidate")), F.col(f"{_GATED}.segments"))
+        return rows.withColumn(out, F.concat(F.col(_HITS), found)).drop(_HITS, _GATED)
     raise ValueError(f"unknown strategy {strategy!r}; one of {', '.join(STRATEGIES)}")
+
+
+def detect_field_gated(df: DataFrame, ner: NerProvider, flattened: bool = True, text: str = "log", log_type: str = "log_type", out: str = "spans") -> DataFrame:
+    """``df`` with the spans of all layers, with the entity layer behind the field gate."""
+    rows = predicted(df, "field_gated", ner, text, log_type, out)
+    return rows.withColumn(out, F.concat(F.col(out), scan_entropy(F.col(text)), *([scan_flattened_names(F.col(text))] if flattened else [])))
