@@ -74,18 +74,22 @@ def routed(processed: DataFrame, ts: str = "ts") -> DataFrame:
     return processed.select("log_type", F.inline(F.concat(F.array(line), F.coalesce(events, F.array().cast("array<struct<sink:string,suffix:string,doc_id:string,message:string>>")))))
 
 
-def upsert(rows: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Puts rows by id into the routed table at ``path``: of equal ids in the batch one is kept, and partitions that the
-    batch touches are rewritten with the new rows in place of the old ones."""
-    spark = rows.sparkSession
-    new = rows.dropDuplicates([key])
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        touched = new.select("sink", "suffix").distinct()
-        old = spark.read.parquet(path).join(touched, ["sink", "suffix"], "left_semi").join(new.select(key), key, "left_anti")
-        new = old.unionByName(new).checkpoint() if spark.sparkContext.getCheckpointDir() else old.unionByName(new).cache()
-        new.count()
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sink", "suffix").parquet(path)
+BATCH = "_batch"
+
+
+def append(rows: DataFrame, path: str, batch: int) -> None:
+    """Adds a batch of routed rows to the table at ``path``, in a folder of its own: nothing that is there is read or rewritten,
+    and a batch that is repeated replaces itself."""
+    rows.write.mode("overwrite").partitionBy("sink", "suffix").parquet(f"{path.rstrip('/')}/{BATCH}={batch}")
+
+
+def read_routed(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+    """The table that ``append`` writes, with one row for each id: that of its last batch. Filters on sink and suffix prune
+    folders before anything is compared."""
+    rows = spark.read.option("basePath", path).option("pathGlobFilter", "*.parquet").parquet(f"{path.rstrip('/')}/{BATCH}=*")
+    others = [c for c in rows.columns if c not in ("sink", "suffix", key, BATCH)]
+    last = F.max_by(F.struct(*others), BATCH).alias("last")
+    return rows.groupBy("sink", "suffix", key).agg(last).select("sink", "suffix", key, "last.*")
 
 
 def trimmed_cloudtrail(raw: DataFrame, line: str = "value", longest: int = 300) -> DataFrame:
