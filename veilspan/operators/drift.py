@@ -42,21 +42,23 @@ def _enough() -> Column:
     return (F.col("baseline_n") >= P.DRIFT_MIN_SAMPLE) & (F.col("current_n") >= P.DRIFT_MIN_SAMPLE)
 
 
-def compare_all(baseline: DataFrame, current: DataFrame, threshold: float = P.DRIFT_THRESHOLD) -> DataFrame:
-    """Every field with enough values in both windows, flagged where the unrounded rates differ by the threshold or more."""
-    rates = _joined(baseline, current).where(_enough())
+def compare_all(baseline: DataFrame, current: DataFrame | None = None, threshold: float = P.DRIFT_THRESHOLD) -> DataFrame:
+    """Every field with enough values in both windows, flagged where the unrounded rates differ by the threshold or more. Takes
+    the statistics of both windows, or those that ``halves`` gives alone."""
+    rates = (baseline if current is None else _joined(baseline, current)).where(_enough())
     rates = rates.select("log_type", "field", (F.col("baseline_hits") / F.col("baseline_n")).alias("baseline_rate"), (F.col("current_hits") / F.col("current_n")).alias("current_rate"), "baseline_n", "current_n")
     delta = F.col("current_rate") - F.col("baseline_rate")
     return rates.select("log_type", "field", "baseline_rate", "current_rate", delta.alias("delta"), "baseline_n", "current_n", (F.abs(delta) >= threshold).alias("flagged"))
 
 
-def compare(baseline: DataFrame, current: DataFrame, threshold: float = P.DRIFT_THRESHOLD) -> DataFrame:
+def compare(baseline: DataFrame, current: DataFrame | None = None, threshold: float = P.DRIFT_THRESHOLD) -> DataFrame:
     """The flagged fields, the largest change first."""
     return compare_all(baseline, current, threshold).where("flagged").drop("flagged").orderBy(F.desc(F.abs("delta")), "log_type", "field")
 
 
-def insufficient(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    return _joined(baseline, current).where(~_enough()).select("log_type", "field", "baseline_n", "current_n")
+def insufficient(baseline: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """Fields with too few values in a window."""
+    return (baseline if current is None else _joined(baseline, current)).where(~_enough()).select("log_type", "field", "baseline_n", "current_n")
 
 
 def rounded(compared: DataFrame, digits: int = 4) -> DataFrame:
@@ -74,6 +76,15 @@ def summary(baseline_entries: DataFrame, current_entries: DataFrame, threshold:
     return sizes.withColumn("k", F.lit(1)).join(counts.withColumn("k", F.lit(1)), "k").drop("k")  # a row each
 
 
+def halves(entries: DataFrame, first: Column, log_type: str = "log_type", text: str = "log") -> DataFrame:
+    """Statistics of two windows in one pass: log_type, field, baseline_n, baseline_hits, current_n, current_hits. ``first`` tells
+    which lines are the baseline."""
+    values = entries.select(first.alias("first"), F.col(log_type).alias("log_type"), F.inline(extract_fields(F.col(log_type), F.col(text))))
+    values = values.select("first", "log_type", "field", is_critical(F.col("value")).alias("hit"))
+    counts = {f"{w}_{k}": F.count_if(c) for w, of in (("baseline", F.col("first")), ("current", ~F.col("first"))) for k, c in (("n", of), ("hits", of & F.col("hit")))}
+    return values.groupBy("log_type", "field").agg(*[c.alias(n) for n, c in counts.items()])
+
+
 def metric_rows(compared: DataFrame) -> DataFrame:
     """metric, log_type, field, value: two gauges for each field."""
     return compared.select("log_type", "field", F.expr("stack(2, 'critical_hit_rate', current_rate, 'flagged', cast(flagged as double)) as (metric, value)"))
@@ -90,8 +101,17 @@ def slow_windows(latencies: DataFrame, ts: str = "ts", seconds: str = "seconds",
 
 
 def review_sample(processed: DataFrame, rate: float = 0.05, seed: int = 0, line_id: str = "line_id") -> DataFrame:
-    """An exact sample for review among lines with spans: max(1, floor(n * rate)) of them, in the order of a keyed hash."""
+    """An exact sample for review among lines with spans: max(1, floor(n * rate)) of them, in the order of a keyed hash.
+
+    The hash's first digits are a number: what lies well beyond the sample's share of all numbers is put aside before the rest
+    is sorted, so that only about the sample itself is."""
     found = processed.where(F.col("detector_span_count") > 0)
-    n = found.count()
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(line_id).cast("string")))
-    return found.orderBy(order, line_id).limit(max(1, int(n * rate)) if n else 0)
+    found = found.withColumn("_veil_order", order).withColumn("_veil_place", F.conv(F.substring("_veil_order", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32)))
+    n = found.count()
+    wanted = max(1, int(n * rate)) if n else 0
+    share = min(1.0, (wanted + 6 * wanted**0.5 + 6) / max(1, n))
+    near = found.where(F.col("_veil_place") < share)
+    if near.count() < wanted:  # a chance of about one in a billion
+        near = found
+    return near.orderBy("_veil_order", line_id).limit(wanted).drop("_veil_order", "_veil_place")

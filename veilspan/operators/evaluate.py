@@ -111,10 +111,11 @@ def type_tally(rows: DataFrame, strategies: dict[str, Column]) -> DataFrame:
     return each.groupBy("type").pivot("strategy", list(strategies)).count().na.fill(0)
 
 
-def early_exit_safety(rows: DataFrame, gold: str = "gold", text: str = "log") -> DataFrame:
-    """One row: lines, lines that the early exit skips, and skipped lines with labelled spans (which must be none)."""
-    skipped = ~could_hold_entity(F.col(text))
-    return rows.agg(F.count("*").alias("lines"), F.count_if(skipped).alias("skipped"), F.count_if(skipped & (F.size(gold) > 0)).alias("skipped_with_gold"))
+def early_exit_safety(rows: DataFrame, gold: str = "gold", text: str = "log", by: str = "log_type") -> DataFrame:
+    """For each value of ``by``: lines, lines that the early exit skips, skipped lines with labelled spans (which must be none),
+    and lines with labelled spans."""
+    skipped, some = ~could_hold_entity(F.col(text)), F.size(gold) > 0
+    return rows.groupBy(by).agg(F.count("*").alias("lines"), F.count_if(skipped).alias("skipped"), F.count_if(skipped & some).alias("skipped_with_gold"), F.count_if(some).alias("with_gold"))
 
 
 def unmatched(rows: DataFrame, gold: str = "gold", pred: str = "pred", id_: str = "line_id") -> DataFrame:
@@ -144,6 +145,9 @@ def dictionary_coverage(names: DataFrame, dictionary: DataFrame) -> DataFrame:
     return found.select("names", "covered", _ratio(F.col("covered"), F.col("names")).alias("distinct_coverage"), _ratio(F.col("covered_total"), F.col("total")).alias("weighted_coverage"))
 
 
+NAME_BUCKETS = 256
+
+
 def weighted_sample(names: DataFrame, draws: int, seed: int = 42) -> DataFrame:
     """``draws`` names with replacement, by count: draw, name. Each draw's hashed place in the cumulative counts is joined by
     range within blocks of the number line, so that no draw meets every name."""
@@ -153,9 +157,13 @@ def weighted_sample(names: DataFrame, draws: int, seed: int = 42) -> DataFrame:
     grand = totals.agg(F.sum("count")).first()[0] or 0
     if not grand:
         return names.sparkSession.createDataFrame([], "draw long, name string")
-    # a dictionary's distinct names: bounded by the vocabulary, not by the data
-    upto = F.sum("count").over(W.orderBy("name").rowsBetween(W.unboundedPreceding, 0))
-    placed = totals.select("name", (upto - F.col("count")).alias("low"), upto.alias("high"))
+    # cumulative counts in two steps: over hashed buckets of names, and within each bucket
+    totals = totals.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(NAME_BUCKETS)))
+    sums = totals.groupBy("bucket").agg(F.sum("count").alias("in_bucket"))
+    before = sums.select("bucket", (F.sum("in_bucket").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("in_bucket")).alias("before"))
+    upto = F.sum("count").over(W.partitionBy("bucket").orderBy("name").rowsBetween(W.unboundedPreceding, 0))
+    placed = totals.withColumn("upto", upto).join(F.broadcast(before), "bucket")  # a row per bucket
+    placed = placed.select("name", (F.col("before") + F.col("upto") - F.col("count")).alias("low"), (F.col("before") + F.col("upto")).alias("high"))
     step = max(1, grand // 1000)
     placed = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / step), F.floor((F.col("high") - 1) / step))))
     drawn = names.sparkSession.range(draws).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(grand)).alias("at")).withColumn("block", F.floor(F.col("at") / step))
@@ -169,10 +177,14 @@ def recall_by_locale(rows: DataFrame, detected: Column, locale: str = "locale",
     return sums.withColumn("recall", _ratio(F.col("found"), F.col("names")))
 
 
-def reconcile(expected: DataFrame, anonymized: DataFrame, quarantine: DataFrame) -> DataFrame:
-    """One row: exact counts, and whether every expected line came out on one side (false for none expected)."""
-    parts = [d.select(F.lit(n).alias("side")) for n, d in (("expected", expected), ("anonymized", anonymized), ("quarantine", quarantine))]
-    counts = parts[0].unionAll(parts[1]).unionAll(parts[2]).agg(*[F.count_if(F.col("side") == n).alias(n) for n in ("expected", "anonymized", "quarantine")])
+def reconcile(expected: DataFrame, routed: DataFrame) -> DataFrame:
+    """One row: exact counts, whether every expected line came out on one side (false for none expected), and the characters
+    that came out, which none but the finished texts can give. ``routed``: rows of the sinks (sink, message)."""
+    parts = [expected.select(F.lit("expected").alias("sink"), F.lit(0).alias("chars")), routed.select("sink", F.length("message").alias("chars"))]
+    sides = ("expected", "anonymized", "quarantine")
+    counts = parts[0].unionAll(parts[1]).agg(
+        *[F.count_if(F.col("sink") == n).alias(n) for n in sides], *[F.coalesce(F.sum(F.when(F.col("sink") == n, F.col("chars"))), F.lit(0)).alias(f"{n}_chars") for n in sides[1:]]
+    )
     return counts.withColumn("reconciled", (F.col("anonymized") + F.col("quarantine") == F.col("expected")) & (F.col("expected") > 0))
 
 
@@ -184,6 +196,10 @@ def corpus_integrity(rows: DataFrame, gold: str = "gold", text: str = "log", low
 
 
 def strategy_profile(rows: DataFrame, regex_hits: Column, candidate: Column) -> DataFrame:
-    """One row: entity calls of the field gate by bucket: on cut lines, skipped, and on lines without regex hits."""
-    hit, skipped = F.size(regex_hits) > 0, candidate["candidate"].isNull()
-    return rows.agg(F.count_if(hit & ~skipped).alias("ner_calls_made"), F.count_if(hit & skipped).alias("ner_calls_skipped"), F.count_if(~hit).alias("no_regex_hit_ner_calls"))
+    """One row: entity calls of the field gate by bucket (on cut lines, skipped, and on lines without regex hits), and the
+    characters that the calls on lines with hits still search."""
+    hit, text = F.size(regex_hits) > 0, candidate["candidate"]
+    return rows.agg(
+        F.count_if(hit & text.isNotNull()).alias("ner_calls_made"), F.count_if(hit & text.isNull()).alias("ner_calls_skipped"), F.count_if(~hit).alias("no_regex_hit_ner_calls"),
+        F.sum(F.when(hit, F.length(text))).alias("characters_searched"),
+    )

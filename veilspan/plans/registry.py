@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from veilspan.functions import fields as fields_of
 from veilspan.functions import patterns as P
 from veilspan.functions.crypto import decrypt_digits, encrypt_digits
-from veilspan.functions.spans import dedup_by_start, let, shifted, text_of
+from veilspan.functions.spans import dedup_by_start, shifted, text_of
 from veilspan.operators import anonymize, bloom, detect, drift, evaluate, gate, tokens
 from veilspan.plans import oracles as O
-from veilspan.sources import readers
+from veilspan.sources import lineage, readers
 from veilspan.sources.logs import log_lines, slot_rows
+from veilspan.streaming import pipeline
 
 #: Keys of the test queries; deployments bring their own.
 KEYS = anonymize.Keys(pseudonym="test-pseudonym-key", token="test-token-key", audit="test-audit-key", fingerprint="test-fingerprint-key")
@@ -122,10 +123,16 @@ def entropy_tokens(spark, sf_dir):
     return found.where("hits > 0").select("doc_id", F.col("hits").cast("bigint").alias("hits"))
 
 
-@query(f"select count(*) as tokens, sum(case when regexp_matches(v, {O.quoted(P.UUID)}) then 1 else 0 end) as with_uuid from ({O.matches('documents', 'doc_id', 'text', P.ENTROPY_TOKEN)}) r")
+_WITH_UUID = O.entropy_hits("lines", "line_id", "log").replace("not regexp_matches", "regexp_matches")
+
+
+@query(O.ctes(O.LOGS, ("kept", O.entropy_hits("lines", "line_id", "log")), ("held", _WITH_UUID))
+    + "select log_type, (select count(*) from kept where id in (select line_id from lines l where l.log_type = t.log_type)) as hits, (select count(*) from held where id in (select line_id from lines l where l.log_type = t.log_type)) as uuids from (select distinct log_type from lines) t")
 def uuid_exclusion_counts(spark, sf_dir):
-    found = _documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(P.ENTROPY_TOKEN), F.lit(0))).alias("token"))
-    return found.agg(F.count("*").alias("tokens"), F.count_if(F.col("token").rlike(P.UUID)).alias("with_uuid"))
+    """Entropy hits, and tokens that would be hits if they held no UUID."""
+    text = F.col("log")
+    counts = log_lines(spark, sf_dir).select("log_type", F.size(detect.scan_entropy(text)).alias("hits"), F.size(detect.scan_entropy(text, uuids=True)).alias("all"))
+    return counts.groupBy("log_type").agg(F.sum("hits").alias("hits"), F.sum(F.col("all") - F.col("hits")).alias("uuids"))
 
 
 @query("select c as token, round(list_aggregate(string_split(c, ''), 'entropy'), 6) as bits from (select distinct c_name as c from customer) x")
@@ -150,19 +157,19 @@ _SWEEP = O.ctes(
 
 @query(_SWEEP + "select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end as f1 from rates")
 def entropy_sweep(spark, sf_dir):
-    return evaluate.entropy_sweep(log_lines(spark, sf_dir))
+    return evaluate.entropy_sweep(log_lines(spark, sf_dir, gold=True))
 
 
 @query(_SWEEP + "select min_len, threshold, f1 from (select min_len, threshold, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end as f1 from rates) x order by f1 desc, min_len, threshold limit 1")
 def entropy_best_setting(spark, sf_dir):
-    return evaluate.best_setting(evaluate.entropy_sweep(log_lines(spark, sf_dir)))
+    return evaluate.best_setting(evaluate.entropy_sweep(log_lines(spark, sf_dir, gold=True)))
 
 
 @query(O.ctes(O.LOGS, ("gold", O.gold()), ("hits", O.entropy_hits("lines", "line_id", "log"))) + """select count(*) as flags,
     (select count(distinct (h.id, h.s)) from hits h join gold g on g.id = h.id where h.s < g.e and g.s < h.e) as overlapping_gold, count_if(l.used = '') as on_clean_lines,
     count(distinct case when l.used = '' then h.id end) as clean_lines_flagged, (select count(*) from lines where used = '') as clean_lines from hits h join lines l on l.line_id = h.id""")
 def entropy_false_alarms(spark, sf_dir):
-    return evaluate.entropy_false_alarms(log_lines(spark, sf_dir), examples=0)
+    return evaluate.entropy_false_alarms(log_lines(spark, sf_dir, gold=True), examples=0)
 
 
 # --- flattened names ---
@@ -173,13 +180,14 @@ def flattened_names(spark, sf_dir):
     return _found(log_lines(spark, sf_dir), detect.scan_flattened_names(F.col("log")), "line_id", "log")
 
 
-_ASCII = "(select * from documents where not regexp_matches(text, '[^\\x00-\\x7F]')) d"
+#: A dictionary of words that the documents' prose is full of, in all its languages.
+WORDS = ("the", "tion", "thon", "der", "les", "que", "una"), ("ring", "ble", "and", "ung", "ment", "ado", "tion")
 
 
-@query(f"select id as doc_id, count(*) as n from ({O.flattened(_ASCII, 'doc_id', 'text')}) r group by id")
+@query(f"select id as doc_id, v as value, count(*) as n from ({O.flattened_values('documents', 'doc_id', 'text', detect.name_patterns(*WORDS))}) r group by all")
 def flattened_names_documents(spark, sf_dir):
-    rows = _documents(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return rows.select("doc_id", F.size(detect.scan_flattened_names(F.col("text"))).cast("bigint").alias("n")).where("n > 0")
+    rows = _documents(spark, sf_dir)
+    return _found(rows, detect.scan_flattened_names(F.col("text"), *WORDS), "doc_id", "text").groupBy("doc_id", "value").agg(F.count("*").alias("n"))
 
 
 def _dictionary(spark: SparkSession) -> DataFrame:
@@ -196,7 +204,7 @@ def flattened_names_join(spark, sf_dir):
 
 
 def _field_rows(lines: DataFrame) -> DataFrame:
-    return lines.select("line_id", "log_type", F.inline(fields_of.extract_fields(F.col("log_type"), F.col("log")))).select("line_id", "log_type", "field", "value")
+    return lines.select("line_id", "log_type", F.inline(fields_of.extract_fields(F.col("log_type"), F.col("log")))).select("line_id", "log_type", "pos", "field", "value")
 
 
 def _fields_query(log_type: str) -> None:
@@ -204,7 +212,7 @@ def _fields_query(log_type: str) -> None:
         return _field_rows(log_lines(spark, sf_dir).where(F.col("log_type") == log_type))
 
     run.__name__ = {"windows_event": "kv_fields", "syslog": "syslog_fields", "cloudtrail": "cloudtrail_fields"}[log_type]
-    query(O.ctes(O.LOGS) + f"select line_id, log_type, field, value from ({O.fields()}) f where log_type = '{log_type}'")(run)
+    query(O.ctes(O.LOGS) + f"select line_id, log_type, cast(row_number() over (partition by line_id order by pos) - 1 as integer) as pos, field, value from ({O.fields()}) f where log_type = '{log_type}'")(run)
 
 
 for _kind in P.LOG_TYPES:
@@ -236,7 +244,7 @@ def windows_flatten(spark, sf_dir):
 
 
 @query(O.ctes(O.LOGS) + """select json_extract_string(j, '$.eventName') as "eventName", count(*) as n, count(json_extract_string(j, '$.userIdentity.accountId')) as accounts,
-    sum(case when length(json_extract(j, '$.requestParameters')::varchar) < 50 then 1 else 0 end) as kept from (select case when log_type = 'cloudtrail' then log end as j from lines) x where j is not null group by 1""")
+    sum(case when length(json_extract(j, '$.requestParameters')::varchar) < 50 then 1 else 0 end) as kept from (select case when log_type = 'cloudtrail' and json_valid(log) then log end as j from lines where log_type = 'cloudtrail') x group by 1""")
 def cloudtrail_trims(spark, sf_dir):
     raw = log_lines(spark, sf_dir).where("log_type = 'cloudtrail'").select(F.col("log").alias("value"))
     trimmed = readers.trimmed_cloudtrail(raw, longest=50)
@@ -246,14 +254,24 @@ def cloudtrail_trims(spark, sf_dir):
 # --- drift ---
 
 
+def _half(spark: SparkSession, sf_dir: str) -> Column:
+    """Whether a line is of the first half by number, which is by time; found in the plan, without a job of its own."""
+    ids = _table(spark, sf_dir, "events").agg(F.expr("(max(event_id) + 1) div 2").alias("half"))
+    return F.col("line_id") < ids.scalar()
+
+
 def _windows(spark: SparkSession, sf_dir: str, inject: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The first and the second half of the lines by number, which is by time."""
-    half = (_table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 1) // 2
-    return log_lines(spark, sf_dir).where(F.col("line_id") < half), log_lines(spark, sf_dir, inject).where(F.col("line_id") >= half)
+    first = _half(spark, sf_dir)
+    return log_lines(spark, sf_dir).where(first), log_lines(spark, sf_dir, inject).where(~first)
 
 
-def _stats(spark, sf_dir, inject=False):
-    return [drift.field_stats(w) for w in _windows(spark, sf_dir, inject)]
+def _stats(spark, sf_dir, inject=False) -> DataFrame:
+    """Statistics of both halves; with ``inject`` the second one is drifted."""
+    first = _half(spark, sf_dir)
+    if not inject:
+        return drift.halves(log_lines(spark, sf_dir), first)
+    rows = slot_rows(spark, sf_dir).select("line_id", "log_type", "log").where(first).unionAll(slot_rows(spark, sf_dir, inject).select("line_id", "log_type", "log").where(~first))
+    return drift.halves(rows, first)
 
 
 @query(O.ctes(O.LOGS, *O.field_stats(O.fields(), "true", "a")) + "select log_type, field, total, cast(critical_hits as bigint) as critical_hits from a")
@@ -266,32 +284,32 @@ _RATES = "log_type, field, baseline_rate, current_rate, delta, baseline_n, curre
 
 @query(O.drift(f"select {_RATES} from rates where flagged"))
 def drift_compare(spark, sf_dir):
-    return drift.compare(*_stats(spark, sf_dir))
+    return drift.compare(_stats(spark, sf_dir))
 
 
 @query(O.drift(f"select {_RATES} from rates where flagged", injected=True))
 def drift_compare_injected(spark, sf_dir):
-    return drift.compare(*_stats(spark, sf_dir, inject=True))
+    return drift.compare(_stats(spark, sf_dir, inject=True))
 
 
 @query(O.drift(f"select {_RATES}, flagged from rates"))
 def drift_compare_all(spark, sf_dir):
-    return drift.compare_all(*_stats(spark, sf_dir))
+    return drift.compare_all(_stats(spark, sf_dir))
 
 
 @query(O.drift("select log_type, field, baseline_n, current_n from compared where baseline_n < 20 or current_n < 20"))
 def drift_insufficient(spark, sf_dir):
-    return drift.insufficient(*_stats(spark, sf_dir))
+    return drift.insufficient(_stats(spark, sf_dir))
 
 
 @query(O.drift("select log_type, field, 'critical_hit_rate' as metric, current_rate as value from rates union all select log_type, field, 'flagged', case when flagged then 1.0 else 0.0 end::double from rates", injected=True))
 def drift_metrics(spark, sf_dir):
-    return drift.metric_rows(drift.compare_all(*_stats(spark, sf_dir, inject=True)))
+    return drift.metric_rows(drift.compare_all(_stats(spark, sf_dir, inject=True)))
 
 
 @query(O.drift("select log_type, field, 'flagged' as metric, 1.0::double as value from rates where flagged", injected=True))
 def drift_alerts(spark, sf_dir):
-    return drift.firing(drift.metric_rows(drift.compare_all(*_stats(spark, sf_dir, inject=True))))
+    return drift.firing(drift.metric_rows(drift.compare_all(_stats(spark, sf_dir, inject=True))))
 
 
 @query(O.drift(f"""select (select count(*) from lines where line_id < {O.HALF}) as baseline_entries, (select count(*) from lines where line_id >= {O.HALF}) as current_entries,
@@ -305,6 +323,20 @@ def latency_alerts(spark, sf_dir):
     return drift.slow_windows(_table(spark, sf_dir, "events"), seconds="value", over="1 day").select("window.start", "p95")
 
 
+@query(O.ctes(O.LOGS, *O.field_stats(f"select f.*, time_bucket(interval '7 days', l.ts, timestamp '1970-01-01') as start from ({O.fields()}) f join lines l on l.line_id = f.line_id", "true", "a"),
+    ("w", "select start, log_type, field, count(*) as total, sum(case when regexp_matches(value, " + O.quoted(O.CRITICAL) + ") or vid in (select id from a_names) then 1 else 0 end) as critical_hits from a_values group by all"))
+    + "select start, log_type, field, total, cast(critical_hits as bigint) as critical_hits from w")
+def windowed_stats(spark, sf_dir):
+    """The stream's event-time windows, over the table."""
+    return pipeline.windowed_field_stats(log_lines(spark, sf_dir))
+
+
+@query("select event_type, count(distinct user_id) as users, true as near from events group by event_type")
+def approximate_users(spark, sf_dir):
+    users = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.02).alias("about"))
+    return users.select("event_type", "users", (F.abs(F.col("about") - F.col("users")) <= 0.1 * F.col("users") + 1).alias("near"))
+
+
 # --- anonymization, tokens, audit ---
 
 
@@ -322,6 +354,11 @@ def tokenized_values(spark, sf_dir):
     return _values(spark, sf_dir).where(F.col("type").isin(*P.TOKENIZE_TYPES)).select("doc_id", "type", "value", anonymize.token(F.col("value"), F.col("type"), KEYS.token).alias("token"))
 
 
+@query(O.ctes(O.LOGS) + _spans_sql(" union all ".join([O.regex_spans("lines", "line_id", "log"), O.ner_spans("lines", "line_id", "log"), f"select id, 'HIGH_ENTROPY' as type, s, e, v from ({O.entropy_hits('lines', 'line_id', 'log')}) h", O.flattened("lines", "line_id", "log")]), "line_id"))
+def detect_all_layers(spark, sf_dir):
+    return _found(log_lines(spark, sf_dir), detect.detect_all(F.col("log"), detect.rule_ner()), "line_id", "log")
+
+
 _FIRST_SEEN = f"select v as original, arg_min(type, id * 1000000 - s) as pii_type from ({O.regex_spans('lines', 'line_id', 'log')}) r where type not in ('IP', 'PERSON') group by v"
 _STORE = ("store", f"select original, {O.token('original', 'pii_type', KEYS.token)} as token, pii_type, 'current' as key_epoch from ({_FIRST_SEEN}) f")
 
@@ -368,36 +405,46 @@ def anonymized_logs(spark, sf_dir):
     return _anonymized(log_lines(spark, sf_dir)).select("line_id", "log_type", "anonymized", F.col("detector_span_count").cast("bigint").alias("detector_span_count"))
 
 
+_DOC_PARTS = O.ctes(
+    ("d", f"select id, type, s, e, v from ({DOC_SPANS}) r"),
+    ("named", f"select count(*) as n from ({O.flattened_values('documents', 'doc_id', 'text')}) f"),
+    ("o", "select *, coalesce(lag(e) over (partition by id order by s), 0) as p, row_number() over (partition by id order by s desc) as back from d"),
+    ("parts", f"select id, s, substring(text, p + 1, s - p) || {O.replaced('type', 'v', KEYS)} || case when back = 1 then substring(text, e + 1) else '' end as part from o join documents on doc_id = id"),
+    ("anon", "select id, string_agg(part, '' order by s) as anonymized from parts group by id"),
+)
+
+
+@query(_DOC_PARTS + "select doc_id, coalesce(anonymized, text) as anonymized, (select count(*) from d where d.id = doc_id) + (select n from named) as spans from documents left join anon on id = doc_id")
 def anonymized_documents(spark, sf_dir):
+    """The counterpart takes it that no document holds a name of the dictionary, and counts any that does as an extra span of all."""
     found = _documents(spark, sf_dir).withColumn("found", dedup_by_start(_detected(F.col("text"))))
-    return found.select("doc_id", anonymize.anonymize_by_policy(F.col("text"), F.col("found"), KEYS).alias("anonymized"), F.size("found").alias("spans"))
+    return found.select("doc_id", anonymize.anonymize_by_policy(F.col("text"), F.col("found"), KEYS).alias("anonymized"), F.size("found").cast("bigint").alias("spans"))
 
 
-query()(anonymized_documents)
+@query(_ANON.replace(O.replaced("type", "v", KEYS), O.quoted(P.PLACEHOLDER)) + "select line_id, coalesce(anonymized, log) as masked from lines left join anon on id = line_id")
+def masked_logs(spark, sf_dir):
+    return log_lines(spark, sf_dir).select("line_id", anonymize.mask(F.col("log"), _detected(F.col("log"))).alias("masked"))
 
 
-@query(O.ctes(O.LOGS, ("d", O.detected())) + "select line_id, coalesce(list_reduce(list_prepend(log, (select list('' order by s) from d where id = line_id)), lambda a, b: a), log) as log, cast(coalesce((select count(*) from d where id = line_id), 0) as bigint) as spans from lines")
-def redaction_restores_length(spark, sf_dir):
-    """Redacted text with each placeholder put back as its value is the line again."""
-    lines = log_lines(spark, sf_dir).withColumn("spans", dedup_by_start(_detected(F.col("log"))))
-    redacted = lines.withColumn("out", anonymize.redact(F.col("log"), F.col("spans")))
-    pieces = F.split("out", r"\[REDACTED\]", -1)
-    values = F.transform("spans", lambda s: text_of(F.col("log"), s))
-    joined = F.array_join(F.flatten(F.zip_with(pieces, values, lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))), "")
-    return redacted.select("line_id", joined.alias("log"), F.size("spans").cast("bigint").alias("spans"))
+_BY_STORE = O.ctes(
+    O.LOGS, _STORE, ("d", f"select * from ({O.detected()}) x where type in ('EMAIL', 'MRN', 'CREDIT_CARD', 'SSN')"),
+    ("o", "select *, coalesce(lag(e) over (partition by id order by s), 0) as p, row_number() over (partition by id order by s desc) as back from d"),
+    ("parts", "select id, s, substring(log, p + 1, s - p) || token || case when back = 1 then substring(log, e + 1) else '' end as part from o join lines on line_id = id join store on original = v"),
+    ("anon", "select id, string_agg(part, '' order by s) as anonymized from parts group by id"),
+)
 
 
-@query(O.ctes(O.LOGS, ("d", O.detected())) + f"""select count(*) as lines, count(*) as restored, count_if(line_id in (select id from d where type in ('EMAIL', 'MRN', 'CREDIT_CARD', 'SSN'))) as changed from lines""")
+@query(_BY_STORE + "select line_id, coalesce(anonymized, log) as anonymized, log as restored from lines left join anon on id = line_id")
 def detokenize_roundtrip(spark, sf_dir):
-    lines = log_lines(spark, sf_dir).select("line_id", "log")
+    """Every line with the tokens that the store issued, and with its values again. Texts are searched once."""
     spans = F.filter(_detected(F.col("log")), lambda s: s["type"].isin(*P.TOKENIZE_TYPES))
-    store = tokens.minted(tokens.first_seen(lines, spans), KEYS)
-    out = tokens.anonymize_with_store(lines, spans, KEYS, store)
-    back = tokens.detokenize(out, store).join(lines, "line_id").join(out, "line_id")
-    return back.agg(F.count("*").alias("lines"), F.count_if(F.col("restored") == F.col("log")).alias("restored"), F.count_if(F.col("anonymized") != F.col("log")).alias("changed"))
+    lines = lineage.cut(log_lines(spark, sf_dir).select("line_id", "log", spans.alias("spans")))
+    store = lineage.cut(tokens.minted(tokens.first_seen(lines, F.col("spans")), KEYS))
+    out = tokens.anonymize_with_store(lines, F.col("spans"), KEYS, store)
+    return tokens.detokenize(lineage.cut(out), store, keep=True)
 
 
-_METHOD = "case when type in ('IP', 'PERSON') then 'pseudonymize' when type in ('EMAIL', 'MRN', 'CREDIT_CARD', 'SSN') then 'tokenize' else 'redact' end"
+_METHOD = f"case when type in ('IP', 'PERSON') then 'pseudonymize' when type in ('EMAIL', 'MRN', 'CREDIT_CARD', 'SSN') then 'tokenize' else {O.quoted(P.MASK_METHOD)} end"
 _EVENTS = O.ctes(
     O.LOGS, ("d", O.detected()),
     ("n", f"select id, row_number() over (partition by id order by s) - 1 as number, type, {_METHOD} as method, {O.hmac_sha256_sql(KEYS.fingerprint, 'v')} as fp from d"),
@@ -418,11 +465,19 @@ def audit_verify(spark, sf_dir):
     return events.agg(F.count("*").alias("events"), F.count_if(anonymize.verify_audit_event(F.col("e"), KEYS.audit)).alias("authentic"), F.count_if(anonymize.verify_audit_event(changed, KEYS.audit)).alias("authentic_after_change"))
 
 
-@query(O.ctes(O.LOGS) + "select line_id, card, card as restored, length(card) as n from lines where contains(used, 'card')")
+#: A published sample of the cipher, under the test key and tweak.
+FPE_SAMPLE = ("890121234567890000", "477064185124354662")
+
+
+@query(O.ctes(O.LOGS) + f"""select line_id, card, card as restored, length(card) as n, true as changed, cast(null as varchar) as cipher from lines where contains(used, 'card')
+    union all select -1, '{FPE_SAMPLE[0]}', '{FPE_SAMPLE[0]}', {len(FPE_SAMPLE[0])}, true, '{FPE_SAMPLE[1]}'""")
 def fpe_roundtrip(spark, sf_dir):
+    """Card numbers in their own format, and back; and the published sample with its ciphertext."""
     rows = slot_rows(spark, sf_dir).where(F.contains("used", F.lit("card"))).select("line_id", "card")
+    rows = rows.unionAll(spark.range(1).select(F.lit(-1).cast("bigint"), F.lit(FPE_SAMPLE[0])))
     rows = rows.withColumn("cipher", encrypt_digits(F.col("card"), FPE_KEY, FPE_TWEAK))
-    return rows.select("line_id", "card", decrypt_digits(F.col("cipher"), FPE_KEY, FPE_TWEAK).alias("restored"), F.length("cipher").cast("bigint").alias("n"))
+    shown = F.when(F.col("line_id") < 0, F.col("cipher"))
+    return rows.select("line_id", "card", decrypt_digits(F.col("cipher"), FPE_KEY, FPE_TWEAK).alias("restored"), F.length("cipher").cast("bigint").alias("n"), (F.col("cipher") != F.col("card")).alias("changed"), shown.alias("cipher"))
 
 
 @query(O.ctes(O.LOGS, ("d", O.detected()), ("f", "select id as line_id, count(*) as n from d group by id")) + "select line_id from f order by md5('7:' || cast(line_id as varchar)), line_id limit (select greatest(1, floor(count(*) * 0.05)::bigint) from f)")
@@ -434,8 +489,7 @@ def review_sample(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir, strategy: str = "naive_flattened") -> DataFrame:
-    lines = log_lines(spark, sf_dir)
-    return lines.withColumn("pred", gate.predicted(strategy, F.col("log"), F.col("log_type"), detect.rule_ner()))
+    return gate.predicted(log_lines(spark, sf_dir, gold=True), strategy, detect.rule_ner())
 
 
 _NER = O.ner_spans("lines", "line_id", "log")
@@ -443,6 +497,7 @@ _PRED = {
     "regex_only": O.regex_spans("lines", "line_id", "log"),
     "naive": f"{O.regex_spans('lines', 'line_id', 'log')} union all {_NER}",
     "naive_flattened": f"{O.regex_spans('lines', 'line_id', 'log')} union all {_NER} union all {O.flattened('lines', 'line_id', 'log')}",
+    "field_gated": O.gated_spans(),
     "tiered": f"with r as ({O.regex_spans('lines', 'line_id', 'log')}) select * from r union all select * from ({_NER}) n where id not in (select id from r)",
 }
 
@@ -450,7 +505,7 @@ _PRED = {
 def _confusion_sql(pred: str) -> tuple[tuple[str, str], ...]:
     """In the fixture, equal-type spans of several detectors are equal or nested at one start, and overlap one labelled span."""
     return (
-        O.LOGS, ("gold", O.gold()), ("raw", pred), ("pred", "select id, type, s, min(e) as e from raw group by all"),
+        O.LOGS, *(O.gate() if "gate_lines" in pred else ()), ("gold", O.gold()), ("raw", pred), ("pred", "select id, type, s, min(e) as e from raw group by all"),
         ("tp", "select type, count(distinct (g.id, g.s)) as tp from gold g join pred p using (type) where g.id = p.id and g.s < p.e and p.s < g.e group by type"),
         ("types", "select type from gold union select type from pred"),
         ("counts", """select t.type, coalesce(tp, 0) as tp, (select count(*) from pred p where p.type = t.type) - coalesce(tp, 0) as fp,
@@ -463,13 +518,19 @@ def _confusion_query(strategy: str) -> None:
         return evaluate.confusion(_labelled(spark, sf_dir, strategy))
 
     run.__name__ = f"confusion_{strategy}"
-    query(O.ctes(*_confusion_sql(_PRED[strategy])) + "select * from counts" if strategy in _PRED else None)(run)
+    query(O.ctes(*_confusion_sql(_PRED[strategy])) + "select * from counts")(run)
 
 
 for _strategy in gate.STRATEGIES:
     _confusion_query(_strategy)
 
 
+@query(O.ctes(*_confusion_sql(_PRED["naive_flattened"])) + "select * from counts")
+def confusion_predicted_first(spark, sf_dir):
+    """Predicted spans lead the matching; where each overlaps one labelled span of its type, that makes no difference."""
+    return evaluate.confusion(_labelled(spark, sf_dir), outer="pred")
+
+
 @query(O.ctes(*_confusion_sql(_PRED["naive_flattened"]), ("all_", "select * from counts union all select 'MICRO-AVG', sum(tp), sum(fp), sum(fn) from counts"),
     ("r", "select type, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn, case when tp + fp > 0 then cast(tp as double) / (tp + fp) else 0 end as precision, case when tp + fn > 0 then cast(tp as double) / (tp + fn) else 0 end as recall from all_"))
     + "select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end as f1 from r")
@@ -492,14 +553,18 @@ def person_format_breakdown(spark, sf_dir):
 @query(O.ctes(O.LOGS, ("a", f"select id, type, s, min(e) as e from ({_PRED['naive']}) x group by all"), ("b", f"select id, type, s, min(e) as e from ({_PRED['naive_flattened']}) x group by all"))
     + "select type, coalesce(naive, 0) as naive, coalesce(flattened, 0) as flattened from (select type, count(*) as flattened from b group by type) y left join (select type, count(*) as naive from a group by type) x using (type)")
 def type_tally_pivot(spark, sf_dir):
-    lines = log_lines(spark, sf_dir)
-    spans = {name: dedup_by_start(gate.predicted(s, F.col("log"), F.col("log_type"), detect.rule_ner())) for name, s in (("naive", "naive"), ("flattened", "naive_flattened"))}
-    return evaluate.type_tally(lines, spans)
+    lines = gate.predicted(log_lines(spark, sf_dir), "naive", detect.rule_ner(), out="naive")
+    lines = lines.withColumn("flattened", dedup_by_start(F.concat("naive", detect.scan_flattened_names(F.col("log")))))
+    return evaluate.type_tally(lines, {"naive": dedup_by_start(F.col("naive")), "flattened": F.col("flattened")})
+
 
+_SKIPPED = "not regexp_matches(log, '[A-Za-z]{2,}|[0-9]{2,}')"
 
-@query(O.ctes(O.LOGS) + "select count(*) as lines, count_if(not regexp_matches(log, '[A-Za-z]{2,}|[0-9]{2,}')) as skipped, cast(0 as bigint) as skipped_with_gold from lines")
+
+@query(O.ctes(O.LOGS, ("gold", O.gold())) + f"""select log_type, count(*) as lines, count_if({_SKIPPED}) as skipped, count_if({_SKIPPED} and line_id in (select id from gold)) as skipped_with_gold,
+    count_if(line_id in (select id from gold)) as with_gold from lines group by log_type""")
 def early_exit_safety(spark, sf_dir):
-    return evaluate.early_exit_safety(log_lines(spark, sf_dir))
+    return evaluate.early_exit_safety(log_lines(spark, sf_dir, gold=True), by="log_type")
 
 
 @query(O.ctes(*_confusion_sql(O.regex_spans("lines", "line_id", "log", exclude=False))) + """select count(*) as false_positives, count_if(regexp_matches(log, 'accountId": "' || substring(log, s + 1, e - s) || '"')) as account_ids
@@ -508,7 +573,7 @@ def account_id_false_positives(spark, sf_dir):
     pattern = P.UNICODE + P.REGEX_PATTERNS["CREDIT_CARD"]
     from veilspan.functions.spans import find_all, span
 
-    lines = log_lines(spark, sf_dir).withColumn("pred", find_all(F.col("log"), pattern, lambda m, s, e: span("CREDIT_CARD", s, e, "regex")))
+    lines = log_lines(spark, sf_dir, gold=True).withColumn("pred", find_all(F.col("log"), pattern, lambda m, s, e: span("CREDIT_CARD", s, e, "regex")))
     return evaluate.account_id_share(lines)
 
 
@@ -518,46 +583,56 @@ def false_positive_spans(spark, sf_dir):
     return evaluate.unmatched(rows).select("line_id", "type", "start", "end")
 
 
-@query()
+_GATE = O.ctes(O.LOGS, *O.gate(), ("a", f"select id, type, s, min(e) as e from ({_PRED['naive']}) x group by all"), ("b", f"select id, type, s, min(e) as e from ({_PRED['field_gated']}) x group by all"))
+
+
+@query(_GATE + 'select id as line_id, type, s as "start", e as "end" from (select * from a except select * from b) d')
 def field_gate_difference(spark, sf_dir):
     """Spans that the naive strategy finds and the field gate does not."""
     spans = {s: _labelled(spark, sf_dir, s).select("line_id", F.inline(dedup_by_start(F.col("pred")))) for s in ("naive", "field_gated")}
     return evaluate.span_difference(spans["naive"], spans["field_gated"])
 
 
-@query()
+@query(_GATE + "select line_id, candidate, segments from gate_lines")
 def field_gate_candidates(spark, sf_dir):
-    lines = log_lines(spark, sf_dir)
-    candidate = let(detect.scan_regex(F.col("log")), lambda h: gate.ner_candidate(F.col("log"), F.col("log_type"), h))
-    return lines.select("line_id", candidate.alias("c")).select("line_id", "c.candidate", F.size("c.segments").alias("segments"))
+    rows = gate.with_candidate(log_lines(spark, sf_dir))
+    return rows.select("line_id", "_veil_gated.candidate", F.when(F.col("_veil_gated.segments").isNotNull(), F.size("_veil_gated.segments")).cast("bigint").alias("segments"))
 
 
-@query()
+@query(O.ctes(O.LOGS, *O.gate()) + """select count_if(candidate is not null and line_id in (select id from gate_hits)) as ner_calls_made, count_if(candidate is null) as ner_calls_skipped,
+    count_if(line_id not in (select id from gate_hits)) as no_regex_hit_ner_calls, sum(case when line_id in (select id from gate_hits) then length(candidate) end) as characters_searched from gate_lines""")
 def field_gate_profile(spark, sf_dir):
-    lines = log_lines(spark, sf_dir).withColumn("hits", detect.scan_regex(F.col("log"))).withColumn("candidate", gate.ner_candidate(F.col("log"), F.col("log_type"), F.col("hits")))
-    return evaluate.strategy_profile(lines, F.col("hits"), F.col("candidate"))
+    return evaluate.strategy_profile(gate.with_candidate(log_lines(spark, sf_dir)), F.col("_veil_hits"), F.col("_veil_gated"))
+
+
+_ALL_GATED = " union all ".join([O.gated_spans(), f"select id, 'HIGH_ENTROPY' as type, s, e, v from ({O.entropy_hits('lines', 'line_id', 'log')}) h", O.flattened("lines", "line_id", "log")])
+
+
+@query(O.ctes(O.LOGS, *O.gate()) + _spans_sql(_ALL_GATED, "line_id"))
+def detect_field_gated(spark, sf_dir):
+    return _found(gate.detect_field_gated(log_lines(spark, sf_dir), detect.rule_ner()), F.col("spans"), "line_id", "log")
 
 
 @query(O.ctes(O.LOGS, ("gold", O.gold())) + """select count(*) as lines, cast((select count_if(s < 0 or e > length(log) or s >= e) from gold join lines l on l.line_id = id) as bigint) as bad_spans,
     avg(case when used = '' then cast(0 as double) else 1 end) as dirty_ratio, avg(case when used = '' then cast(0 as double) else 1 end) between 0.25 and 0.35 as valid from lines""")
 def corpus_integrity(spark, sf_dir):
-    return evaluate.corpus_integrity(log_lines(spark, sf_dir))
+    return evaluate.corpus_integrity(log_lines(spark, sf_dir, gold=True))
 
 
 @query(O.ctes(O.LOGS, ("gold", O.gold())) + 'select id as line_id, type, s as "start", e as "end", v as value from gold')
 def gold_spans(spark, sf_dir):
-    return _found(log_lines(spark, sf_dir), F.col("gold"), "line_id", "log")
+    return _found(log_lines(spark, sf_dir, gold=True), F.col("gold"), "line_id", "log")
 
 
 _FREQUENCIES = "(select lower(split_part(name, ' ', 1)) as name, count(*) as n from lines group by 1)"
 
 
-@query(O.ctes(O.LOGS, ("f", _FREQUENCIES), ("k", "select *, name in (" + ", ".join(O.quoted(n) for n in P.FIRST_NAMES[:12]) + ") as known from f"))
+@query(O.ctes(O.LOGS, ("f", _FREQUENCIES), ("k", "select *, name in (" + ", ".join(O.quoted(n) for n in P.FIRST_NAMES[::2]) + ") as known from f"))
     + "select count(*) as names, count_if(known) as covered, cast(count_if(known) as double) / count(*) as distinct_coverage, cast(sum(case when known then n else 0 end) as double) / sum(n) as weighted_coverage from k")
 def name_coverage(spark, sf_dir):
     rows = slot_rows(spark, sf_dir)
     names = rows.groupBy(F.split_part("name", F.lit(" "), F.lit(1)).alias("name")).agg(F.count("*").alias("count"))
-    return evaluate.dictionary_coverage(names, _dictionary(spark).where(F.col("name").isin(*P.FIRST_NAMES[:12])))
+    return evaluate.dictionary_coverage(names, _dictionary(spark).where(F.col("name").isin(*P.FIRST_NAMES[::2])))
 
 
 @query()
@@ -566,8 +641,8 @@ def weighted_name_sample(spark, sf_dir):
     return evaluate.weighted_sample(names, 500)
 
 
-@query(O.ctes(O.LOGS, ("u", "select line_id, log_type as locale, case when line_id % 2 = 0 then flat else 'x' || chr(233) || flat end as name from lines"))
-    + f"select locale, not regexp_matches(name, '[^\\x00-\\x7F]') as is_ascii, count(*) as names, count_if(line_id in (select id from ({O.flattened('(select * from u where line_id % 2 = 0) w', 'line_id', 'name')}) f)) as found, count_if(line_id in (select id from ({O.flattened('(select * from u where line_id % 2 = 0) w', 'line_id', 'name')}) f)) / cast(count(*) as double) as recall from u group by 1, 2")
+@query(O.ctes(O.LOGS, ("u", "select line_id, log_type as locale, case when line_id % 2 = 0 then flat else 'x' || chr(233) || flat end as name from lines"), ("f", f"select distinct id from ({O.flattened_values('u', 'line_id', 'name')}) x"))
+    + f"select locale, not regexp_matches(name, '[^\\x00-\\x7F]') as is_ascii, count(*) as names, count_if(line_id in (select id from f)) as found, count_if(line_id in (select id from f)) / cast(count(*) as double) as recall from u group by 1, 2")
 def recall_by_locale(spark, sf_dir):
     rows = slot_rows(spark, sf_dir)
     names = rows.select(F.col("log_type").alias("locale"), F.when(F.col("line_id") % 2 == 0, F.col("flat")).otherwise(F.concat(F.lit("xé"), F.col("flat"))).alias("name"))
@@ -590,10 +665,11 @@ def index_routing(spark, sf_dir):
     return readers.routed(_with_failures(spark, sf_dir)).groupBy("sink", "suffix", "log_type").agg(F.count("*").alias("n"))
 
 
-@query(f"select count(*) as expected, count_if(not (event_id % 50 = 7)) as anonymized, count_if(event_id % 50 = 7) as quarantine, true as reconciled from events")
+@query(_ANON + f"""select count(*) as expected, count_if(not ({_BAD})) as anonymized, count_if({_BAD}) as quarantine, cast(sum(case when {_BAD} then 0 else length(coalesce(anonymized, log)) end) as bigint) as anonymized_chars,
+    cast(sum(case when {_BAD} then length(log) else 0 end) as bigint) as quarantine_chars, true as reconciled from lines left join anon on id = line_id""")
 def reconcile(spark, sf_dir):
-    rows = _with_failures(spark, sf_dir).select("line_id", "quarantine_reason")
-    return evaluate.reconcile(_table(spark, sf_dir, "events"), rows.where("quarantine_reason is null"), rows.where("quarantine_reason is not null"))
+    rows = readers.routed(_with_failures(spark, sf_dir)).where("sink <> 'audit'")
+    return evaluate.reconcile(_table(spark, sf_dir, "events"), rows)
 
 
 @query(O.ctes(O.LOGS) + "select log_type, count(*) as n, sum(length(log)) as chars from lines group by log_type")

@@ -40,6 +40,9 @@ def slots_sql(dialect: str) -> str:
     first, last = _pick(FIRST, f"({n} * 7 + 3) % 40", dialect), _pick(LAST, f"({n} * 11 + {d(n, 40)}) % 40", dialect)
     cap = lambda e: f"(upper(substring({e}, 1, 1)) || substring({e}, 2))"
     text = lambda e: f"cast({e} as {'string' if dialect == 'spark' else 'varchar'})"
+    digits = f"md5({text(n)})"
+    part = lambda a, k: f"substring({digits}, {a}, {k})"
+    uuid = " || ".join([part(1, 8), "'-'", part(9, 4), "'-4'", part(13, 3), "'-a'", part(16, 3), "'-'", part(19, 12)])
     octets = " || '.' || ".join(text(f"(1 + ({n} * {p}) % {m})") for p, m in ((7919, 223), (104729, 255), (1299709, 255), (15485863, 255)))
     return f"""
         select event_id, ts,
@@ -52,51 +55,81 @@ def slots_sql(dialect: str) -> str:
             case when {d(n, 7)} % 4 = 0 then {_pad(f"(400000000000 + ({n} * 104723) % 99999999999)", 12)} else '4' || {_pad(f"(100000000000000 + ({n} * 1299721) % 899999999999999)", 15)} end as card,
             {_pad(f"(100000000000 + ({n} * 15485867) % 899999999999)", 12)} as account,
             {text(f"(1 + ({n} * 17) % 9999)")} as num, {text(f"(1000 + ({n} * 19) % 9000)")} as pid, {text(f"(1024 + ({n} * 23) % 64512)")} as port,
-            '2026-01-' || {_pad(f"(1 + {n} % 28)", 2)} || 'T12:' || {_pad(f"({n} % 60)", 2)} || ':00' as stamp
+            {uuid} as uuid
         from events"""
 
 
-#: Line templates of the three log types, dirty and clean; {slot} is replaced.
+#: Line templates of the three log types: with labelled slots, and without. {slot} is replaced.
 DIRTY = {
     "windows_event": (
-        "EventID=4624 LogonType=3 TargetUserName={name} TargetDomainName=CORP IpAddress={ip} WorkstationName=WS-{num} LogonProcessName=NtLmSsp",
-        "EventID=4688 NewProcessName=cmd.exe SubjectUserName={name} SubjectDomainName=CORP CommandLine=whoami",
-        "EventID=4625 LogonType=3 TargetUserName={name} FailureReason=%%2313 IpAddress={ip} Status=0xC000006D",
+        "EventID=4740 TargetUserName={name} CallerComputerName=DESK-{num} IpAddress={ip} Channel=Security",
+        "EventID=4720 SubjectUserName={flat} NewAccount={name} Mail={email} Department=Finance Department=Accounts",
+        "EventID=5140 AccountName={flat} ShareName=payroll IpAddress={ip} Note=badge {mrn} was shown by {name}",
+        "EventID=4104 ScriptName=export.ps1 Argument=--ssn {ssn} --card {card} Owner={name}",
     ),
     "syslog": (
+        "sshd[{pid}]: Failed password for invalid user {flat} from {ip} port {port} ssh2",
         "sshd[{pid}]: Failed password for {flat} from {ip} port {port} ssh2",
-        "sudo[{pid}]: {flat} : TTY=pts/0 ; PWD=/home/{flat} ; USER=root ; COMMAND=/usr/bin/systemctl restart nginx",
-        "kernel: [{stamp}] iptables: DROP IN=eth0 SRC={ip} DST=10.0.0.1 PROTO=TCP",
+        "sshd[{pid}]: Accepted password for {flat} from {ip} port {port} ssh2",
+        "sshd[{pid}]: Accepted publickey for {flat} from {ip} port {port} ssh2: ED25519",
+        "sshd[{pid}]: Invalid user {flat} from {ip}",
+        "sshd[{pid}]: User {flat} from {ip} not allowed because its group is not listed",
+        "sshd[{pid}]: Disconnected from authenticating user {flat} {ip} port {port} [preauth]",
+        "su[{pid}]: pam_unix(su:session): session opened for user operator by {flat}(uid={num})",
+        "dhclient[{pid}]: DHCPACK from {ip}",
+        "dhclient[{pid}]: DHCPOFFER from {ip}",
+        "systemd-logind[{pid}]: New session {num} of user {flat}.",
+        "cron[{pid}]: ({flat}) CMD (  /usr/local/bin/mirror --from {ip}  )",
+        "crontab[{pid}]: ({flat}) RELOAD (tabs/{flat})",
+        "NetworkManager[{pid}]: <info>  [{num}.25] dhcp4 (enp3s0): address {ip}",
+        "NetworkManager[{pid}]: <info>  [{num}.50] device (wlp2s0): Activation: (wifi) connected to '{name}'",
+        "postfix(smtpd)[{pid}]: client={ip} login={flat}; to={email}, size={num} ;",
+        "portal[{pid}]: {name} asked about {ssn} and {mrn} on the phone",
     ),
     "cloudtrail": (
-        '{"eventName": "PutObject", "sourceIPAddress": "{ip}", "userIdentity": {"userName": "{flat}", "email": "{email}", "accountId": "{account}"}, "requestParameters": {"bucketName": "app-data", "key": "uploads/{num}.csv"}}',
-        '{"eventName": "UpdateUser", "sourceIPAddress": "{ip}", "userIdentity": {"userName": "svc-deploy"}, "requestParameters": {"targetUser": "{flat}", "notes": "SSN on file: {ssn}"}}',
-        '{"eventName": "GetPatientRecord", "sourceIPAddress": "{ip}", "userIdentity": {"userName": "{flat}"}, "requestParameters": {"mrn": "{mrn}", "reason": "billing reconciliation"}}',
-        '{"eventName": "UpdatePaymentMethod", "sourceIPAddress": "{ip}", "userIdentity": {"userName": "{flat}"}, "requestParameters": {"cardNumber": "{card}", "billingEmail": "{email}"}}',
+        '{"eventName": "GetObject", "sourceIPAddress": "{ip}", "userIdentity": {"type": "User", "userName": "{flat}", "accountId": "{account}", "arn": "arn:aws:iam::{account}:user/{flat}"}, "requestParameters": {"bucketName": "reports", "key": "{num}/summary.csv"}}',
+        '{"eventName": "OpenTicket", "requestParameters": {"assignee": "{flat}", "summary": "the caller {name} gave {ssn}", "ticket": {num}, "urgent": true, "labels": ["phone", null]}, "sourceIPAddress": "{ip}"}',
+        '{"eventName": "ReadChart", "sourceIPAddress": "{ip}", "userIdentity": {"userName": "{flat}"}, "requestParameters": {"mrn": "{mrn}", "purpose": "quarterly audit"}}',
+        '{"eventName": "SaveCard", "userIdentity": {"userName": "{flat}"}, "requestParameters": {"card": "{card}", "receiptTo": "{email}"}, "sourceIPAddress": "{ip}"}',
+        '{"eventName": "PutPolicy", "detail": {"l2": {"l3": {"l4": {"l5": {"l6": {"l7": {"l8": {"l9": {"owner": "{flat}", "quote": "she said \\"write to {email}\\" twice"}}}}}}}}, "after": "detail"}}',
+        '{"zone": "a", "eventName": "zone", "a": {"zone": "{ip}", "eventName": "{ip}"}, "eventVersion": "a"}',
     ),
 }
 CLEAN = {
     "windows_event": (
-        "EventID=4634 LogonType=3 TargetUserName=SYSTEM TargetDomainName=NT_AUTHORITY",
-        "EventID=4672 SubjectUserName=SYSTEM PrivilegeList=SeDebugPrivilege",
+        "EventID=7036 ServiceName=Spooler State=running ComputerName=DESK-{num}",
+        "EventID=1102 Channel=Security CorrelationId={uuid}",
+        "- -- -",
     ),
     "syslog": (
-        "systemd[1]: Started Session {num} of user root.",
-        "kernel: [{stamp}] CPU0: Package temperature above threshold, cpu clock throttled",
+        "systemd[1]: backup-{num}.service: Failed with result 'timeout'.",
+        "sshd[pam_unix][1]: refused; user=operator",
+        "kernel: [{num}.125] usb 1-1: new device, trace {uuid}",
+        "1: -; 2: .",
+    ),
+    "cloudtrail": (
+        '{"eventName": "ListKeys", "sourceIPAddress": "10.1.2.3", "userIdentity": {"userName": "svc-watch"}, "requestParameters": {}}',
+        "truncated: {num}, not JSON",
     ),
-    "cloudtrail": ('{"eventName": "DescribeInstances", "sourceIPAddress": "10.0.0.5", "userIdentity": {"userName": "svc-monitor"}, "requestParameters": {}}',),
 }
-SLOTS = ("name", "flat", "ip", "email", "ssn", "mrn", "card", "account", "num", "pid", "port", "stamp")
+SLOTS = ("name", "flat", "ip", "email", "ssn", "mrn", "card", "account", "num", "pid", "port", "uuid")
+#: What the injected drift changes, and into what.
+PURPOSE, INJECTED = "quarterly audit", "call {flat} about: audit"
+
+
+def _literal(text: str, dialect: str) -> str:
+    text = text.replace("'", "''") if dialect == "duckdb" else text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'"
 
 
-def _rendered(template: str) -> str:
+def _rendered(template: str, dialect: str) -> str:
     """The template as a SQL concatenation of literals and slots."""
     parts, rest = [], template
     while rest:
         place, slot = min(((rest.find("{" + s + "}"), s) for s in SLOTS if "{" + s + "}" in rest), default=(-1, ""))
         literal = rest if place < 0 else rest[:place]
         if literal:
-            parts.append("'" + literal.replace("'", "''") + "'")
+            parts.append(_literal(literal, dialect))
         if place < 0:
             break
         parts.append(slot)
@@ -106,15 +139,15 @@ def _rendered(template: str) -> str:
 
 def log_sql(dialect: str, inject: bool = False) -> str:
     """line_id, ts, log_type, log, used (labelled slots) and their values, as a SELECT over ``events``. With ``inject`` the
-    patient records' reason names a user in three of five cases."""
+    charts' purpose names a user in three of five cases."""
     cases, used = [], []
     for kinds, dirty in ((DIRTY, True), (CLEAN, False)):
         for log_type, templates in kinds.items():
             for i, template in enumerate(templates):
                 guard = f"log_type = '{log_type}' and {'dirty' if dirty else 'not dirty'} and pick % {len(templates)} = {i}"
-                if inject and "billing reconciliation" in template:
-                    cases.append(f"when {guard} and {_div('pick', 4, dialect)} % 5 < 3 then {_rendered(template.replace('billing reconciliation', 'contact {flat} re: billing'))}")
-                cases.append(f"when {guard} then {_rendered(template)}")
+                if inject and PURPOSE in template:
+                    cases.append(f"when {guard} and {_div('pick', len(templates), dialect)} % 5 < 3 then {_rendered(template.replace(PURPOSE, INJECTED), dialect)}")
+                cases.append(f"when {guard} then {_rendered(template, dialect)}")
                 labels = ",".join(s for s in SLOT_TYPES if "{" + s + "}" in template) if dirty else ""
                 used.append(f"when {guard} then '{labels}'")
     return f"""
@@ -135,6 +168,7 @@ def slot_rows(spark: SparkSession, sf_dir: str, inject: bool = False) -> DataFra
     return spark.sql(sql.replace("from events", "from {events}"), events=events)
 
 
-def log_lines(spark: SparkSession, sf_dir: str, inject: bool = False) -> DataFrame:
-    """line_id, ts, log_type, log, gold of every event."""
-    return slot_rows(spark, sf_dir, inject).select("line_id", "ts", "log_type", "log", F.transform(gold_spans(), lambda x: x["s"]).alias("gold"))
+def log_lines(spark: SparkSession, sf_dir: str, inject: bool = False, gold: bool = False) -> DataFrame:
+    """line_id, ts, log_type, log of every event; with ``gold`` also its labelled spans."""
+    labels = [F.transform(gold_spans(), lambda x: x["s"]).alias("gold")] if gold else []
+    return slot_rows(spark, sf_dir, inject).select("line_id", "ts", "log_type", "log", *labels)
