@@ -12,13 +12,14 @@ Bands of ``ROWS`` coordinates are joined. Within a bucket every text is paired w
 order of all texts and the last in one of ``HEAD_ORDERS`` other orders: pairs grow with the texts, not with the square of
 a bucket, and texts of a large class share their few heads in all buckets. Buckets of up to ``PAIRED_WHOLE`` texts are
 paired whole. A larger bucket whose members are not all of one class by now is paired with one more head, the member that
-meets most such buckets (a text amid its copies shares more buckets than they do). Texts of buckets that are open even
-then, as those that share a passage only are, get finer bands, of more coordinates (``FINER``: random choices of the same
-ones), in which texts that are less alike rarely meet, and go through the same steps. Buckets of the finest bands that
-still hold several classes pair more and more heads with all members of other classes until they don't. So each pair of
-a bucket is compared, unless both are in one class already, or do not meet in any finer band (a chance of about 1e-4 at a
-likeness of 0.8). Candidate pairs whose signatures agree in fewer than ``LIKELY`` of the coordinates, as multisets and as
-sets, are put aside (at a true 0.8 this has a chance of about 1e-8), all others are checked exactly on their whole shingle
+meets most such buckets (a text amid its copies shares more buckets than they do). The texts of buckets that are open even
+then, as those that share a passage only are, are joined exactly, by prefixes: of two texts that are alike enough, the
+first few shingles of one, in an order of all shingles that begins with the rare ones, hold one of the other's first few.
+How many these are depends on both sizes, so that texts meet by shingle and class of size, and the places of a common
+shingle bound what can follow. Texts of one class never meet: in each such group, only members outside the group's main
+class are paired with members of other classes. So every pair of a bucket is compared, unless both are in one class
+already. Candidate pairs whose signatures agree in fewer than ``LIKELY`` of the coordinates, as multisets and as sets, are
+put aside (at a true 0.8 this has a chance of about 1e-8), all others are checked exactly on their whole shingle
 multisets. A link holds at a likeness of ``LIKENESS`` or more, as sets or as multisets.
 
 Equal texts are one node throughout. No text, signature or link comes to the driver.
@@ -38,15 +39,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspan.llm.common import bounded_batches, cut, hash_unit, joined, kept_by_worker
+from veilspan.llm.common import bounded_batches, cut, joined, kept_by_worker
 from veilspan.llm.components import components
 
 SHINGLE, LIKENESS, LIKELY = 5, 0.8, 0.6
 BANDS, ROWS = 25, 5
-HEAD_ORDERS, PAIRED_WHOLE, LATER_HEADS = 5, 12, 32
+HEAD_ORDERS, PAIRED_WHOLE = 5, 12
 COORDINATES = BANDS * ROWS
-#: Finer bands of open buckets' texts, step by step: coordinates in each, and their number.
-FINER = ((8, 120), (14, 600))
+#: Counters of shingles, which give their order (shingles that share one are ordered by hash), and the step between two classes
+#: of size.
+COUNTERS, SIZE_STEP = 1 << 20, 1.025
 #: Texts to be compared are found by a broadcast list up to so many of them (about 40 bytes each), beyond it by a shuffle.
 BROADCAST_TEXTS = 500_000
 #: Expected darts of a text: coordinates * (ln(coordinates) + 6).
@@ -229,27 +231,74 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((left == right).mean(1))
 
 
-def finer_bands(texts: DataFrame, step: int) -> DataFrame:
-    """node and band of the finer bands of these texts (node, sketch, set_sketch), of both their signatures."""
-    size, number = FINER[step]
-    chosen = np.stack([np.random.default_rng(1000 * step + i).choice(COORDINATES, size, replace=False) for i in range(number)])
-
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def size_class(size: int) -> int:
+    return int(np.log(size) / np.log(SIZE_STEP))
+
+
+def prefixes(elements: DataFrame, likeness: float) -> DataFrame:
+    """key, node, place, size and probe of the first elements of these texts (node, once, more), as sets and as multisets.
+
+    The smaller of two alike texts offers its first ones under its class of size; the larger asks for its own first ones
+    under each class that the smaller can have. Rare elements come first, by bounded counters over all these texts.
+    """
+    counted = elements.select(F.explode(F.concat("once", "more")).alias("e")).groupBy(F.pmod("e", F.lit(COUNTERS)).alias("at")).count()
+    counts = np.zeros(COUNTERS, np.int64)
+    for at, n in counted.collect():  # COUNTERS rows at most
+        counts[at] = n
+    as_multisets = not elements.where(F.size("more") > 0).isEmpty()
+    share = likeness / (1 + likeness)
+
+    def needed(total: int) -> int:
+        """Common elements that two texts of so many together must have."""
+        return int(np.ceil(share * total - 1e-9))
+
+    def of_text(tokens: np.ndarray, kind: int) -> list[tuple[np.ndarray, int, bool]]:
+        n = len(tokens)
+        tokens = tokens[np.lexsort((tokens, counts[tokens % COUNTERS]))].view(np.uint64)
+        key = lambda first, of_size: _mixed(tokens[:first] * _U(0x9E3779B97F4A7C15) + _U(2 * of_size + kind)).view(np.int64)
+        out = [(key(n - needed(2 * n) + 1, size_class(n)), n, False)]
+        least = max(1, int(np.ceil(likeness * n - 1e-9)))
+        for of_size in range(size_class(least), size_class(n) + 1):
+            smallest = least
+            while size_class(smallest) < of_size:
+                smallest += 1
+            if smallest <= n and size_class(smallest) == of_size:
+                out.append((key(n - needed(n + smallest) + 1, of_size), n, True))
+        return out
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_by_worker()
         for batch in batches:
-            nodes = batch.column("node").to_numpy()
-            for name in ("sketch", "set_sketch"):
-                some = np.flatnonzero(batch.column(name).is_valid())
-                for part in np.array_split(some, max(1, -(-len(some) * number // CHUNK_WORDS))):
-                    if not len(part):
-                        continue
-                    rows = np.frombuffer(b"".join(batch.column(name).take(pa.array(part)).to_pylist()), np.uint8).reshape(len(part), -1)
-                    value = np.repeat(np.arange(number, dtype=np.uint64)[None], len(part), 0)
-                    for j in range(size):
-                        value = _mixed(value * _U(0x9E3779B97F4A7C15) + rows[:, chosen[:, j]])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[part], number)), pa.array(value.view(np.int64).ravel())], names=["node", "band"])
-
-    return texts.select("node", "sketch", "set_sketch").mapInArrow(banded, "node long, band long").distinct()
+            nodes = batch.column("node").to_pylist()
+            for at, node in enumerate(nodes):
+                once, more = (batch.column(c)[at].values.to_numpy(zero_copy_only=False) for c in ("once", "more"))
+                parts = of_text(once, 0) if len(once) else []
+                if as_multisets and len(once):
+                    parts += of_text(np.concatenate([once, more]), 1)
+                if parts:
+                    keys = np.concatenate([k for k, _, _ in parts])
+                    lengths = [len(k) for k, _, _ in parts]
+                    columns = [keys, np.full(len(keys), node), np.concatenate([np.arange(n) for n in lengths]).astype(np.int32), np.repeat([n for _, n, _ in parts], lengths).astype(np.int32), np.repeat([p for _, _, p in parts], lengths)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "place", "size", "probe"])
+
+    return elements.select("node", "once", "more").mapInArrow(rows, "key long, node long, place int, size int, probe boolean")
+
+
+def prefix_pairs(elements: DataFrame, labels: DataFrame, likeness: float) -> DataFrame:
+    """Pairs a < b of texts of different classes that may be as alike, by their prefixes."""
+    posted = cut(prefixes(elements, likeness).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    classes = posted.groupBy("key", "label").agg(F.count("*").alias("n"), F.max("probe").alias("asks"), F.min("probe").alias("only_asks"))
+    keys = classes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("classes"), F.max("asks").alias("asks"), F.min("only_asks").alias("only_asks"), F.sum("n").alias("rows"))
+    keys = cut(keys.where("classes > 1 and asks and not only_asks").select("key", F.col("main.label").alias("main"), "rows"))
+    posted = cut(joined(posted, keys, "key", rows="rows"))
+    named = lambda rows, end: rows.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "place", "size", "label")])
+    asking, offering, outside = posted.where("probe"), posted.where("not probe"), F.col("label") != F.col("main")
+    met_ = named(asking.where(outside), "x").join(named(offering, "y"), "key").unionByName(named(asking.where(~outside), "x").join(named(offering.where(outside), "y"), "key"))
+    met_ = met_.where("label_x <> label_y")
+    needed = F.ceil(likeness / (1 + likeness) * (F.col("size_x") + F.col("size_y")) - 1e-9)
+    possible = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
+    fit = (F.col("size_y") <= F.col("size_x")) & (F.col("size_y") >= likeness * F.col("size_x") - 1e-9) & (possible >= needed)
+    return met_.where(fit).select(*_ordered("node_x", "node_y")).distinct()
 
 
 def met(banded: DataFrame) -> DataFrame:
@@ -286,19 +335,20 @@ def candidates(members: DataFrame) -> DataFrame:
     return pairs.union(lists.select(F.inline(F.flatten(others)))).distinct()
 
 
-def opened(members: DataFrame, labels: DataFrame, heads: int) -> DataFrame:
-    """node, band, label and is_head of the members (node, band) of buckets that hold several classes. A head is the member of
-    most such buckets, and about ``heads`` others by hash; all members outside a bucket's main class if they are no more."""
+def opened(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, band, label and members of the members (node, band) of buckets that hold several classes."""
     members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = members.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("main"))
-    classes = cut(classes.where("members > main.n").withColumn("rows", F.col("members")))
-    members = cut(joined(members.select("node", "band", "label"), classes, "band", rows="rows"))
-    most = members.groupBy("node").agg(F.count("*").alias("met"))
-    central = members.join(most, "node").groupBy("band").agg(F.max_by("node", F.struct("met", F.xxhash64("node", "band"))).alias("central"), F.count("*").alias("rows"))
-    members = joined(members, cut(central), "band", rows="rows")
-    some = (F.col("node") == F.col("central")) | (hash_unit(F.col("node"), seed=heads) * F.col("members") < heads)
-    is_head = F.when(F.col("members") - F.col("main.n") <= heads, F.col("label") != F.col("main.label")).otherwise(some)
-    return cut(members.select("node", "band", "label", is_head.alias("is_head")))
+    counts = members.groupBy("band").agg(F.count("*").alias("members"), F.min("label").alias("least"), F.max("label").alias("most"))
+    counts = cut(counts.where("least <> most").select("band", "members", F.col("members").alias("rows")))
+    return cut(joined(members.select("node", "band", "label"), counts, "band", rows="rows"))
+
+
+def central_pairs(open_: DataFrame) -> DataFrame:
+    """Pairs a < b of the member that is in most of these buckets (``opened``) with all others of its bucket's other classes."""
+    most = open_.groupBy("node").agg(F.count("*").alias("met"))
+    central = open_.join(most, "node").groupBy("band").agg(F.max_by(F.struct("node", "label"), F.struct("met", F.xxhash64("node", "band"))).alias("head"), F.count("*").alias("rows"))
+    central = cut(central.select("band", F.col("head.node").alias("head"), F.col("head.label").alias("head_label"), "rows"))
+    return joined(open_.select("node", "band", "label"), central, "band", rows="rows").where("label <> head_label").select(*_ordered("node", "head")).distinct()
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -337,34 +387,15 @@ class NearDuplicates:
         self._texts, self._docs, self._likeness = texts, docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), likeness
         self._tried = self.links = docs.sparkSession.createDataFrame([], "a long, b long")
         self.labels = docs.sparkSession.createDataFrame([], "node long, label long")
-        open_ = self._meet(texts.select("node", F.explode("bands").alias("band")))
-        for step in range(len(FINER)):
-            if open_ is not None:
-                open_ = self._meet(finer_bands(texts.join(open_.select("node").distinct(), "node"), step))
-        most = LATER_HEADS
-        while open_ is not None:
-            open_ = self._with_heads(open_, most)
-            most *= 4
-
-    def _meet(self, banded: DataFrame) -> DataFrame | None:
-        """Compares the texts that meet in these bands: small buckets whole, and all others with their heads, then with their
-        central member. Gives node and band of the buckets that still hold several classes, None where there are none."""
-        members = met(banded)
+        members = met(texts.select("node", F.explode("bands").alias("band")))
         self._compare(candidates(members))
-        return self._with_heads(members.where(F.col("members") > PAIRED_WHOLE).select("node", "band"), 0)
-
-    def _with_heads(self, members: DataFrame, most: int) -> DataFrame | None:
-        """Compares the heads of buckets that hold several classes with their members of other classes; gives what is open then."""
-        open_ = opened(members, self.labels, most)
-        if open_.isEmpty():
-            return None
-        heads = open_.where("is_head").select("band", F.col("node").alias("head"), F.col("label").alias("head_label"))
-        self._compare(open_.join(heads, "band").where("label <> head_label").select(*_ordered("node", "head")).distinct())
-        if most:
-            # a head has met all others of its bucket
-            return open_.where("not is_head").select("node", "band")
-        left = cut(opened(open_.select("node", "band"), self.labels, 0).select("node", "band"))
-        return None if left.isEmpty() else left
+        large = cut(members.where(F.col("members") > PAIRED_WHOLE).select("node", "band"))
+        open_ = opened(large, self.labels)
+        if not open_.isEmpty():
+            self._compare(central_pairs(open_))
+            nodes = cut(opened(large, self.labels).select("node").distinct())
+            if not nodes.isEmpty():
+                self._compare(prefix_pairs(self._elements(nodes), self.labels, likeness))
 
     def _compare(self, pairs: DataFrame) -> None:
         """Adds the links among these pairs of texts, without those of one class and those that were compared before."""
@@ -383,15 +414,19 @@ class NearDuplicates:
             self.links = self.links.union(links.select("a", "b"))
             self.labels = merged(self.labels, links)
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose exact likeness is as high. Texts stay where they are as far as the list of those that are
-        needed is small enough to go to them."""
-        involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.texts, "node").select("node", "first_id", F.col("text_key").alias("key")))
+    def _elements(self, nodes: DataFrame) -> DataFrame:
+        """node, once and more of these texts. Texts stay where they are as far as the list of those that are needed is small
+        enough to go to them."""
+        involved = cut(nodes.join(self.texts, "node").select("node", "first_id", F.col("text_key").alias("key")))
         if involved.count() <= BROADCAST_TEXTS:
             involved = F.broadcast(involved)
         words = self._docs.join(involved, F.col("doc_id").eqNullSafe(F.col("first_id"))).where(text_key(F.col("text")) == F.col("key")).select("node", word_hashes(F.col("text")).alias("words"))
         schema = T.StructType([words.schema["node"], T.StructField("once", LONGS), T.StructField("more", LONGS)])
-        elements = cut(words.mapInArrow(lambda batches: _by_chunk(batches, _elements), schema).dropDuplicates(["node"]))
+        return cut(words.mapInArrow(lambda batches: _by_chunk(batches, _elements), schema).dropDuplicates(["node"]))
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose exact likeness is as high."""
+        elements = self._elements(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         return cut(likeness_of(pairs, elements).where(F.col("likeness") >= self._likeness))
 
     def text_classes(self) -> DataFrame:
