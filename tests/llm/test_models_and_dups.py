@@ -100,6 +100,26 @@ def test_copies_that_resemble_only_their_original(spark):
     assert len(set(want.values())) < 20 and got == want
 
 
+def test_graded_copies_are_all_found(spark):
+    """400 copies with 0 to 10 changed words, most of them alike to few others only, and texts that share a passage: large
+    buckets that stay open. The pairs that are compared stay far below all pairs."""
+    random.seed(21)
+    base = [f"w{i}" for i in range(150)]
+    docs = {}
+    for i in range(400):
+        copy = list(base)
+        for k, at in enumerate(random.sample(range(150), random.randint(0, 10))):
+            copy[at] = f"x{random.randrange(40)}" if k % 2 else f"y{i}k{k}"
+        docs[i] = " ".join(copy)
+    for i in range(400, 700):
+        docs[i] = " ".join(base[:90] + [f"z{i}q{k}" for k in range(random.randint(20, 40))])
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    found = near_dups.NearDuplicates(df)
+    got = {r["doc_id"]: r["class_id"] for r in found.classes().collect()}
+    assert got == brute_classes(docs)
+    assert found._tried.count() < 0.2 * 700 * 699 / 2
+
+
 def test_sets_alike_are_found_where_multisets_are_not(spark):
     """Texts of which one repeats a passage: likeness near 1 as sets, 0.5 or less as multisets."""
     random.seed(12)
