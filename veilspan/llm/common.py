@@ -91,12 +91,13 @@ def hash_unit(*columns: Column, seed: int = 0) -> Column:
 LEAST_HOT = 200
 
 
-def joined(left: DataFrame, right: DataFrame, key: str, rows: str | None = None, how: str = "inner", total: int | None = None) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, key: str, rows: str | None = None, how: str = "inner", total: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has one row for each key, so that no hot key's rows of ``left`` meet in one task:
     they are dealt into pieces, and the key's row of ``right`` is repeated for each piece. Hot keys are at most half as many
     as partitions, so their list may be broadcast. ``rows`` names a column of ``right`` with each key's number of rows in
-    ``left`` (it is dropped); without it they are counted, pre-aggregated. ``total``: the rows of ``left``, where known."""
-    counts = right.select(key, F.col(rows).alias("_veil_rows")) if rows else left.groupBy(key).agg(F.count("*").alias("_veil_rows"))
+    ``left`` (it is dropped); without it they are counted, pre-aggregated, in ``left`` or in
+    ``counted``, a table with as many rows of each key that costs less to read. ``total``: the rows of ``left``, where known."""
+    counts = right.select(key, F.col(rows).alias("_veil_rows")) if rows else (left if counted is None else counted).groupBy(key).agg(F.count("*").alias("_veil_rows"))
     if rows:
         right = right.drop(rows)
     n = total

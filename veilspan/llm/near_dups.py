@@ -314,9 +314,9 @@ def _ordered(x: str, y: str) -> tuple[Column, Column]:
 
 def agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs whose signatures, as multisets or as sets, agree in ``LIKELY`` of the coordinates or more."""
-    sketches, n = texts.select("node", "sketch", "set_sketch"), pairs.count()
+    sketches, n, given = texts.select("node", "sketch", "set_sketch"), pairs.count(), pairs
     for end in ("a", "b"):
-        pairs = joined(pairs, sketches.withColumnsRenamed({"node": end, "sketch": f"sketch_{end}", "set_sketch": f"set_{end}"}), end, total=n)
+        pairs = joined(pairs, sketches.withColumnsRenamed({"node": end, "sketch": f"sketch_{end}", "set_sketch": f"set_{end}"}), end, total=n, counted=given)
     sets = [F.coalesce(f"set_{end}", f"sketch_{end}") for end in ("a", "b")]
     return pairs.where(F.greatest(_agreement("sketch_a", "sketch_b"), _agreement(*sets)) >= LIKELY).select("a", "b")
 
@@ -363,9 +363,9 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def likeness_of(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """The pairs with their exact likeness: the larger of that of the sets and that of the multisets."""
-    n = pairs.count()
+    n, given = pairs.count(), pairs
     for end in ("a", "b"):
-        pairs = joined(pairs, elements.select(F.col("node").alias(end), F.struct("once", "more").alias(f"of_{end}")), end, total=n)
+        pairs = joined(pairs, elements.select(F.col("node").alias(end), F.struct("once", "more").alias(f"of_{end}")), end, total=n, counted=given)
     size = lambda end, kind: F.size(f"of_{end}.{kind}")
     common = {kind: F.size(F.array_intersect(f"of_a.{kind}", f"of_b.{kind}")) for kind in ("once", "more")}
     pairs = pairs.withColumns({f"common_{k}": c for k, c in common.items()} | {"once_a": size("a", "once"), "once_b": size("b", "once"), "all": size("a", "once") + size("b", "once") + size("a", "more") + size("b", "more")})
@@ -399,11 +399,11 @@ class NearDuplicates:
 
     def _compare(self, pairs: DataFrame) -> None:
         """Adds the links among these pairs of texts, without those of one class and those that were compared before."""
-        pairs = cut(pairs)
+        pairs = given = cut(pairs)
         n = pairs.count()
         for end in ("a", "b"):
             labels = self.labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
-            pairs = joined(pairs, labels, end, how="left", total=n).withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+            pairs = joined(pairs, labels, end, how="left", total=n, counted=given).withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
         pairs = cut(pairs.where("of_a <> of_b").select("a", "b").join(self._tried, ["a", "b"], "left_anti"))
         pairs = cut(agreeing(pairs, self._texts))
         if pairs.isEmpty():
@@ -445,15 +445,13 @@ def near_duplicates(docs: DataFrame, **columns) -> DataFrame:
     return NearDuplicates(docs, **columns).classes()
 
 
+def _row_key(of_text: Column, doc_id: Column) -> Column:
+    return F.unhex(F.md5(F.concat(of_text, F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("null")).cast("binary"))))
+
+
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the least doc_id."""
-    found = NearDuplicates(docs, doc_id, text)
-    heads = found.text_classes().where("is_head").select(F.col("text_key").alias("_veil_key"), F.col("first_id").alias("_veil_first"))
-    kept = docs.withColumn("_veil_own", text_key(F.col(text)))
-    kept = kept.join(heads, (F.col("_veil_own") == F.col("_veil_key")) & F.col(doc_id).eqNullSafe(F.col("_veil_first")), "left_semi")
-    # a row that is repeated whole stays once: the first of equal ids and texts
-    repeated = found.rows.groupBy(F.col("doc_id").alias("_veil_first"), F.col("text_key").alias("_veil_key")).agg(F.count("*").alias("_veil_n")).where("_veil_n > 1")
-    condition = (F.col("_veil_own") == F.col("_veil_key")) & F.col(doc_id).eqNullSafe(F.col("_veil_first"))
-    single = kept.join(repeated, condition, "left_anti")
-    several = kept.join(repeated, condition, "left_semi").dropDuplicates([doc_id, "_veil_own"])
-    return single.unionByName(several).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row of each class: that of the least doc_id. A row that is repeated whole stays once. Rows cross the
+    network once: what is kept and what is repeated are told by one key of id and text."""
+    heads = NearDuplicates(docs, doc_id, text).text_classes().where("is_head").select(_row_key(F.col("text_key"), F.col("first_id")).alias("_veil_row"))
+    kept = docs.withColumn("_veil_row", _row_key(text_key(F.col(text)), F.col(doc_id))).join(heads, "_veil_row", "left_semi")
+    return kept.dropDuplicates(["_veil_row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
