@@ -177,19 +177,19 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint, that of its edited text (its last half replaced from the next document's beginning),
     their likeness, the likeness to the next document, the anchors of both texts and those that both have at one place."""
     whole = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    anchored = lambda rows: rows.withColumn("own", packed_anchors(F.col("text")))
-    rows = in_order(whole, "doc_id", "text", anchored, {"text": "next_text", "own": "next_own"})
+    anchored = lambda rows: rows.withColumn("own", packed_anchors(F.col("text"))).withColumn("own_hashes", hashes(F.col("own")))
+    rows = in_order(whole, "doc_id", "text", anchored, {"text": "next_text", "own_hashes": "next_hashes"})
     n = F.length("text").cast("long")
     rows = rows.withColumn("n_chars", n).withColumn("kept", F.col("n_chars") - F.floor(F.col("n_chars") / 2))
     edit = F.substring("next_text", F.lit(1), (F.col("n_chars") - F.col("kept")).cast("int"))
     rows = rows.withColumn("edit", edit)
     rows = rows.select(
         "doc_id", "n_chars", F.sha2(F.concat(F.substring("text", F.lit(1), F.col("kept").cast("int")), "edit").cast("binary"), 256).alias("edited_sha256"),
-        "own", "next_own", edited_anchors(F.col("text"), F.col("own"), F.col("kept"), F.col("edit")).alias("edited"),
+        "own", "own_hashes", "next_hashes", edited_anchors(F.col("text"), F.col("own"), F.col("kept"), F.col("edit")).alias("edited"),
     )
-    rows = rows.select("*", *[hashes(F.col(c)).alias(f"{c}_hashes") for c in ("own", "edited", "next_own")])
+    rows = rows.withColumn("edited_hashes", hashes(F.col("edited")))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text(sketch(F.col("own_hashes"))).alias("fingerprint"), as_text(sketch(F.col("edited_hashes"))).alias("edited_fingerprint"),
-        likeness(F.col("own_hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("own_hashes"), F.col("next_own_hashes")).alias("near_next"),
+        likeness(F.col("own_hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("own_hashes"), F.col("next_hashes")).alias("near_next"),
         F.size("own").cast("long").alias("anchors"), F.size("edited").cast("long").alias("edited_anchors"), F.size(F.array_intersect("own", "edited")).cast("long").alias("edited_in_place"),
     )
