@@ -68,7 +68,7 @@ class _Progress:
 def propagate(nodes: DataFrame, hubs: DataFrame, shards: int = SHARDS, slack: float = SLACK) -> DataFrame:
     """``nodes`` (node) with a shard; ``hubs`` (node, hub) names who belongs together, with one hub at most for a node.
     Columns: node, hub (null where nothing shares it), shard."""
-    sizes = hubs.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1")
+    sizes = cut(hubs.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1"))
     start = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(shards)).cast("int")
     linked = joined(hubs, sizes.withColumn("rows", F.col("members")), "hub", rows="rows")
     linked = cut(linked.select("node", "hub", "members", start.alias("shard")))
@@ -86,7 +86,7 @@ def propagate(nodes: DataFrame, hubs: DataFrame, shards: int = SHARDS, slack: fl
         held = F.map_from_entries(F.collect_list(F.struct("shard", "n")))  # at most one entry a shard
         goals = counts.groupBy("hub").agg(F.sort_array(F.collect_list(open_)).alias("open"), held.alias("held"), F.first("members").alias("members"), F.count("*").alias("in_shards"))
         needed = F.greatest(F.lit(1), F.ceil(F.col("members") / capacity)).cast("int")
-        goals = goals.where((F.size("open") > 0) & (F.col("in_shards") > 1)).withColumn("goals", F.slice(F.transform("open", lambda o: o["shard"]), 1, needed))
+        goals = cut(goals.where((F.size("open") > 0) & (F.col("in_shards") > 1))).withColumn("goals", F.slice(F.transform("open", lambda o: o["shard"]), 1, needed))
         wishes = joined(linked.select("node", "hub", "shard"), goals.select("hub", "goals", "held", "members", F.col("members").alias("rows")), "hub", rows="rows")
         wishes = wishes.withColumn("goal", F.get("goals", F.pmod(F.xxhash64("node", F.lit(turn)), F.size("goals")).cast("int")))
         # a hub has the same goals throughout a round, so moving at no gain can't go to and fro within it
@@ -124,7 +124,7 @@ def clusters(links: DataFrame, most: int) -> DataFrame:
         best = near.where("near <> label").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
         better = (F.col("weight") > F.col("own")) | ((F.col("weight") == F.col("own")) & (F.col("near") < F.col("label")))
         open_ = sizes.where(F.col("size") < most).select(F.col("label").alias("near"), (F.lit(most) - F.col("size")).alias("room"))
-        best = cut(joined(best.where(better).select("node", "label", "near", "weight"), open_, "near"))
+        best = cut(joined(cut(best.where(better).select("node", "label", "near", "weight")), open_, "near"))
         left = best.select("node").distinct().count()
         # a round lets about a quarter of all wishes come true, so that several rounds make up one step of progress
         if not left or turn % 8 == 7 and progress.stalled(left):
@@ -132,7 +132,7 @@ def clusters(links: DataFrame, most: int) -> DataFrame:
         taking = lambda c: F.pmod(F.xxhash64(c, F.lit(turn), F.lit(23)), F.lit(2)) == 1
         wish = best.where(taking("near") & ~taking("label")).groupBy("node").agg(F.max(F.struct("weight", F.xxhash64("near", F.lit(turn)), "near", "room")).alias("to"))
         wish = cut(wish.select("node", "to.near", "to.room"))
-        wished = wish.groupBy("near").agg(F.count("*").alias("wished"))
+        wished = cut(wish.groupBy("near").agg(F.count("*").alias("wished")))
         wish = joined(wish, wished.withColumn("rows", F.col("wished")), "near", rows="rows")
         moved = wish.where(hash_unit(F.col("node"), seed=turn) * F.col("wished") < F.col("room")).select("node", "near")
         labels = cut(labels.join(moved, "node", "left").select("node", F.coalesce("near", "label").alias("label")))
