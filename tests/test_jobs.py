@@ -95,6 +95,16 @@ def test_sources(spark, tmp_path):
     assert {tuple(r) for r in readers.read_given_names(spark, str(tmp_path / "names.zip")).collect()} == {("mary", 8)}
 
 
+def test_requests_need_the_key(spark):
+    good = '{"log": "a", "log_type": "syslog"}'
+    rows = spark.createDataFrame([(1, good, "secret"), (2, good, "other"), (3, good, None), (4, "no json", "secret")], "i int, body string, api_key string")
+    got = {r["i"]: (r["log"], r["error"]) for r in readers.requests(rows, key="api_key", expected_key="secret").collect()}
+    assert got == {1: ("a", None), 2: (None, "unauthorized"), 3: (None, "unauthorized"), 4: (None, "invalid json")}
+    assert "api_key" not in readers.requests(rows, key="api_key", expected_key="secret").columns
+    with pytest.raises(ValueError):
+        readers.requests(rows, key="api_key", expected_key="")
+
+
 def test_weighted_sample(spark):
     names = spark.createDataFrame([("a", 900), ("b", 100), ("c", 0)], "name string, count long")
     got = evaluate.weighted_sample(names, 2000).groupBy("name").count().collect()

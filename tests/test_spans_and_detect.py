@@ -170,6 +170,30 @@ def test_a_model_behind_every_strategy(spark):
         gate.predicted(df, "none", ner)
 
 
+def test_adapter_of_the_optional_model(monkeypatch):
+    """The package is not installed: a stand-in answers as its engine does."""
+    import sys
+    import types
+
+    asked = []
+
+    class Engine:
+        def __init__(self):
+            self.registry = types.SimpleNamespace(add_recognizer=lambda r: asked.append(r))
+
+        def analyze(self, text, language, entities):
+            asked.append((language, tuple(entities)))
+            return [types.SimpleNamespace(entity_type="EMAIL_ADDRESS", start=0, end=len(text), score=0.8)]
+
+    make = lambda **values: types.SimpleNamespace(**values)
+    monkeypatch.setitem(sys.modules, "presidio_analyzer", types.SimpleNamespace(AnalyzerEngine=Engine, Pattern=make, PatternRecognizer=make))
+    assert detect.load_presidio()("abc") == [("EMAIL", 0, 3, 0.8)]
+    assert asked[0].supported_entity == "MEDICAL_RECORD_NUMBER" and asked[1] == ("en", tuple(detect.ENTITY_TYPES))
+    asked.clear()
+    detect.load_presidio(with_mrn=False)("abc")
+    assert len(asked) == 1 and "MEDICAL_RECORD_NUMBER" not in asked[0][1]
+
+
 def test_confusion_equals_greedy_matching(spark):
     """Also where spans of one type overlap several labelled ones, and the other way round."""
     random.seed(9)

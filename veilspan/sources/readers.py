@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,9 +138,10 @@ def read_given_names(spark: SparkSession, path: str, years: tuple[int, ...] | No
     return rows.select(F.lower(F.get(parts, F.lit(0))).alias("name"), F.expr("try_cast(get(split(line, ','), 2) as bigint)").alias("count")).where("count is not null").groupBy("name").agg(F.sum("count").alias("count"))
 
 
-def requests(df: DataFrame, body: str = "body") -> DataFrame:
+def requests(df: DataFrame, body: str = "body", key: str | None = None, expected_key: str | None = None) -> DataFrame:
     """Requests to anonymize as rows: log, log_type and an error where the body is no JSON object, where ``log`` is missing
-    or no text, or where ``log_type`` is there and no text."""
+    or no text, or where ``log_type`` is there and no text. With ``key``, the column of the callers' keys, every request whose
+    key is not the expected one is refused before its body is looked at; the plan holds the expected key's digest alone."""
     parsed = F.try_parse_json(F.col(body))
     kind = lambda k: F.schema_of_variant(F.try_variant_get("_veil_body", f"$.{k}", "variant"))
     rows = df.withColumn("_veil_body", parsed)
@@ -148,4 +151,10 @@ def requests(df: DataFrame, body: str = "body") -> DataFrame:
         .when(~F.coalesce(kind("log_type"), F.lit("VOID")).isin("STRING", "VOID"), "log_type must be text")
     )
     value = lambda k: F.try_variant_get("_veil_body", f"$.{k}", "string")
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], value("log").alias("log"), value("log_type").alias("log_type"), error.alias("error"))
+    columns = {"log": value("log"), "log_type": value("log_type"), "error": error}
+    if key is not None:
+        if not expected_key:
+            raise ValueError("an empty key lets everyone in")
+        known = F.coalesce(F.sha2(F.col(key).cast("binary"), 256) == hashlib.sha256(expected_key.encode()).hexdigest(), F.lit(False))
+        columns = {n: F.when(known, c) for n, c in columns.items()} | {"error": F.when(~known, "unauthorized").otherwise(error)}
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns if c != key], *[c.alias(n) for n, c in columns.items()])
