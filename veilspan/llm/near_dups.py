@@ -385,7 +385,7 @@ class NearDuplicates:
         texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
         self.texts = texts.select("node", "text_key", "first_id", "copies")
         self._texts, self._docs, self._likeness = texts, docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), likeness
-        self._tried = self.links = docs.sparkSession.createDataFrame([], "a long, b long")
+        self._tried, self.links = None, docs.sparkSession.createDataFrame([], "a long, b long")
         self.labels = docs.sparkSession.createDataFrame([], "node long, label long")
         members = met(texts.select("node", F.explode("bands").alias("band")))
         self._compare(candidates(members))
@@ -400,16 +400,17 @@ class NearDuplicates:
     def _compare(self, pairs: DataFrame) -> None:
         """Adds the links among these pairs of texts, without those of one class and those that were compared before."""
         pairs = given = cut(pairs)
-        n = pairs.count()
-        for end in ("a", "b"):
-            labels = self.labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
-            pairs = joined(pairs, labels, end, how="left", total=n, counted=given).withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-        pairs = cut(pairs.where("of_a <> of_b").select("a", "b").join(self._tried, ["a", "b"], "left_anti"))
+        if self._tried is not None:  # nothing was compared, so nothing is in a class, before
+            n = pairs.count()
+            for end in ("a", "b"):
+                labels = self.labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
+                pairs = joined(pairs, labels, end, how="left", total=n, counted=given).withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+            pairs = cut(pairs.where("of_a <> of_b").select("a", "b").join(self._tried, ["a", "b"], "left_anti"))
         pairs = cut(agreeing(pairs, self._texts))
         if pairs.isEmpty():
             return
         links = self._verified(pairs)
-        self._tried = self._tried.union(pairs)
+        self._tried = pairs if self._tried is None else self._tried.union(pairs)
         if not links.isEmpty():
             self.links = self.links.union(links.select("a", "b"))
             self.labels = merged(self.labels, links)
