@@ -5,8 +5,9 @@ hub, documents linked in any other way the cluster that label propagation finds
 hub's members are counted by shard, and members move towards the shard that holds most of their hub's, as far as the
 shards' quotas allow: the driver solves, from the counts of wished moves between shards (at most shards x shards
 numbers), what share of its wished arrivals each shard can take. Shards that are full are no goals; a hub larger than a
-shard has as many goals as it needs shards. Rounds end when nothing moves, or when ``PATIENCE`` rounds in a row bring no
-one per cent fewer members away from their goals. At last counts are made even: documents without links leave over-full
+shard has as many goals as it needs shards. When nothing moves any more, or ``PATIENCE`` rounds in a row brought no one
+per cent fewer members away from their goals, hubs that are still divided between full shards go whole to shards that
+have room, by the same quotas, until that ends in the same way. At last counts are made even: documents without links leave over-full
 shards first, then whole hubs as far as possible, and take the free slots of others.
 
 Only ids and hub numbers are shuffled, never texts. A hub, or a document with links, of very many rows is dealt into pieces
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from veilspan.llm.common import constants, cut, hash_unit, interval_of, joined
 
 SHARDS, SLACK, BUCKET_ROWS = 24, 0.04, 50_000
+#: From this share of its quota on a shard counts as full.
+FULL = 0.98
 #: Rounds without one per cent of progress after which propagation ends.
 PATIENCE = 3
 #: A cluster of linked documents holds at most this share of a shard's documents.
@@ -76,25 +79,41 @@ def propagate(nodes: DataFrame, hubs: DataFrame, shards: int = SHARDS, slack: fl
     total = nodes.count()
     capacity = total / shards * (1 + slack)
     fixed = _counted(single, shards)
-    progress, turn = _Progress(), 0
+    progress, turn, whole = _Progress(), 0, False
     while True:
         own = _counted(linked, shards)
-        # what has no links can make room later, as far as the shard has any of it
-        room = constants([int(load < capacity) for load in own])
+        # what has no links can make room later, as far as the shard has any of it; nearly full shards are no goals of large hubs
+        room = constants([int(load < capacity) + int(load < FULL * capacity) for load in own])
         counts = linked.groupBy("hub", "shard").agg(F.count("*").alias("n"), F.first("members").alias("members"))
-        open_ = F.when(F.get(room, F.col("shard")) == 1, F.struct((-F.col("n")).alias("less"), F.xxhash64("hub", "shard").alias("tie"), "shard"))
+        ranked = F.struct((-F.col("n")).alias("less"), F.xxhash64("hub", "shard").alias("tie"), "shard", F.get(room, F.col("shard")).alias("open"))
         held = F.map_from_entries(F.collect_list(F.struct("shard", "n")))  # at most one entry a shard
-        goals = counts.groupBy("hub").agg(F.sort_array(F.collect_list(open_)).alias("open"), held.alias("held"), F.first("members").alias("members"), F.count("*").alias("in_shards"))
-        needed = F.greatest(F.lit(1), F.ceil(F.col("members") / capacity)).cast("int")
-        goals = cut(goals.where((F.size("open") > 0) & (F.col("in_shards") > 1))).withColumn("goals", F.slice(F.transform("open", lambda o: o["shard"]), 1, needed))
-        wishes = joined(linked.select("node", "hub", "shard"), goals.select("hub", "goals", "held", "members", F.col("members").alias("rows")), "hub", rows="rows")
+        goals = counts.groupBy("hub").agg(F.sort_array(F.collect_list(ranked)).alias("ranked"), held.alias("held"), F.first("members").alias("members"), F.count("*").alias("in_shards"))
+        shards_of = lambda array, open_: F.transform(F.filter(array, lambda o: o["open"] >= open_), lambda o: o["shard"])
+        needed = F.ceil(F.col("members") / capacity).cast("int")
+        goals = goals.where("in_shards > 1").select("*", (needed > 1).alias("large"), F.slice("ranked", 1, F.greatest(F.lit(1), needed)).alias("own"))
+        # a small hub's goal is its fullest open shard. A large one's members stay in its fullest shards, as many as it needs; its
+        # goals are those of them that are open, or else the next open one
+        next_, first = F.slice(shards_of("ranked", 2), 1, 1), F.slice(shards_of("ranked", 1), 1, 1)
+        if whole:
+            # what is still divided goes whole to any shard, in proportion to the room there
+            free = [max(0, int(capacity - load)) for load in own]
+            place = F.pmod(F.xxhash64("hub", F.lit(turn), F.lit(29)), F.lit(max(1, sum(free))))
+            first = F.array(interval_of([sum(free[: i + 1]) for i in range(shards)], place))
+            goals = goals.where(~F.col("large") & F.lit(sum(free) > 0))
+        goals = goals.withColumn("goals", F.when(~F.col("large"), first).when(F.size(shards_of("own", 2)) > 0, shards_of("own", 2)).otherwise(next_))
+        stay = F.when(F.col("large"), F.array_union(shards_of("own", 0), "goals")).otherwise(F.col("goals"))
+        goals = cut(goals.where(F.size("goals") > 0).select("hub", "held", "members", "goals", "large", stay.alias("stay")))
+        wishes = joined(linked.select("node", "hub", "shard"), goals.withColumn("rows", F.col("members")), "hub", rows="rows")
         wishes = wishes.withColumn("goal", F.get("goals", F.pmod(F.xxhash64("node", F.lit(turn)), F.size("goals")).cast("int")))
         # a hub has the same goals throughout a round, so moving at no gain can't go to and fro within it
-        gains = F.element_at("held", F.col("goal")) >= F.element_at("held", F.col("shard"))
-        wishes = cut(wishes.where(~F.array_contains("goals", F.col("shard")) & ((F.size("goals") > 1) | gains)).select("node", "hub", "members", "shard", "goal"))
+        gains = F.coalesce(F.element_at("held", F.col("goal")), F.lit(0)) >= F.element_at("held", F.col("shard"))
+        wishes = cut(wishes.where(~F.array_contains("stay", F.col("shard")) & (F.col("large") | F.lit(whole) | gains)).select("node", "hub", "members", "shard", "goal"))
         moves = {(r["shard"], r["goal"]): r["n"] for r in wishes.groupBy("shard", "goal").agg(F.count("*").alias("n")).collect()}
         if not moves or progress.stalled(sum(moves.values())):
-            break
+            if whole:
+                break
+            progress, whole = _Progress(), True
+            continue
         share = accepted_shares(moves, own, capacity)
         coin = F.when(F.col("members") <= max(2.0, capacity / 50), hash_unit(F.col("hub"), seed=turn)).otherwise(hash_unit(F.col("node"), seed=turn))
         moved = wishes.where(coin < F.get(constants(share, "double"), F.col("goal"))).select("node", "goal")
