@@ -145,7 +145,8 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """Each document's doc_id, size, source_size, target and taken (with the key, if there is one)."""
-        times = self.drawn_slots().groupBy("number", "block").agg(F.count("*").alias("times"))
+        # the optimizer takes the slots for as few as the counts that they are expanded from: they must not be broadcast
+        times = self.drawn_slots().groupBy("number", "block").agg(F.count("*").alias("times")).hint("merge")
         first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
         parts = self.placed().withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
         part = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("start"), F.col("block") * BLOCK)
