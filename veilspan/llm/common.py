@@ -108,7 +108,9 @@ def joined(left: DataFrame, right: DataFrame, key: str, rows: str | None = None,
     hot = F.broadcast(hot)
     piece = F.coalesce(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns], F.lit(17)), F.col("_veil_pieces")), F.lit(0)).cast("int")
     dealt = left.join(hot, key, "left").withColumn("_veil_piece", piece).drop("_veil_pieces")
-    repeated = right.join(hot, key, "left").withColumn("_veil_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_veil_pieces", F.lit(1)) - 1))).drop("_veil_pieces")
+    # every row of right once, as piece 0, and those of hot keys once for each further piece
+    others = right.join(hot, key).withColumn("_veil_piece", F.explode(F.sequence(F.lit(1), F.col("_veil_pieces") - 1))).drop("_veil_pieces")
+    repeated = right.withColumn("_veil_piece", F.lit(0)).unionByName(others)
     return dealt.join(repeated, [key, "_veil_piece"], how).drop("_veil_piece")
 
 
