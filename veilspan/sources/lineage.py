@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that a task holds back before it writes them: these tables are read soon, and whole.
+ROW_GROUP = 16 << 20
 #: The tables written so far, for ``give_up``.
 _made: list[str] = []
 
@@ -32,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the shared folder, so that a lost executor costs no recomputation of what led to it."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
