@@ -31,16 +31,21 @@ def kept_by_worker(name: object = None, make=lambda: None):
     global _kept
     if _kept[0] != name:
         _kept = (None, None)
+        give_back()
         _kept = (name, make())
     return _kept[1]
 
 
 def give_back() -> None:
-    """Returns memory that a fitted sample leaves behind in this process to the system, where the C library can."""
+    """Returns memory that this process no longer uses (a fitted sample, another operator's words, Arrow batches) to the system,
+    where the C library can."""
     import ctypes
     import gc
 
+    import pyarrow
+
     gc.collect()
+    pyarrow.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
