@@ -349,6 +349,23 @@ def test_review_sample_is_exact(spark):
         assert [r["line_id"] for r in drift.review_sample(rows, rate, 9).collect()] == want
 
 
+def test_review_sample_searches_what_a_query_made_once(spark):
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("made-here a"), F.col("id"), F.lit("@b.co 10.0.0.1"))).otherwise("nothing")
+    lines = spark.range(300).select(F.col("id").alias("line_id"), text.alias("log"))
+    spans = F.concat(detect.scan_regex(F.col("log")), detect.scan_flattened_names(F.col("log")))
+    sample = drift.review_sample(anonymize.process_lines(lines, spans, KEYS, F.lit(1)), 0.5, 9).select("line_id")
+    assert sample._jdf.queryExecution().optimizedPlan().toString().count("made-here") <= 2  # what is taken whole, and what is ranked
+    assert sample.count() == 50 and sample.where("line_id % 3 <> 0").count() == 0
+
+
+def test_review_sample_of_none_of_one_id_and_of_no_id(spark):
+    rows = spark.range(40).select(F.when(F.col("id") < 10, F.lit(5)).when(F.col("id") < 20, F.col("id")).alias("line_id"), F.lit(1).alias("detector_span_count"))
+    assert drift.review_sample(rows.withColumn("detector_span_count", F.lit(0)), 0.5).count() == 0
+    for rate, n, without_id in ((0.2, 8, 0), (0.5, 20, 0), (0.55, 22, 2), (1.0, 40, 20)):
+        got = [r["line_id"] for r in drift.review_sample(rows, rate).collect()]
+        assert (len(got), got.count(None), got[n - without_id :]) == (n, without_id, [None] * without_id)
+
+
 def test_sql_surface_equals_the_columns(spark):
     from veilspan.operators import surface
 

@@ -101,17 +101,28 @@ def slow_windows(latencies: DataFrame, ts: str = "ts", seconds: str = "seconds",
 
 
 def review_sample(processed: DataFrame, rate: float = 0.05, seed: int = 0, line_id: str = "line_id") -> DataFrame:
-    """An exact sample for review among lines with spans: max(1, floor(n * rate)) of them, in the order of a keyed hash.
-
-    The hash's first digits are a number: what lies well beyond the sample's share of all numbers is put aside before the rest
-    is sorted, so that only about the sample itself is."""
-    found = processed.where(F.col("detector_span_count") > 0)
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(line_id).cast("string")))
-    found = found.withColumn("_veil_order", order).withColumn("_veil_place", F.conv(F.substring("_veil_order", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32)))
-    n = found.count()
-    wanted = max(1, int(n * rate)) if n else 0
-    share = min(1.0, (wanted + 6 * wanted**0.5 + 6) / max(1, n))
-    near = found.where(F.col("_veil_place") < share)
-    if near.count() < wanted:  # a chance of about one in a billion
-        near = found
-    return near.orderBy("_veil_order", line_id).limit(wanted).drop("_veil_order", "_veil_place")
+    """An exact sample for review among lines with spans: max(1, floor(n * rate)) of them, in the order of a keyed hash, lines
+    without an id last.
+
+    Lines with spans are counted by the hash's first digits, so that it is known with which digits the sample ends. What lies
+    beyond is put aside before anything is searched a second time, what lies before is taken whole, and only the lines of
+    these last digits, about one in 4,096, are ranked."""
+    order = F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col(line_id).cast("string"))), F.lit("~"))
+    has_spans = F.col("detector_span_count") > 0
+    counts = processed.groupBy(F.substring(order, 1, 3).alias("digits")).agg(F.count_if(has_spans).alias("n")).collect()
+    n = sum(r["n"] for r in counts)
+    if not n:
+        return processed.limit(0)
+    left = max(1, int(n * rate))
+    for last, here in sorted((r["digits"], r["n"]) for r in counts):
+        if left <= here:
+            break
+        left -= here
+
+    def found(rows: DataFrame) -> DataFrame:
+        # a filter on the count itself would go below what makes the text, and make it anew wherever detectors look at it
+        return rows.select("*", F.explode_outer(F.when(has_spans, F.array(F.lit(True)))).alias("_veil_found")).where("_veil_found").drop("_veil_found")
+
+    rows = processed.withColumn("_veil_order", order)
+    ends = found(rows.where(F.startswith("_veil_order", F.lit(last)))).orderBy("_veil_order", line_id).limit(left)
+    return found(rows.where(F.col("_veil_order") < last)).unionAll(ends).orderBy("_veil_order", line_id).drop("_veil_order")
