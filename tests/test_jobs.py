@@ -339,6 +339,24 @@ def test_histogram():
     assert h.lines("x") == ['x_bucket{le="1.0"} 2', 'x_bucket{le="2.0"} 3', 'x_bucket{le="+Inf"} 4', "x_sum 12", "x_count 4"]
 
 
+def test_slow_windows_are_exact(spark):
+    """Windows of many, equal, negative, missing and not-a-number values; values without a time are a window of their own."""
+
+    def p95(values):
+        return sorted(values, key=lambda x: (x != x, x))[-(-len(values) * 95 // 100) - 1]
+
+    windows = {1: [2.5] * 40, 2: [-i / 7 for i in range(50)] + [0.0, 3.0], 3: [i / 10 for i in range(39)], 4: [float("nan")] * 3 + [7.0] * 16, 5: [1e300, 5e-324, float("inf")], None: [4.0, 9.0, 0.5]}
+    windows |= {10 + k: [1 + i / 3 for i in range(n)] for k, n in enumerate((1, 19, 20, 21, 100, 101))}
+    rows = spark.createDataFrame([(m, v) for m, values in windows.items() for v in [*values, None]], "m int, seconds double")
+    rows = rows.select(F.expr("timestamp_ntz'2024-01-01 00:00:30' + make_interval(0, 0, 0, 0, 0, m)").alias("ts"), "seconds")
+    many = spark.range(300_000).select(F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("ts"), (1 + F.col("id") * 7919 % 300_000 / 1000).alias("seconds"))
+    windows[0] = [1 + i / 1000 for i in range(300_000)]
+    rows = rows.unionAll(many)
+    got = {r["start"] and r["start"].minute: r["p95"] for r in drift.slow_windows(rows, over="1 minute").select("window.start", "p95").collect()}
+    want = {m: x for m, x in ((m, p95(values)) for m, values in windows.items()) if not x <= 1}
+    assert {m: str(x) for m, x in got.items()} == {m: str(x) for m, x in want.items()}
+
+
 def test_review_sample_is_exact(spark):
     import hashlib
 
