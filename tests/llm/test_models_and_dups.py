@@ -14,6 +14,7 @@ from tests.llm import edges
 from veilspan.llm import langid, near_dups, packing, quality
 from veilspan.llm.components import components
 from veilspan.llm.queries import QUERIES
+from veilspan.sources import lineage
 
 
 def brute_classes(docs):
@@ -195,6 +196,38 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_tables_of_near_duplicates_are_few_files(spark):
+    """With many shuffle partitions a table is a few files: on a local store each costs its executor three programs."""
+    held = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, since = {k: spark.conf.get(k) for k in held}, lineage.mark()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(i, i + 1) for i in range(300) if i % 3 < 2], "a long, b long")
+        found = {r["node"]: r["label"] for r in components(links).collect()}
+        rows = near_dups.met(spark.createDataFrame([(i, i // 2) for i in range(600)], "node long, band long"))
+        assert rows.count() == 600
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {i: i // 3 * 3 for i in range(300)}
+    made = lineage._made[since:]
+    files = [len(spark.read.parquet(p).inputFiles()) for p in made]
+    assert len(files) >= 5 and max(files) <= 2 * spark.sparkContext.defaultParallelism
+    lineage.give_up(spark, since)
+
+
+def test_chunks_of_short_texts_are_bounded():
+    """A short text throws as many darts as a long one."""
+    parts = list(near_dups._chunks(np.full(1000, 20)))
+    assert [p.start for p in parts[1:]] == [p.stop for p in parts[:-1]] and (parts[0].start, parts[-1].stop) == (0, 1000)
+    assert max(p.stop - p.start for p in parts) <= 300
+    words = np.random.default_rng(3).integers(0, 2**62, 1000 * 20)
+    whole, lengths = near_dups.signatures(words, np.full(1000, 20)), np.full(1000, 20)
+    split = np.concatenate([near_dups.signatures(words[p.start * 20 : p.stop * 20], lengths[p]) for p in parts])
+    assert (whole == split).all()
+
+
 def test_op4_held_out(spark, sf_dir):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = QUERIES["op4_byte_cnn_language"](spark, sf_dir).collect()

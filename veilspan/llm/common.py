@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.sources.lineage import cut, shared_folder  # noqa: F401
+from veilspan.sources.lineage import cut, cut_few, shared_folder  # noqa: F401
 from veilspan.sources.readers import spread  # noqa: F401
 
 #: Arrow batches handed to Python hold at most so many rows and bytes, whatever the length of the texts.

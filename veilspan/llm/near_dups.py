@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspan.llm.common import bounded_batches, cut, joined, kept_by_worker
+from veilspan.llm.common import bounded_batches, cut, cut_few, joined, kept_by_worker
 from veilspan.llm.components import components
 
 SHINGLE, LIKENESS, LIKELY = 5, 0.8, 0.6
@@ -56,8 +56,8 @@ DARTS = int(COORDINATES * (np.log(COORDINATES) + 6))
 #: Scripts that are written without spaces.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 WORDS = rf"[{UNSPACED}]|[[\p{{L}}\p{{N}}\p{{M}}]&&[^{UNSPACED}]]+"
-#: Words that are worked on at once.
-CHUNK_WORDS = 150_000
+#: Words that are worked on at once; a text counts as so many at least, as short texts throw as many darts as long ones.
+CHUNK_WORDS, LEAST_WORDS = 150_000, 500
 #: Poisson(1): chances of at most 0, 1, 2 .. darts in a cell, in 2^32nds.
 POISSON = (np.cumsum(np.exp(-1) / np.cumprod([1, *range(1, 12)])) * 2**32).astype(np.uint64)
 _U = np.uint64
@@ -152,6 +152,7 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
 def _chunks(lengths: np.ndarray) -> Iterator[slice]:
     begin, words = 0, 0
     for i, n in enumerate(lengths):
+        n = max(n, LEAST_WORDS)
         if words and words + n > CHUNK_WORDS:
             yield slice(begin, i)
             begin, words = i, 0
@@ -286,11 +287,11 @@ def prefixes(elements: DataFrame, likeness: float) -> DataFrame:
 
 def prefix_pairs(elements: DataFrame, labels: DataFrame, likeness: float) -> DataFrame:
     """Pairs a < b of texts of different classes that may be as alike, by their prefixes."""
-    posted = cut(prefixes(elements, likeness).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    posted = cut_few(prefixes(elements, likeness).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     classes = posted.groupBy("key", "label").agg(F.count("*").alias("n"), F.max("probe").alias("asks"), F.min("probe").alias("only_asks"))
     keys = classes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("classes"), F.max("asks").alias("asks"), F.min("only_asks").alias("only_asks"), F.sum("n").alias("rows"))
-    keys = cut(keys.where("classes > 1 and asks and not only_asks").select("key", F.col("main.label").alias("main"), "rows"))
-    posted = cut(joined(posted, keys, "key", rows="rows"))
+    keys = cut_few(keys.where("classes > 1 and asks and not only_asks").select("key", F.col("main.label").alias("main"), "rows"))
+    posted = cut_few(joined(posted, keys, "key", rows="rows"))
     named = lambda rows, end: rows.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "place", "size", "label")])
     asking, offering, outside = posted.where("probe"), posted.where("not probe"), F.col("label") != F.col("main")
     met_ = named(asking.where(outside), "x").join(named(offering, "y"), "key").unionByName(named(asking.where(~outside), "x").join(named(offering.where(outside), "y"), "key"))
@@ -304,8 +305,8 @@ def prefix_pairs(elements: DataFrame, labels: DataFrame, likeness: float) -> Dat
 def met(banded: DataFrame) -> DataFrame:
     """node, band and members of the bands (node, band) that several texts have. Bands are counted before anything else of
     them crosses the network: nearly all belong to one text."""
-    shared = cut(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"))
-    return cut(joined(banded, shared.withColumn("rows", F.col("members")), "band", rows="rows"))
+    shared = cut_few(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"))
+    return cut_few(joined(banded, shared.withColumn("rows", F.col("members")), "band", rows="rows"))
 
 
 def _ordered(x: str, y: str) -> tuple[Column, Column]:
@@ -327,7 +328,7 @@ def candidates(members: DataFrame) -> DataFrame:
     turned = F.xxhash64("node", F.pmod("band", F.lit(HEAD_ORDERS)))
     heads = members.groupBy("band").agg(F.min_by("node", F.xxhash64("node")).alias("low"), F.max_by("node", turned).alias("last"), F.min_by("node", turned).alias("first"), F.count("*").alias("rows"))
     # the second head is another text than the first: where one is last in its turn's order, the first in it
-    heads = cut(heads.select("band", "low", F.when(F.col("last") != F.col("low"), F.col("last")).otherwise(F.col("first")).alias("high"), "rows"))
+    heads = cut_few(heads.select("band", "low", F.when(F.col("last") != F.col("low"), F.col("last")).otherwise(F.col("first")).alias("high"), "rows"))
     pairs = joined(members.select("node", "band"), heads, "band", rows="rows").select("node", F.explode(F.array("low", "high")).alias("head")).where("node <> head").select(*_ordered("node", "head"))
     # of up to three members every pair has a head; somewhat larger buckets are paired whole
     lists = members.where(F.col("members").between(4, PAIRED_WHOLE)).groupBy("band").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
@@ -339,26 +340,26 @@ def opened(members: DataFrame, labels: DataFrame) -> DataFrame:
     """node, band, label and members of the members (node, band) of buckets that hold several classes."""
     members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counts = members.groupBy("band").agg(F.count("*").alias("members"), F.min("label").alias("least"), F.max("label").alias("most"))
-    counts = cut(counts.where("least <> most").select("band", "members", F.col("members").alias("rows")))
-    return cut(joined(members.select("node", "band", "label"), counts, "band", rows="rows"))
+    counts = cut_few(counts.where("least <> most").select("band", "members", F.col("members").alias("rows")))
+    return cut_few(joined(members.select("node", "band", "label"), counts, "band", rows="rows"))
 
 
 def central_pairs(open_: DataFrame) -> DataFrame:
     """Pairs a < b of the member that is in most of these buckets (``opened``) with all others of its bucket's other classes."""
     most = open_.groupBy("node").agg(F.count("*").alias("met"))
     central = open_.join(most, "node").groupBy("band").agg(F.max_by(F.struct("node", "label"), F.struct("met", F.xxhash64("node", "band"))).alias("head"), F.count("*").alias("rows"))
-    central = cut(central.select("band", F.col("head.node").alias("head"), F.col("head.label").alias("head_label"), "rows"))
+    central = cut_few(central.select("band", F.col("head.node").alias("head"), F.col("head.label").alias("head_label"), "rows"))
     return joined(open_.select("node", "band", "label"), central, "band", rows="rows").where("label <> head_label").select(*_ordered("node", "head")).distinct()
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """node and label after further links between nodes, of which some have no label yet."""
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
-    labels = cut(labels.select("node", "label").union(ends.select("node", F.col("node").alias("label"))))
+    labels = cut_few(labels.select("node", "label").union(ends.select("node", F.col("node").alias("label"))))
     for end in ("a", "b"):
         links = links.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end)
     joined = components(links.select("of_a", "of_b"), "of_a", "of_b").select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return cut(labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+    return cut_few(labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
 def likeness_of(pairs: DataFrame, elements: DataFrame) -> DataFrame:
@@ -382,31 +383,31 @@ class NearDuplicates:
         rows = cut(signed(docs, doc_id, text))
         self.rows = rows.select("doc_id", "text_key")
         texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("set_sketch").alias("set_sketch"))
-        texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
+        texts = cut_few(texts.withColumn("node", F.monotonically_increasing_id()))
         self.texts = texts.select("node", "text_key", "first_id", "copies")
         self._texts, self._docs, self._likeness = texts, docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), likeness
         self._tried, self.links = None, docs.sparkSession.createDataFrame([], "a long, b long")
         self.labels = docs.sparkSession.createDataFrame([], "node long, label long")
         members = met(texts.select("node", F.explode("bands").alias("band")))
         self._compare(candidates(members))
-        large = cut(members.where(F.col("members") > PAIRED_WHOLE).select("node", "band"))
+        large = cut_few(members.where(F.col("members") > PAIRED_WHOLE).select("node", "band"))
         open_ = opened(large, self.labels)
         if not open_.isEmpty():
             self._compare(central_pairs(open_))
-            nodes = cut(opened(large, self.labels).select("node").distinct())
+            nodes = cut_few(opened(large, self.labels).select("node").distinct())
             if not nodes.isEmpty():
                 self._compare(prefix_pairs(self._elements(nodes), self.labels, likeness))
 
     def _compare(self, pairs: DataFrame) -> None:
         """Adds the links among these pairs of texts, without those of one class and those that were compared before."""
-        pairs = given = cut(pairs)
+        pairs = given = cut_few(pairs)
         if self._tried is not None:  # nothing was compared, so nothing is in a class, before
             n = pairs.count()
             for end in ("a", "b"):
                 labels = self.labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
                 pairs = joined(pairs, labels, end, how="left", total=n, counted=given).withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-            pairs = cut(pairs.where("of_a <> of_b").select("a", "b").join(self._tried, ["a", "b"], "left_anti"))
-        pairs = cut(agreeing(pairs, self._texts))
+            pairs = cut_few(pairs.where("of_a <> of_b").select("a", "b").join(self._tried, ["a", "b"], "left_anti"))
+        pairs = cut_few(agreeing(pairs, self._texts))
         if pairs.isEmpty():
             return
         links = self._verified(pairs)
@@ -418,28 +419,28 @@ class NearDuplicates:
     def _elements(self, nodes: DataFrame) -> DataFrame:
         """node, once and more of these texts. Texts stay where they are as far as the list of those that are needed is small
         enough to go to them."""
-        involved = cut(nodes.join(self.texts, "node").select("node", "first_id", F.col("text_key").alias("key")))
+        involved = cut_few(nodes.join(self.texts, "node").select("node", "first_id", F.col("text_key").alias("key")))
         if involved.count() <= BROADCAST_TEXTS:
             involved = F.broadcast(involved)
         words = self._docs.join(involved, F.col("doc_id").eqNullSafe(F.col("first_id"))).where(text_key(F.col("text")) == F.col("key")).select("node", word_hashes(F.col("text")).alias("words"))
         schema = T.StructType([words.schema["node"], T.StructField("once", LONGS), T.StructField("more", LONGS)])
-        return cut(words.mapInArrow(lambda batches: _by_chunk(batches, _elements), schema).dropDuplicates(["node"]))
+        return cut_few(words.mapInArrow(lambda batches: _by_chunk(batches, _elements), schema).dropDuplicates(["node"]))
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose exact likeness is as high."""
         elements = self._elements(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        return cut(likeness_of(pairs, elements).where(F.col("likeness") >= self._likeness))
+        return cut_few(likeness_of(pairs, elements).where(F.col("likeness") >= self._likeness))
 
     def text_classes(self) -> DataFrame:
         """Distinct texts with class_id (the least doc_id of their class), class_size (rows) and first_id."""
-        texts = cut(self.texts.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        texts = cut_few(self.texts.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
         head = F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("head")
-        classes = cut(texts.groupBy("label").agg(head, F.sum("copies").alias("class_size"), F.count("*").alias("texts")))
+        classes = cut_few(texts.groupBy("label").agg(head, F.sum("copies").alias("class_size"), F.count("*").alias("texts")))
         return joined(texts, classes, "label", rows="texts").select("text_key", "first_id", "copies", F.col("head.first_id").alias("class_id"), (F.col("head.node") == F.col("node")).alias("is_head"), "class_size")
 
     def classes(self) -> DataFrame:
         """Every row's doc_id, class_id, class_size."""
-        return joined(self.rows, cut(self.text_classes()), "text_key", rows="copies").select("doc_id", "class_id", "class_size")
+        return joined(self.rows, cut_few(self.text_classes()), "text_key", rows="copies").select("doc_id", "class_id", "class_size")
 
 
 def near_duplicates(docs: DataFrame, **columns) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that a task holds back before it writes them: these tables are read soon, and whole.
 ROW_GROUP = 16 << 20
+#: Shuffle partitions that ``cut_few`` leads into one file, where there are many.
+PARTITIONS_A_FILE = 16
 #: The tables written so far, for ``give_up``.
 _made: list[str] = []
 
@@ -39,6 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_few(df: DataFrame) -> DataFrame:
+    """``cut`` into few files, for small tables of which a loop writes many: at most two for each core, or a sixteenth of
+    the shuffle partitions where that is more. Partitions are led together without a shuffle.
+
+    A file costs its store several calls. On a local file system without Hadoop's native library these are programs that the
+    executor starts (three for each file, to set permissions), and while one starts, its memory counts as the executor's twice.
+    """
+    spark = df.sparkSession
+    most = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_A_FILE)
+    return cut(df.coalesce(most))
+
+
 def mark() -> int:
     """The place in the row of written tables up to which ``give_up`` keeps them."""
     return len(_made)
